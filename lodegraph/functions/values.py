@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 STAND_INS = (
     "n/a", "na", "n.a.", "n.a", "none", "null", "nil", "nan", "unknown", "unk", "tbd", "tba", "missing", "pending",
     "not available", "not provided", "not assigned", "not known", "not given", "not applicable", "not specified",
-    "description pending", "name pending", "uncharacterized", "uncharacterised", "undefined", "unspecified", "unnamed",
+    "description pending", "name pending", "no description available", "no description", "to be annotated", "see source record", "uncharacterized", "uncharacterised", "undefined", "unspecified", "unnamed",
     "#n/a", "#ref!", "#name?", "#value!", "#div/0!", "#null!", "#num!",
 )
 # Fixed patterns: dates, powers of ten and serial numbers that a spreadsheet makes of names.
