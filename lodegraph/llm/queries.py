@@ -6,10 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions.values import bare_number, usable
-from lodegraph.llm import spelling, term_counts, truth
+from lodegraph.llm import canonical, spelling, term_counts, truth
 from lodegraph.runtime import table
 
 
+# 1: the reference entry of a freely typed name
+
+
+def _named_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases, labels = table(spark, sf_dir, "name_only_cases"), table(spark, sf_dir, "metabolite_gold_labels")
+    return canonical.match_names(cases, "case_id", "input_name", labels, "label_id", "label", "short_code")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named_cases(spark, sf_dir).select("case_id", F.col("entry").alias("label_id"))
+
+
+def p1_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the typed names are from their entries, and how many stay unmatched or tied."""
+    ties = F.least("ties", F.lit(2)).alias("entries_up_to_2")
+    return _named_cases(spark, sf_dir).groupBy("distance", ties).agg(F.count("*").alias("n_cases"))
+
+
 # 2: one gene from the records that share a gene_uid
 
 
@@ -81,6 +99,8 @@ def p6_token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_distances": p1_distances,
     "p2_found": p2_found,
     "p2_free_truths": p2_free_truths,
     "p2_reliability": p2_reliability,
