@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.functions.values import bare_number, usable
-from lodegraph.llm import canonical, spelling, term_counts, truth
+from lodegraph.functions.values import bare_number, is_missing, usable
+from lodegraph.llm import canonical, components, spelling, term_counts, truth
 from lodegraph.runtime import table
 
 
@@ -83,6 +83,36 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.filter("freq_mark is not null")
 
 
+# 5: one group identifier for chemicals that share identifiers
+
+
+def _identifier(source: Column, xref: Column) -> Column:
+    """`SOURCE:id` in one spelling: without case, blanks, source prefix, `.0` and leading zeros; null for a stand-in."""
+    name = F.upper(F.regexp_replace(source, r"\s", ""))
+    flat = F.upper(F.regexp_replace(xref, r"\s", ""))
+    prefix = F.concat(F.lit("^(?:"), F.regexp_replace(name, r"([^A-Z0-9])", r"\\\\$1"), F.lit("[:_#-]*)+"))
+    bare = F.regexp_replace(flat, prefix, F.lit(""))
+    bare = F.regexp_replace(bare, r"^([0-9]+)\.0+$", "$1")
+    bare = F.regexp_replace(bare, r"^([A-Z]*)0+(?=[0-9])", "$1")
+    missing = is_missing(xref) | name.isNull() | (name == "") | bare.rlike("^0*$")
+    return F.when(~missing, F.concat(name, F.lit(":"), bare))
+
+
+def _chemical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "chemical_xrefs").filter("xref_type = 'exact'")
+    rows = rows.select("chemical_uid", _identifier(F.col("xref_source"), F.col("xref_id")).alias("identifier"))
+    return components.group_by_identifier(rows, "chemical_uid", "identifier")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chemical_groups(spark, sf_dir).filter("n_records >= 2").select("chemical_uid", "group_uid")
+
+
+def p5_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = _chemical_groups(spark, sf_dir).groupBy("group_uid").agg(F.max("n_records").alias("n_records"))
+    return groups.groupBy("n_records").agg(F.count("*").alias("n_groups"))
+
+
 # 6: one form of texts that look the same
 
 
@@ -99,6 +129,8 @@ def p6_token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_group_sizes": p5_group_sizes,
     "p1_found": p1_found,
     "p1_distances": p1_distances,
     "p2_found": p2_found,
