@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions.values import bare_number, is_missing, usable
-from lodegraph.llm import canonical, components, spelling, term_counts, truth
-from lodegraph.runtime import table
+from lodegraph.llm import canonical, components, mixing, packing, reading, spelling, term_counts, truth
+from lodegraph.llm.tokens import token_count
+from lodegraph.runtime import Scratch, table
 
 
 # 1: the reference entry of a freely typed name
@@ -128,6 +129,65 @@ def p6_token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.token_kinds(table(spark, sf_dir, "sentence_mentions"), "surface")
 
 
+# 7: containers of 2,048 tokens
+
+
+def _document_tokens(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Documents with their size in tokens, worked out once."""
+    sized = table(spark, sf_dir, "documents").select("doc_id", *columns, token_count(F.col("text")).alias("n_tokens"))
+    return Scratch(spark, "tokens").save(sized)
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_document_tokens(spark, sf_dir), "doc_id", "n_tokens", 2048)
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _packed(spark, sf_dir).withColumnsRenamed({"n_units": "n_tokens", "first_unit": "first_token"})
+    return out.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, their room that stays unused, and the least number that the tokens need."""
+    used = _packed(spark, sf_dir).groupBy("container_id").agg(F.sum("n_units").alias("used"), F.count("*").alias("pieces"))
+    out = used.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("pieces").alias("pieces"), F.max("used").alias("fullest"))
+    return out.withColumn("least_containers", F.ceil(F.col("tokens") / 2048)).withColumn("unused_share", 1 - F.col("tokens") / (F.col("containers") * 2048))
+
+
+# 8: sources at target shares of all tokens
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_document_tokens(spark, sf_dir, "source"), "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0].withColumnRenamed("size", "n_tokens")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1].withColumnsRenamed({"available": "tokens_available", "used": "tokens_used"})
+
+
+# 9: reading level
+
+
+def _reading_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, reading.Model]:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return documents, reading.train(documents, table(spark, sf_dir, "reading_labels"), "doc_id", "text", "reading_level")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, model = _reading_model(spark, sf_dir)
+    return reading.reading_levels(documents, "doc_id", "text", model).select("doc_id", "reading_level")
+
+
+def p9_word_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The acquisition grade of each known word."""
+    _, model = _reading_model(spark, sf_dir)
+    return spark.createDataFrame([(w, round(g, 6)) for w, g in model.word_grade.items()], "word string, grade double")
+
+
 QUERIES = {
     "p5_found": p5_found,
     "p5_group_sizes": p5_group_sizes,
@@ -139,5 +199,11 @@ QUERIES = {
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p6_token_kinds": p6_token_kinds,
+    "p7_packed": p7_packed,
+    "p7_fill": p7_fill,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_word_grades": p9_word_grades,
 }
 ORACLES: dict[str, str] = {}
