@@ -80,7 +80,7 @@ def language(words: list[str]) -> str | None:
     return votes.most_common(1)[0][0] if votes else None
 
 
-def is_english(words: list[str], share: float = 0.1) -> bool:
+def is_english(words: list[str], share: float = 0.03) -> bool:
     english = sum(w in _ENGLISH for w in words)
     return english >= share * len(words) and language(words) == "en"
 
