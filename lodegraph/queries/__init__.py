@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("packed", "keys", "graph", "resolve")
+AREAS = ("packed", "keys", "graph", "resolve", "literature")
 
 
 def queries() -> dict:
