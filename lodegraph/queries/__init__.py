@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("packed", "keys", "graph", "resolve", "literature")
+AREAS = ("packed", "keys", "graph", "resolve", "literature", "learning")
 
 
 def queries() -> dict:
