@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("packed", "keys", "graph", "resolve", "literature", "learning", "overlays")
+AREAS = ("packed", "keys", "graph", "resolve", "literature", "learning", "overlays", "models")
 
 
 def queries() -> dict:

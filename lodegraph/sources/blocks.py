@@ -103,7 +103,7 @@ def read_gmt(spark: SparkSession, path: str, species: str | None = None) -> Data
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """file, title, pmid, pub_date, abstract, body of local article texts: header lines, the title after `Subjects:`, the abstract before `Introduction`."""
     t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r", "").alias("t"))
-    get = lambda p: F.nullif(F.trim(F.regexp_extract("t", p, 1)), F.lit(""))
+    get = lambda p: F.nullif(F.regexp_replace(F.regexp_extract("t", p, 1), r"^\s+|\s+$", ""), F.lit(""))
     body = get(r"(?is)\n\s*introduction\s*\n(.*)$")
     return t.select(
         "file", F.coalesce(get(r"(?im)^subjects?:[^\n]*\n+([^\n]+)"), get(r"(?im)^title:\s*([^\n]+)")).alias("title"), get(r"(?im)^pmid:\s*([0-9]+)").alias("pmid"),
