@@ -137,13 +137,9 @@ def unpack_fields(df: DataFrame, key: str, term_fields: Sequence[str], symbol_fi
     as one key.  Other columns are ignored, whatever their names.
     """
     rows = df.select(key, *term_fields, *symbol_fields).dropDuplicates([key])
-    fields = lambda names: F.array(*[F.struct(F.lit(n).alias("field_name"), F.col(n).alias("packed")) for n in names])
-    parts = []
-    for names, parse in ((term_fields, _unpack_terms), (symbol_fields, _unpack_symbols)):
-        if names:
-            long = rows.select(key, F.inline(fields(names))).filter(F.trim("packed") != "")
-            parts.append(long.select(key, "field_name", F.inline(parse("packed"))))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    cells = [F.struct(F.lit(n).alias("field_name"), F.lit(n in symbol_fields).alias("of_symbols"), F.col(n).alias("packed")) for n in (*term_fields, *symbol_fields)]
+    long = rows.select(key, F.inline(F.array(*cells))).filter(F.trim("packed") != "")
+    # each parser gets null for the other one's fields
+    terms = _unpack_terms(F.when(~F.col("of_symbols"), F.col("packed")))
+    symbols = _unpack_symbols(F.when(F.col("of_symbols"), F.col("packed")))
+    return long.select(key, "field_name", F.inline(F.concat(terms, symbols)))
