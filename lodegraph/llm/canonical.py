@@ -80,11 +80,9 @@ class Index:
 def _found(keys: list, names: list[str | None], index: Index, radius: int) -> list[tuple]:
     distinct = list(dict.fromkeys(n for n in names if n is not None and n.strip()))
     best = dict(zip(distinct, index.best(distinct, radius), strict=True))
-    rows = []
-    for key, name in zip(keys, names, strict=True):
-        if hit := best.get(name):
-            rows.append((key, hit[0], min(hit[1], default=None), len(hit[1])))
-    return rows
+    none = (None, ())
+    hits = [best.get(n) or none for n in names]
+    return [(key, d, min(found, default=None), len(found)) for key, (d, found) in zip(keys, hits, strict=True)]
 
 
 def match_names(
@@ -135,9 +133,10 @@ def match_names(
         left = named.select("key", F.col("name").alias("name_"), F.pmod(F.hash("key"), F.lit(chunks)).alias("chunk"), each(shards).alias("shard"))
         right = listed.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int")).withColumn("chunk", each(chunks))
         found = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInPandas(search_shard, _FOUND)
-    tied = found.groupBy("key", "distance").agg(F.sum("ties").alias("ties"), F.min("entry").alias("entry"))
-    won = tied.groupBy("key").agg(F.min(F.struct("distance", "ties", "entry")).alias("w"))
-    one = F.when(F.col("w.ties") == 1, F.col("w.entry")).otherwise(F.lit(-1).cast("long"))
-    return named.select("key").join(won, "key", "left").select(
-        F.col("key").alias(key), F.coalesce(one, F.lit(-1).cast("long")).alias("entry"), F.col("w.distance").alias("distance"), F.coalesce("w.ties", F.lit(0).cast("long")).alias("ties")
-    )
+        # the shards' winners: those at the smallest distance count together
+        tied = found.groupBy("key", "distance").agg(F.sum("ties").alias("ties"), F.min("entry").alias("entry"))
+        reach = F.coalesce("distance", F.lit(2**31 - 1))
+        won = tied.groupBy("key").agg(F.min(F.struct(reach.alias("reach"), "distance", "ties", "entry")).alias("w"))
+        found = won.select("key", "w.distance", "w.entry", "w.ties")
+    one = F.when(F.col("ties") == 1, F.col("entry")).otherwise(F.lit(-1).cast("long"))
+    return found.select(F.col("key").alias(key), one.alias("entry"), "distance", "ties")
