@@ -1 +1 @@
-"""Placeholder."""
+"""Incremental versions of batch aggregates, on Structured Streaming."""
