@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.values import bare_number, is_missing, usable
 from lodegraph.llm import canonical, components, mixing, packing, reading, spelling, term_counts, truth
+from lodegraph.llm.oracles import ORACLES  # noqa: F401
 from lodegraph.llm.tokens import token_count
 from lodegraph.runtime import Scratch, table
 
@@ -206,4 +207,4 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_word_grades": p9_word_grades,
 }
-ORACLES: dict[str, str] = {}
+

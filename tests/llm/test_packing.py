@@ -24,7 +24,7 @@ def sequential(sizes, capacity):
 def test_place_is_best_fit_decreasing(sizes):
     rules, n = place([(s, sizes.count(s)) for s in set(sizes)], 30)
     used, order = {}, sorted(sizes, reverse=True)
-    ends = [r.first_rank for r in rules[1:]] + [len(order)]
+    ends = ([r.first_rank for r in rules[1:]] + [len(order)]) if rules else []
     for r, end in zip(rules, ends, strict=True):
         for rank in range(r.first_rank, end):
             assert order[rank] == r.size
