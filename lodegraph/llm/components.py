@@ -9,10 +9,11 @@ The links form a graph; every vertex gets the smallest vertex of its component.
    after ``peel_rounds``; what it reached is contracted to one vertex and stays
    linked to the rest, so nothing is lost.
 2. *Minimum propagation.*  Every remaining vertex takes the smallest label of
-   itself and its neighbours; trees of labels are shortened by pointer jumping,
-   every tree is contracted to one vertex, and the links between trees are kept.
-   Vertices are compared by a hash first, so that a chain of any length shrinks
-   by a constant factor in each round and the rounds grow with its logarithm.
+   itself and its neighbours, then the label of that label (a jump), and the
+   links are rewritten to labels.  A link between a vertex and its label stays a
+   link between their labels, so no connection is lost.  Vertices are compared by
+   a hash first, so that a chain of any length shrinks by a constant factor in
+   each round and the rounds grow with its logarithm.
 
 Links and labels are only ever joined and aggregated; aggregates combine before
 the shuffle.  A join on the ends of links would send all links of a hub to one
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.runtime import Scratch
+from lodegraph.runtime import BROADCAST_ROWS, Scratch
 
 #: A vertex with more than this part of all links is hot; there are at most 2 x HOT_PARTS of them.
 HOT_PARTS = 500
@@ -97,18 +98,11 @@ def _labelled(reached: list[DataFrame], hub: str) -> DataFrame:
     return out.distinct().select("v", F.lit(hub).alias("label"))
 
 
-def _shorten(tree: DataFrame, scratch: Scratch) -> DataFrame:
-    """Labels (v, label) of a forest, each replaced by its root's."""
-    while True:
-        up = tree.select(F.col("v").alias("label"), F.col("label").alias("above"))
-        jumped = tree.join(up, "label", "left").select("v", F.coalesce("above", "label").alias("next"), "label")
-        jumped = scratch.save(jumped)
-        moved = jumped.filter("next <> label").isEmpty()
-        scratch.drop([tree])
-        tree = jumped.select("v", F.col("next").alias("label"))
-        tree._scratch_path = jumped._scratch_path  # type: ignore[attr-defined]
-        if moved:
-            return tree
+def _jump(tree: DataFrame, near: DataFrame, total: int) -> DataFrame:
+    """Every label replaced by its own label. Labels of many vertices have many links: they are the hot ones."""
+    hot = near.filter(F.col("n") * HOT_PARTS > total).select("v")
+    up = tree.select("v", F.col("label").alias("label"))
+    return _relabel(tree.select("v", F.col("label").alias("end")), up, hot, "end").select("v", F.col("end").alias("label"))
 
 
 def connected_components(links: DataFrame, a: str, b: str, peel_rounds: int = 4, max_rounds: int = 60) -> DataFrame:
@@ -132,8 +126,7 @@ def connected_components(links: DataFrame, a: str, b: str, peel_rounds: int = 4,
         if not total:
             break
         hot = near.filter(F.col("n") * HOT_PARTS > total).select("v")
-        hot = scratch.save(hot, 1)
-        tree = _shorten(scratch.save(near.select("v", "label")), scratch)
+        tree = scratch.save(_jump(near.select("v", "label"), near, total))
         moved = _relabel(_relabel(rest, tree, hot, "a"), tree, hot, "b").filter("a <> b")
         moved = scratch.save(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         scratch.drop([rest, near])
@@ -167,7 +160,12 @@ def group_by_identifier(rows: DataFrame, record: str, identifier: str, **options
     scratch = Scratch(spark, "groups")
     used = rows.select(F.col(record).cast("string").alias("r"), F.concat(F.lit("id\x00"), F.col(identifier)).alias("i"))
     used = scratch.save(used.filter("r is not null and i is not null").distinct())
-    labels = connected_components(used, "r", "i", **options)
-    members = scratch.save(labels.filter(~F.col("v").startswith("id\x00")))
-    groups = members.groupBy("label").agg(F.min("v").alias("group_uid"), F.count("*").alias("n_records"))
-    return members.join(groups, "label").select(F.col("v").alias(record), "group_uid", "n_records")
+    # an identifier of one record links nothing
+    several = used.groupBy("i").agg(F.count("*").alias("n")).filter("n > 1").select("i")
+    labels = connected_components(used.join(several, "i", "left_semi"), "r", "i", **options)
+    linked = scratch.save(labels.filter(~F.col("v").startswith("id\x00")))
+    groups = linked.groupBy("label").agg(F.min("v").alias("group_uid"), F.count("*").alias("n_records"))
+    small = groups.count() <= BROADCAST_ROWS
+    members = linked.join(F.broadcast(groups) if small else groups, "label").select(F.col("v").alias("r"), "group_uid", "n_records")
+    alone = used.select("r").distinct().join(members, "r", "left_anti").select("r", F.col("r").alias("group_uid"), F.lit(1).cast("long").alias("n_records"))
+    return members.unionByName(alone).withColumnRenamed("r", record)
