@@ -118,7 +118,7 @@ def connected_components(links: DataFrame, a: str, b: str, peel_rounds: int = 4,
     all_links = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     vertices = _both_ways(all_links).select(F.col("a").alias("v")).distinct()
     peeled, rest = _peel(all_links.filter("a <> b"), scratch, peel_rounds)
-    layers = [] if peeled is None else [peeled]
+    layers: list[DataFrame] = []
     for _ in range(max_rounds):
         near = _both_ways(rest).groupBy("a").agg(F.min(_order("b")).alias("least"), F.count("*").alias("n"))
         near = scratch.save(near.select(F.col("a").alias("v"), F.least("least", _order("a"))["v"].alias("label"), "n"))
@@ -134,15 +134,21 @@ def connected_components(links: DataFrame, a: str, b: str, peel_rounds: int = 4,
         layers.append(tree)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    # every layer maps the vertices of its round; the last one is final
+    # a layer maps every vertex of its round to one of the next round; the last layer is final
     final = None
-    for layer in reversed(layers):
-        if final is None:
-            final = layer.select("v", "label")
-        else:
+    for depth, layer in enumerate(reversed(layers)):
+        layer = layer.select("v", "label")
+        if final is not None:
             above = final.select(F.col("v").alias("label"), F.col("label").alias("above"))
-            here = layer.join(above, "label", "left").select("v", F.coalesce("above", "label").alias("label"))
-            final = scratch.save(here.union(final.join(here, "v", "left_anti")))
+            layer = layer.join(above, "label", "left").select("v", F.coalesce("above", "label").alias("label"))
+        final = scratch.save(layer) if depth % 6 == 5 else layer
+    if peeled is not None and final is None:
+        final = peeled
+    elif peeled is not None:
+        final = scratch.save(final)
+        above = final.select(F.col("v").alias("label"), F.col("label").alias("above"))
+        peeled = peeled.join(above, "label", "left").select("v", F.coalesce("above", "label").alias("label"))
+        final = peeled.union(final.join(peeled, "v", "left_anti"))
     if final is None:
         return vertices.select("v", F.col("v").alias("label"))
     return vertices.join(final, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
