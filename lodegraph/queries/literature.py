@@ -9,7 +9,7 @@ from lodegraph.functions import text as X
 from lodegraph.functions.keys import hash_bucket
 from lodegraph.functions.values import bare_number
 from lodegraph.operators import literature as L
-from lodegraph.runtime import table
+from lodegraph.runtime import table, widen
 
 C = F.col
 TERMS = {
@@ -26,7 +26,7 @@ def _mentions(spark, d, *columns):
 
 
 def _sentences(spark, d):
-    return L.split_sentences(table(spark, d, "documents"), "doc_id", "text")
+    return L.split_sentences(widen(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +75,9 @@ class Scratch:
             jvm = self.spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be gone
-            pass
+        except Exception:  # the session may be gone; a folder of this machine can still be removed
+            if path.startswith(("/", "file:/")):
+                shutil.rmtree(urlparse(path).path, ignore_errors=True)
 
 
 def task_count(spark: SparkSession, rows: int, rows_per_task: int) -> int:
@@ -88,6 +91,16 @@ def spread(df: DataFrame, rows_per_task: int, *keys: str) -> DataFrame:
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """A scanned table in at least as many partitions as there are cores, for heavy work on its rows.
+
+    Only for a plan without shuffles.  A table of many files or blocks has them
+    already and isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that don't clash with those of df."""
     have = {c.lower() for c in df.columns}
