@@ -73,11 +73,16 @@ def longest_matches(found: DataFrame, keys: Sequence[str], most: int = 14) -> Da
     return top_in_group(out, keys, [F.desc("confidence"), F.asc("token_from"), F.asc("token_to"), F.asc("entity_type"), F.asc("entity_uid")], most)
 
 
+def cap_mentions(mentions: DataFrame, unit: str, confidence: str, order: Sequence[str], most: int = 14) -> DataFrame:
+    """The most confident mentions of each sentence; pairs of mentions are then bounded by a constant for each sentence."""
+    return top_in_group(mentions, [unit], [F.desc(confidence), *[F.asc(c) for c in order]], most)
+
+
 def relation_pairs(mentions: DataFrame, keys: Sequence[str], pairs: DataFrame, most_distance: int) -> DataFrame:
     """keys, subject_uid, object_uid, subject_type, object_type, predicate, distance, min_confidence.
 
-    mentions: keys, entity_uid, entity_type, start, end, confidence.  pairs:
-    subject_type, object_type, predicate.  The distance is the gap between the
+    mentions: keys, entity_uid, entity_type, start, end, confidence; keys are a
+    sentence with a capped number of mentions (:func:`cap_mentions`).  pairs: subject_type, object_type, predicate.  The distance is the gap between the
     two spans; the nearest pair of two entities counts.
     """
     cols = ("entity_uid", "entity_type", "start", "end", "confidence")

@@ -74,15 +74,16 @@ def longest_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _relations(spark, d):
-    m = _mentions(spark, d, *COLUMNS[1:]).select("sentence_uid", "article_uid", "section", "entity_uid", "entity_type", C("start_offset").alias("start"), C("end_offset").alias("end"), F.coalesce("resolution_confidence", F.lit(0.5)).alias("confidence"))
+    m = _mentions(spark, d, *COLUMNS[1:]).select("mention_uid", "sentence_uid", "article_uid", "section", "entity_uid", "entity_type", C("start_offset").alias("start"), C("end_offset").alias("end"), F.coalesce("resolution_confidence", F.lit(0.5)).alias("confidence"))
+    m = L.cap_mentions(m, "sentence_uid", "confidence", ["start", "end", "mention_uid"])
     pairs = spark.createDataFrame(PAIRS, "subject_type string, object_type string, predicate string")
-    rel = L.relation_pairs(m, ["article_uid"], pairs, 240)
-    per = m.groupBy("article_uid").agg(F.count("*").alias("n_mentions"), F.max(F.when(C("entity_type") == "disease", 1).otherwise(0)).alias("disease"), F.min("section").alias("section"))
-    return rel.join(per, "article_uid")
+    rel = L.relation_pairs(m, ["sentence_uid"], pairs, 240)
+    per = m.groupBy("sentence_uid").agg(F.count("*").alias("n_mentions"), F.max(F.when(C("entity_type") == "disease", 1).otherwise(0)).alias("disease"), F.min("section").alias("section"), F.min("article_uid").alias("article_uid"))
+    return rel.join(per, "sentence_uid")
 
 
 def relations(spark: SparkSession, d: str) -> DataFrame:
-    return _relations(spark, d).select("article_uid", "subject_uid", "object_uid", "predicate", "distance", F.round("min_confidence", 6).alias("min_confidence"))
+    return _relations(spark, d).select("sentence_uid", "subject_uid", "object_uid", "predicate", "distance", F.round("min_confidence", 6).alias("min_confidence"))
 
 
 def _probable(spark, d):
@@ -92,7 +93,7 @@ def _probable(spark, d):
 
 
 def relation_probability(spark: SparkSession, d: str) -> DataFrame:
-    return _probable(spark, d).filter("p >= 0.2").select("article_uid", "subject_uid", "object_uid", F.round(C("p") + 1e-9, 6).alias("p"))
+    return _probable(spark, d).filter("p >= 0.2").select("sentence_uid", "subject_uid", "object_uid", F.round(C("p") + 1e-9, 6).alias("p"))
 
 
 def noisy_or(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +115,7 @@ def edge_support(spark: SparkSession, d: str) -> DataFrame:
     r = r.withColumn("status", F.when(C("b") == 9, "contradict").when(C("b") == 8, "uncertain").when(C("b") == 7, "background").otherwise("support"))
     known = r.filter(hash_bucket(C("object_uid"), 8, 5) == 0).select("subject_uid", "predicate", "object_uid")
     out = L.edge_support(r.withColumnRenamed("article_uid", "article"), known)
-    return out.select("subject_uid", "predicate", "object_uid", F.round("probability", 6).alias("probability"), "n_articles", F.array_join("polarities", ";").alias("polarities"), F.array_join("statuses", ";").alias("statuses"), "is_known", "support_class")
+    return out.select("subject_uid", "predicate", "object_uid", F.round(C("probability") + 1e-9, 6).alias("probability"), "n_articles", F.array_join("polarities", ";").alias("polarities"), F.array_join("statuses", ";").alias("statuses"), "is_known", "support_class")
 
 
 def precision_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +152,7 @@ def fact_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def co_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return L.co_mentions(_mentions(spark, d, "article_uid", "entity_uid", "entity_type"), "article_uid", "entity_uid", "entity_type")
+    return L.co_mentions(_mentions(spark, d, "sentence_uid", "entity_uid", "entity_type"), "sentence_uid", "entity_uid", "entity_type")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -196,14 +197,15 @@ _M = "m as (select distinct mention_uid, sentence_uid, article_uid, pmid, sectio
 _PAIR_ROWS = " union all ".join(f"select '{a}' as st, '{b}' as ot, '{p}' as predicate" for a, b, p in PAIRS)
 _REL = f"""
     {_M}, pt as ({_PAIR_ROWS}),
-    r as (select a.article_uid, a.entity_uid as subject_uid, b.entity_uid as object_uid, predicate,
-        min(greatest(0, a.start_offset - b.end_offset, b.start_offset - a.end_offset)) as distance, max(least(coalesce(a.resolution_confidence, 0.5), coalesce(b.resolution_confidence, 0.5))) as min_confidence
-      from m a join m b on a.article_uid = b.article_uid and a.entity_uid <> b.entity_uid join pt on a.entity_type = st and b.entity_type = ot
+    k as (select *, coalesce(resolution_confidence, 0.5) as c, row_number() over (partition by sentence_uid order by coalesce(resolution_confidence, 0.5) desc, start_offset, end_offset, mention_uid) as rn from m),
+    k2 as (select * from k where rn <= 14),
+    r as (select a.sentence_uid, a.entity_uid as subject_uid, b.entity_uid as object_uid, predicate, min(greatest(0, a.start_offset - b.end_offset, b.start_offset - a.end_offset)) as distance, max(least(a.c, b.c)) as min_confidence
+      from k2 a join k2 b on a.sentence_uid = b.sentence_uid and a.entity_uid <> b.entity_uid join pt on a.entity_type = st and b.entity_type = ot
       where greatest(0, a.start_offset - b.end_offset, b.start_offset - a.end_offset) <= 240 group by 1, 2, 3, 4),
-    per as (select article_uid, count(*) as n_mentions, max((entity_type = 'disease')::int) as disease, min(section) as section from m group by 1)"""
+    per as (select sentence_uid, count(*) as n_mentions, max((entity_type = 'disease')::int) as disease, min(section) as section, min(article_uid) as article_uid from k2 group by 1)"""
 _SECTION = "coalesce(map {" + ", ".join(f"'{k}': {v}::double" for k, v in X.SECTION_WEIGHTS.items()) + "}[lower(trim(section))], 0.7)"
-_PROB = f"""{_REL}, pr as (select r.*, greatest(0, least(1, 0.74::double * {_SECTION} * min_confidence * (case when disease = 1 then 1.0 else 0.85 end)::double * (case when predicate <> 'associated_with_disease' then 1.0 else 0.82 end)::double
-      * (case when distance <= 80 then 1.0 when distance <= 160 then 0.88 else 0.72 end)::double * (case when n_mentions <= 6 then 1.0::double else greatest(0.72::double, 1.0::double - 0.035::double * (n_mentions - 6)) end))) as p from r join per using (article_uid))"""
+_PROB = f"""{_REL}, pr as (select r.*, article_uid, greatest(0, least(1, 0.74::double * {_SECTION} * min_confidence * (case when disease = 1 then 1.0 else 0.85 end)::double * (case when predicate <> 'associated_with_disease' then 1.0 else 0.82 end)::double
+      * (case when distance <= 80 then 1.0 when distance <= 160 then 0.88 else 0.72 end)::double * (case when n_mentions <= 6 then 1.0::double else greatest(0.72::double, 1.0::double - 0.035::double * (n_mentions - 6)) end))) as p from r join per using (sentence_uid))"""
 _B = "('0x' || left(sha256({x}), 8))::bigint % {n}"
 _RULE_ROWS = " union all ".join(f"select '{a}' as rs, '{b}' as rt, '{c}' as rf, {m}::double as mult" for a, b, c, m in RULES)
 
@@ -224,8 +226,8 @@ ORACLES = {
         g as (select doc_id, sentence_no, toks, unnest(range(len(toks))) as i from t),
         n as (select doc_id, sentence_no, i::int as token_from, (i + w)::int as token_to, array_to_string(toks[i + 1 : i + w], ' ') as surface_key from g, range(1, 11) r(w) where i + w <= len(toks))
         select doc_id, sentence_no, entity_uid, entity_type, token_from, token_to, surface_key from n join lex using (surface_key)""",
-    "relations": f"with {_REL} select article_uid, subject_uid, object_uid, predicate, distance, round(min_confidence, 6) as min_confidence from r",
-    "relation_probability": f"with {_PROB} select article_uid, subject_uid, object_uid, round(p + 1e-9::double, 6) as p from pr where p >= 0.2",
+    "relations": f"with {_REL} select sentence_uid, subject_uid, object_uid, predicate, distance, round(min_confidence, 6) as min_confidence from r",
+    "relation_probability": f"with {_PROB} select sentence_uid, subject_uid, object_uid, round(p + 1e-9::double, 6) as p from pr where p >= 0.2",
     "noisy_or": f"with {_M} select entity_uid, round(1 - product(1 - resolution_confidence * 0.02::double), 6) as probability, count(*) as n from m where resolution_confidence is not null group by 1",
     "clustered_probability": f"""
         with {_M}, a as (select entity_uid, article_uid, max(resolution_confidence * 0.02::double) as p, count(*) as n from m where resolution_confidence is not null group by 1, 2)
@@ -233,8 +235,9 @@ ORACLES = {
     "edge_support": f"""
         with {_PROB}, q as (select *, {_B.format(x="subject_uid || article_uid", n=10)} as b from pr),
         v as (select *, case when b < 2 then 'activation' when b < 3 then 'inhibition' else 'association' end as polarity, case when b = 9 then 'contradict' when b = 8 then 'uncertain' when b = 7 then 'background' else 'support' end as status from q),
-        e as (select subject_uid, predicate, object_uid, 1 - product(1 - p) as probability, count(*) as n_articles, list_sort(list_distinct(list(polarity))) as pol, list_sort(list_distinct(list(status))) as st, {_B.format(x="object_uid", n=5)} = 0 as is_known from v group by 1, 2, 3)
-        select subject_uid, predicate, object_uid, round(probability, 6) as probability, n_articles, array_to_string(pol, ';') as polarities, array_to_string(st, ';') as statuses, is_known,
+        w as (select subject_uid, predicate, object_uid, article_uid, max(p) as p, list(polarity) as pol, list(status) as st from v group by 1, 2, 3, 4),
+        e as (select subject_uid, predicate, object_uid, 1 - product(1 - p) as probability, count(*) as n_articles, list_sort(list_distinct(flatten(list(pol)))) as pol, list_sort(list_distinct(flatten(list(st)))) as st, {_B.format(x="object_uid", n=5)} = 0 as is_known from w group by 1, 2, 3)
+        select subject_uid, predicate, object_uid, round(probability + 1e-9::double, 6) as probability, n_articles, array_to_string(pol, ';') as polarities, array_to_string(st, ';') as statuses, is_known,
           case when list_contains(st, 'contradict') or (list_contains(pol, 'activation') and list_contains(pol, 'inhibition')) then 'conflict_candidate'
             when not list_contains(st, 'support') and st = ['background'] then 'background_candidate' when not list_contains(st, 'support') then 'unresolved'
             when is_known then case when len(list_filter(pol, lambda x: x <> 'association')) > 0 then 'support_direction' else 'confirm' end when probability >= 0.25 then 'novel_candidate' else 'unresolved' end as support_class from e""",
@@ -256,6 +259,6 @@ ORACLES = {
         b as (select *, concat_ws(';', case when source_record_uid is null then 'no_record' end, case when xref_id is null or trim(xref_id, ' ') = '' then 'no_identifier' end, case when role = 'participant' then 'unresolved_role' end) as blocking_reasons from r)
         select role, blocking_reasons, (case when blocking_reasons <> '' then 0 when role <> 'participant' and semantic then 0.96 when role <> 'participant' then 0.92 else 0.78 end)::double as readiness, count(*) as n_rows from b group by 1, 2, 3""",
     "co_mentions": f"""
-        with {_M}, e as (select distinct article_uid, entity_uid, entity_type from m)
-        select x.entity_uid as a, y.entity_uid as b, x.entity_type as a_type, y.entity_type as b_type, count(*) as n_units from e x join e y using (article_uid) where x.entity_uid < y.entity_uid and x.entity_type <> y.entity_type group by 1, 2, 3, 4 having count(*) >= 2""",
+        with {_M}, e as (select distinct sentence_uid, entity_uid, entity_type from m)
+        select x.entity_uid as a, y.entity_uid as b, x.entity_type as a_type, y.entity_type as b_type, count(*) as n_units from e x join e y using (sentence_uid) where x.entity_uid < y.entity_uid and x.entity_type <> y.entity_type group by 1, 2, 3, 4 having count(*) >= 2""",
 }
