@@ -9,7 +9,7 @@ from lodegraph.functions.values import bare_number, is_missing, usable
 from lodegraph.llm import canonical, components, mixing, packing, reading, spelling, term_counts, truth
 from lodegraph.llm.oracles import ORACLES  # noqa: F401
 from lodegraph.llm.tokens import token_count
-from lodegraph.runtime import Scratch, table
+from lodegraph.runtime import Scratch, table, widen
 
 
 # 1: the reference entry of a freely typed name
@@ -76,7 +76,7 @@ def p2_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mentions = table(spark, sf_dir, "sentence_mentions").select("mention_uid", "normalized_surface", "pmid")
+    mentions = widen(table(spark, sf_dir, "sentence_mentions").select("mention_uid", "normalized_surface", "pmid"))
     pmid = bare_number(F.col("pmid"))
     total = mentions.select(pmid.alias("pmid")).agg(F.count_distinct("pmid")).head()[0]
     counts = term_counts.term_frequencies(mentions, spelling.consistent(F.col("normalized_surface")), pmid, F.col("mention_uid"))
@@ -135,7 +135,8 @@ def p6_token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_tokens(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Documents with their size in tokens, worked out once."""
-    sized = table(spark, sf_dir, "documents").select("doc_id", *columns, token_count(F.col("text")).alias("n_tokens"))
+    documents = widen(table(spark, sf_dir, "documents").select("doc_id", *columns, "text"))
+    sized = documents.select("doc_id", *columns, token_count(F.col("text")).alias("n_tokens"))
     return Scratch(spark, "tokens").save(sized)
 
 
@@ -174,7 +175,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reading_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, reading.Model]:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = widen(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return documents, reading.train(documents, table(spark, sf_dir, "reading_labels"), "doc_id", "text", "reading_level")
 
 
