@@ -126,3 +126,46 @@ def trigger(text: Column, family: str) -> Column:
 def section_weight(section: Column) -> Column:
     weights = F.create_map(*[F.lit(x) for kv in SECTION_WEIGHTS.items() for x in kv])
     return F.coalesce(F.element_at(weights, F.lower(F.trim(section))), F.lit(OTHER_SECTION))
+
+
+def tokens_with_offsets(text: Column) -> Column:
+    """[(token, start, end)] of the alphanumeric tokens of a text, offsets from 0; a fold with a cursor, inside the JVM."""
+    found = F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), 1)
+    item = lambda t, at: F.struct(t.alias("token"), (at - 1).alias("start"), (at - 1 + F.length(t)).alias("end"))
+    start = F.struct(F.lit(1).alias("cursor"), F.array(item(F.lit(""), F.lit(1))).alias("found"))
+
+    def step(acc: Column, t: Column) -> Column:
+        at = F.call_function("locate", t, text, acc["cursor"])
+        return F.struct((at + F.length(t)).alias("cursor"), F.array_append(acc["found"], item(t, at)).alias("found"))
+
+    folded = F.aggregate(found, start, step, lambda acc: acc["found"])
+    return F.slice(folded, 2, 1_000_000)
+
+
+def sentence_offsets(text: Column) -> Column:
+    """[(sentence, start, end)] of the raw sentences of a text, found one after the other; offsets from 0."""
+    found = F.regexp_extract_all(text, F.lit(f"({SENTENCE})"), 1)
+    item = lambda t, at: F.struct(F.trim(t).alias("sentence"), (at - 1).alias("start"), (at - 1 + F.length(t)).alias("end"))
+    start = F.struct(F.lit(1).alias("cursor"), F.array(item(F.lit(""), F.lit(1))).alias("found"))
+
+    def step(acc: Column, t: Column) -> Column:
+        at = F.call_function("locate", t, text, acc["cursor"])
+        return F.struct((at + F.length(t)).alias("cursor"), F.array_append(acc["found"], item(t, at)).alias("found"))
+
+    return F.slice(F.aggregate(found, start, step, lambda acc: acc["found"]), 2, 1_000_000)
+
+
+def split_outside_parentheses(text: Column, separators: str = ",;") -> Column:
+    """The trimmed non-blank parts of a text, split at separators that aren't inside parentheses; a fold over its characters."""
+    chars = F.split(text, "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("part"), F.array(F.lit("")).alias("parts"))
+
+    def step(acc: Column, c: Column) -> Column:
+        depth = F.greatest(F.lit(0), acc["depth"] + F.when(c.isin("(", "["), 1).when(c.isin(")", "]"), -1).otherwise(0))
+        cut = c.isin(*separators) & (acc["depth"] == 0)
+        return F.struct(
+            depth.alias("depth"), F.when(cut, F.lit("")).otherwise(F.concat(acc["part"], c)).alias("part"), F.when(cut, F.array_append(acc["parts"], acc["part"])).otherwise(acc["parts"]).alias("parts")
+        )
+
+    parts = F.aggregate(chars, start, step, lambda acc: F.array_append(acc["parts"], acc["part"]))
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")

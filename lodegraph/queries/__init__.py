@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("packed", "keys", "graph", "resolve", "integration", "literature", "learning", "overlays", "models")
+AREAS = ("packed", "keys", "graph", "resolve", "integration", "literature", "learning", "overlays", "curation", "models")
 
 
 def queries() -> dict:
