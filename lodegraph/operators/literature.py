@@ -158,11 +158,15 @@ def precision_rules(surfaces: DataFrame, rules: DataFrame, keys: Sequence[str])
 
     surfaces: surface_key, entity_type, matched_field.  rules: surface_key,
     entity_type, matched_field (`*` is any), multiplier (0 blocks); all that match
-    multiply.  The few rules are broadcast; without a match the multiplier is 1.
+    multiply; without a match the multiplier is 1.
     """
-    r = rules.select(F.col("surface_key").alias("r_s"), F.col("entity_type").alias("r_t"), F.col("matched_field").alias("r_f"), "multiplier")
-    fits = lambda rule, c: (F.col(rule) == "*") | (F.col(rule) == F.col(c))
-    hit = surfaces.join(F.broadcast(r), fits("r_s", "surface_key") & fits("r_t", "entity_type") & fits("r_f", "matched_field"), "left")
+    # a row asks for its eight ways of being matched, so that the rules are looked up and not tried one by one
+    either = lambda c: F.explode(F.array(F.col(c), F.lit("*")))
+    asks = surfaces.select(*keys, F.col("surface_key").alias("_s"), F.col("entity_type").alias("_t"), F.col("matched_field").alias("_f"))
+    for c in ("_s", "_t", "_f"):
+        asks = asks.withColumn(f"r{c}", either(c))
+    r = rules.groupBy(F.col("surface_key").alias("r_s"), F.col("entity_type").alias("r_t"), F.col("matched_field").alias("r_f")).agg(F.product("multiplier").alias("multiplier"))
+    hit = asks.join(small(r), ["r_s", "r_t", "r_f"], "left")
     out = hit.groupBy(*keys).agg(F.product(F.coalesce("multiplier", F.lit(1.0))).alias("multiplier"))
     return out.select(*keys, (F.col("multiplier") == 0).alias("blocked"), "multiplier")
 

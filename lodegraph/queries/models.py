@@ -39,7 +39,8 @@ def boosted_ranking(spark: SparkSession, d: str) -> DataFrame:
     c = c.withColumn("y", L.choose(C("weak_label"), L.LABEL_SCORES, F.lit(0.0))).withColumn("w", F.lit(1.0)).withColumn("log_n", F.log1p("sentences"))
     out = ml.boosted_scores(c.filter("year < 1998"), c.filter("year >= 1998"), ["log_n", "best"], ["support_class"], "y", "w", rounds=10, depth=3)
     s = out.select("uid", L.capped(C("model_score"), C("weak_label")).alias("score"), (C("y") > 0.7).cast("int").alias("y"))
-    return _rounded(M.roc_auc(s, "score", "y").join(M.average_precision(s, "score", "y"), F.lit(True)))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    return _rounded(one(M.roc_auc(s, "score", "y")).join(one(M.average_precision(s, "score", "y")), "_one").drop("_one"))
 
 
 def isotonic_calibration(spark: SparkSession, d: str) -> DataFrame:

@@ -28,7 +28,8 @@ def write_table(df: DataFrame, path: str, schema: str) -> DataFrame:
     conform(df, schema).write.mode("overwrite").option("compression", "snappy").parquet(path)
     back = spark.read.schema(schema).parquet(path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
-    return content_digest(back).join(files, F.lit(True)).select(F.lit(path).alias("path"), F.col("n_rows").alias("rows"), "files", "bytes", "digest")
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    return one(content_digest(back)).join(one(files), "_one").select(F.lit(path).alias("path"), F.col("n_rows").alias("rows"), "files", "bytes", "digest")
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
