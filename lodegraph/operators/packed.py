@@ -51,7 +51,13 @@ class Grammar:
         end = rf"(?=\s*(?:{delim}|\Z))"
         self.delim = re.compile(delim)
         self.quoted = [
-            (q, re.compile(rf"\s*{q}((?:{q}{q}|\\.|[^{q}\\]|{q}(?!\s*(?:{delim}|\Z)))*){q}\s*?{end}", re.S)) for q in "\"'"
+            (
+                q,
+                # possessive: a quote that isn't closed fails at once and isn't tried in other ways
+                re.compile(rf"\s*{q}((?:{q}{q}|\\.|[^{q}\\]|{q}(?!{q})(?!\s*(?:{delim}|\Z)))*+){q}\s*?{end}", re.S),
+                re.compile(q + end),
+            )
+            for q in "\"'"
         ]
         self.bare = re.compile(rf"(?:\\.|(?!{delim}).)*", re.S)
         self.opening = re.compile(r"\s*[\"']")
@@ -60,9 +66,11 @@ class Grammar:
     def values(self, text: str) -> tuple[list[tuple[str, str]], set[str]]:
         """([(value, flag)], delimiters met outside quotes); blank values are kept."""
         out, met, at = [], set(), 0
+        # no quote that starts behind the last closing one can be closed
+        last = {q: max((m.start() for m in closing.finditer(text)), default=-1) if q in text else -1 for q, _, closing in self.quoted}
         while True:
-            for q, pattern in self.quoted:
-                if m := pattern.match(text, at):
+            for q, pattern, _ in self.quoted:
+                if at < last[q] and (m := pattern.match(text, at)):
                     value, flag = _ESCAPED.sub(r"\1", m.group(1).replace(q + q, q)), "quoted"
                     break
             else:

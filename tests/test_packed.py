@@ -60,3 +60,10 @@ def test_frame(spark):
 def test_long_text():
     assert len(unpack("x, " * 200_000)) == 200_000
     assert unpack('"' * 2001)
+
+
+def test_hostile_quotes():
+    assert unpack('"' + '""' * 60 + "x")
+    assert unpack("'" + "''" * 60 + "x;y")[-1][0] == "y"
+    assert len(unpack('"a;' * 50_000)) == 50_000
+    assert len(unpack('"a" x;' * 20_000)) == 20_000
