@@ -99,8 +99,11 @@ class BKTree:
     def within(self, queries: Sequence[str], radius: int) -> list[list[tuple[int, int]]]:
         """For each query every (place in texts, distance) with distance <= radius; visits are counted in .visited."""
         out: list[list[tuple[int, int]]] = [[] for _ in queries]
-        codes, lengths = encode(queries)
-        q, n = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        # a text longer than every entry by more than the radius is near none
+        reach = int(self.lengths.max()) + radius
+        near = [i for i, t in enumerate(queries) if len(t) <= reach]
+        codes, lengths = encode([queries[i] for i in near])
+        q, n = np.arange(len(near)), np.zeros(len(near), np.int64)
         self.visited = 0
         while len(q):
             self.visited += len(q)
@@ -108,7 +111,7 @@ class BKTree:
             d = lengths[q] if top else distances(codes[q], lengths[q], self.codes[n], self.lengths[n])
             if not top:
                 for i in np.flatnonzero(d <= radius):
-                    out[q[i]].append((int(n[i]) - 1, int(d[i])))
+                    out[near[q[i]]].append((int(n[i]) - 1, int(d[i])))
             begin, end = self.first[n], self.first[n + 1]
             size = end - begin
             who = np.repeat(np.arange(len(q)), size)

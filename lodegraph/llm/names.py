@@ -38,6 +38,10 @@ _FORM = re.compile(r"^([ldab]|alpha|beta)(?:\s*-\s*\w{0,5})?$")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+#: Longer names aren't read for remarks; the whole is their stem.
+LONGEST = 2_000
+
+
 class Name(NamedTuple):
     kind: str  # acid, chain or plain
     marker: str
@@ -66,6 +70,8 @@ def read(text: str) -> Name:
     """The parts of a name that isn't blank."""
     s = re.sub(r"\s+", " ", clean(text)).strip().casefold()
     code = re.sub(r"[^a-z0-9]", "", s)
+    if len(s) > LONGEST:
+        return Name("plain", "", "", code, code)
     for k, v in LETTERS.items():
         s = s.replace(k, v)
     s = s.strip("\"'` ")

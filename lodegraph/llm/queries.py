@@ -92,8 +92,10 @@ def _identifier(source: Column, xref: Column) -> Column:
     """`SOURCE:id` in one spelling: without case, blanks, source prefix, `.0` and leading zeros; null for a stand-in."""
     name = F.upper(F.regexp_replace(source, r"\s", ""))
     flat = F.upper(F.regexp_replace(xref, r"\s", ""))
-    prefix = F.concat(F.lit("^(?:"), F.regexp_replace(name, r"([^A-Z0-9])", r"\\\\$1"), F.lit("[:_#-]*)+"))
-    bare = F.regexp_replace(flat, prefix, F.lit(""))
+    bare = flat
+    for _ in range(2):  # as in `MDB:MDB0001`
+        rest = F.regexp_replace(F.substring(bare, F.length(name) + 1, F.length(bare)), "^[:_#-]+", "")
+        bare = F.when((name != "") & bare.startswith(name), rest).otherwise(bare)
     bare = F.regexp_replace(bare, r"^([0-9]+)\.0+$", "$1")
     bare = F.regexp_replace(bare, r"^([A-Z]*)0+(?=[0-9])", "$1")
     missing = is_missing(xref) | name.isNull() | (name == "") | bare.rlike("^0*$")

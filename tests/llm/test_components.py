@@ -57,3 +57,26 @@ def test_identifiers(spark):
     df = spark.createDataFrame(rows, "v string, i string")
     got = {tuple(r) for r in group_by_identifier(df, "v", "i").collect()}
     assert got == {("r1", "r1", 3), ("r2", "r1", 3), ("r3", "r1", 3), ("r4", "r4", 1)}
+
+
+def test_identifier_spellings(spark):
+    from pyspark.sql import functions as F
+
+    from lodegraph.llm.queries import _identifier
+
+    same = [
+        [("MDB", "MDB0000048"), ("mdb ", " mdb00048"), ("Mdb", "MDB:MDB0000048"), ("MDB", "MDB:0000048"), ("MDB", "MDB-48")],
+        [("CHX", "CHX:265"), (" CHX", "265"), ("chx", "CHX_265"), ("CHX", "CHX: 265")],
+        [("PCID", "9999"), ("pcid", "9999.0"), ("PCID", "PCID 9999"), ("PCID", "PCID9999")],
+        [("KGC", "C00184"), ("KGC", "c00184"), ("KGC", "KGC:C00184")],
+        [("INK", "AANTDCWAZXXASU-RKAAAAAASA-N"), ("ink", "INK:aantdcwazxxasu-rkaaaaaasa-n")],
+        [("MDB", "0"), ("KGC", "n/a"), ("KGC", " "), (None, "5"), ("MDB", None), ("", "5"), ("LMD", "pending"), ("LMD", "Not Assigned"), ("MDB", "MDB0000")],
+    ]
+    rows = [(g, s, x) for g, members in enumerate(same) for s, x in members] + [(90, "[(", "[(5"), (91, "\\\\", "7"), (92, "$1", "$1:8")]
+    df = spark.createDataFrame(rows, "g int, s string, x string").select("g", _identifier(F.col("s"), F.col("x")).alias("i"))
+    got = {}
+    for g, i in df.collect():
+        got.setdefault(g, set()).add(i)
+    assert all(len(got[g]) == 1 for g in range(6)) and got[5] == {None}
+    assert len({next(iter(got[g])) for g in got}) == 9
+    assert got[90] == {"[(:5"}
