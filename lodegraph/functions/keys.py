@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 SOURCE_NAMES = {
     "pubchem.compound": "PUBCHEM.COMPOUND", "pubchem": "PUBCHEM.COMPOUND", "inchi.key": "INCHIKEY",
     "comptox": "EPA.COMPTOX", "guide.to.pharmacology": "GUIDE_TO_PHARMACOLOGY", "nci": "NCIT", "umls.cui": "UMLS",
-    "ncbigene": "NCBI.GENE", "cell.ontology": "CL", "cellontology": "CL", "metabo.state": "METABO_STATE",
+    "ncbigene": "NCBI.GENE", "cell.ontology": "CL", "cellontology": "CL",
 }
 # Prefixes that are written with `_` before an identifier.
 UNDERSCORE_PREFIXES = ("MONDO", "DOID", "EFO", "HP", "GO", "CHEBI", "NCIT", "ORPHANET", "CL", "UBERON")

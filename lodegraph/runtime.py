@@ -11,7 +11,6 @@ from collections.abc import Iterable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast; a side is counted before it is.
 BROADCAST_ROWS = 200_000
@@ -112,12 +111,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         have.add(new.lower())
         out.append(new)
     return out
-
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
-def nonblank(col):
-    """The column, null where it is blank."""
-    return F.when(F.trim(col) != "", col)
