@@ -51,3 +51,8 @@ def unlisted_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
     """file, length: files of a folder that a manifest (file) doesn't list."""
     found = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
     return found.join(manifest.select("file"), "file", "left_anti")
+
+
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> None:
+    """A managed table in buckets of its keys, sorted: joins and aggregates on the keys need no shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
