@@ -30,6 +30,8 @@ from lodegraph.runtime import BROADCAST_ROWS, Scratch
 
 #: A vertex with more than this part of all links is hot; there are at most 2 x HOT_PARTS of them.
 HOT_PARTS = 500
+#: With fewer ends of links than this a task can take them all, and no vertex counts as hot.
+HOT_LEAST = 100_000
 
 
 def _order(c: str):
@@ -98,13 +100,6 @@ def _labelled(reached: list[DataFrame], hub: str) -> DataFrame:
     return out.distinct().select("v", F.lit(hub).alias("label"))
 
 
-def _jump(tree: DataFrame, near: DataFrame, total: int) -> DataFrame:
-    """Every label replaced by its own label. Labels of many vertices have many links: they are the hot ones."""
-    hot = near.filter(F.col("n") * HOT_PARTS > total).select("v")
-    up = tree.select("v", F.col("label").alias("label"))
-    return _relabel(tree.select("v", F.col("label").alias("end")), up, hot, "end").select("v", F.col("end").alias("label"))
-
-
 def connected_components(links: DataFrame, a: str, b: str, peel_rounds: int = 4, max_rounds: int = 60) -> DataFrame:
     """(v, label) for every vertex of the links; equal labels mean one component.
 
@@ -122,11 +117,14 @@ def connected_components(links: DataFrame, a: str, b: str, peel_rounds: int = 4,
     for _ in range(max_rounds):
         near = _both_ways(rest).groupBy("a").agg(F.min(_order("b")).alias("least"), F.count("*").alias("n"))
         near = scratch.save(near.select(F.col("a").alias("v"), F.least("least", _order("a"))["v"].alias("label"), "n"))
-        total = near.agg(F.sum("n")).head()[0]
+        total, most = near.agg(F.sum("n"), F.max("n")).head()
         if not total:
             break
-        hot = near.filter(F.col("n") * HOT_PARTS > total).select("v")
-        tree = scratch.save(_jump(near.select("v", "label"), near, total))
+        hot = near.filter(F.col("n") * HOT_PARTS > total).select("v") if total > HOT_LEAST and most * HOT_PARTS > total else None
+        # every label gives way to its own label; the labels of many vertices are hot vertices
+        own = near.select("v", "label")
+        tree = _relabel(own.select("v", F.col("label").alias("end")), own, hot, "end")
+        tree = scratch.save(tree.select("v", F.col("end").alias("label")))
         moved = _relabel(_relabel(rest, tree, hot, "a"), tree, hot, "b").filter("a <> b")
         moved = scratch.save(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         scratch.drop([rest, near])

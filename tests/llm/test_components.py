@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from lodegraph.llm import components
 from lodegraph.llm.components import connected_components, group_by_identifier
 
 
@@ -39,8 +40,10 @@ def graphs():
     return {"all": star + chain + noise + lollipop, "chain": chain, "loops": [("a", "a"), ("b", "b"), ("b", "c")] * 3, "pair": [("x", "y")]}
 
 
+@pytest.mark.parametrize("least", [0, 100_000])
 @pytest.mark.parametrize("name", list(graphs()))
-def test_components(spark, name):
+def test_components(spark, name, least, monkeypatch):
+    monkeypatch.setattr(components, "HOT_LEAST", least)
     pairs = graphs()[name]
     df = spark.createDataFrame(pairs, "l string, label string")
     assert groups_of(connected_components(df, "l", "label")) == union_find(pairs)
