@@ -117,7 +117,8 @@ def match_names(
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = _found(b.column(0).to_pylist(), b.column(1).to_pylist(), index.value, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)] if rows else [pa.array([], f.type) for f in _ARROW], schema=_ARROW)
+                columns = zip(*rows, strict=True) if rows else [()] * len(_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
         found = named.mapInArrow(search, _FOUND)
     else:

@@ -161,10 +161,17 @@ def mix(
     copies = scratch.save(copies.filter("copies > 0").select("item", "source", "size", "copies"))
     used = copies.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("used"), F.sum("copies").alias("copies"), F.count("*").alias("records_used"))
     overall = used.agg(F.sum("used")).head()[0] or 1
-    both = sized.drop("n").join(wanted, sized.source.eqNullSafe(wanted.source), "full").select(F.coalesce(sized.source, wanted.source).alias("source"), "target_share", "max_repeats", "available")
+    both = sized.drop("n").join(wanted, sized.source.eqNullSafe(wanted.source), "full")
+    both = both.select(F.coalesce(sized.source, wanted.source).alias("source"), "target_share", "max_repeats", "available")
     zero = F.lit(0).cast("long")
     shares = both.join(used, "source", "left").select(
-        "source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), "max_repeats", F.coalesce("available", zero).alias("available"),
-        F.coalesce("used", zero).alias("used"), (F.coalesce("used", zero) / F.lit(overall)).alias("actual_share"), F.coalesce("copies", zero).alias("copies"), F.coalesce("records_used", zero).alias("records_used"),
-    )
+        "source",
+        F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
+        "max_repeats",
+        F.coalesce("available", zero).alias("available"),
+        F.coalesce("used", zero).alias("used"),
+        (F.coalesce("used", zero) / F.lit(overall)).alias("actual_share"),
+        F.coalesce("copies", zero).alias("copies"),
+        F.coalesce("records_used", zero).alias("records_used"),
+    )
     return copies.withColumnRenamed("item", item), shares

@@ -99,14 +99,16 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = 2048, rows_per_
     sized = items.select(F.col(item).alias("item"), F.col(size).cast("long").alias("units")).filter("item is not null and units > 0")
     sized = sized.groupBy("item").agg(F.max("units").alias("units"))
     piece = F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1, F.lit(capacity).cast("long"))).alias("piece", "first_unit")
-    pieces = sized.select("item", "units", piece).select("item", "piece", "first_unit", F.least(F.lit(capacity), F.col("units") - F.col("first_unit")).cast("int").alias("n_units"))
+    n_units = F.least(F.lit(capacity), F.col("units") - F.col("first_unit")).cast("int")
+    pieces = sized.select("item", "units", piece).select("item", "piece", "first_unit", n_units.alias("n_units"))
     pieces = scratch.save(pieces)
     n = task_count(spark, pieces.count(), rows_per_task)
     keys = (F.desc("n_units"), F.asc("item"), F.asc("piece"))
     ordered = pieces.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     # the place within the partition is the low part of the increasing id
     ordered = ordered.withColumn("id", F.monotonically_increasing_id())
-    ordered = scratch.save(ordered.select("item", "piece", "first_unit", "n_units", F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("place")))
+    within = (F.shiftright("id", 33).cast("int").alias("part"), F.col("id").bitwiseAND((1 << 33) - 1).alias("place"))
+    ordered = scratch.save(ordered.select("item", "piece", "first_unit", "n_units", *within))
     counts = ordered.groupBy("part", "n_units").agg(F.count("*").alias("n")).collect()  # at most one row for each part and size
     per_part: dict[int, int] = {}
     per_size: dict[int, int] = {}

@@ -193,7 +193,8 @@ def train(
     rows = seen.collect()  # at most max_words rows
     whole = next((r for r in rows if r.word == ""), None)
     rows = [r for r in rows if r.word]
-    grades = Grades({r.word: i for i, r in enumerate(rows)}, np.array([list(r)[1:] for r in rows], float).reshape(-1, levels), np.array(list(whole)[1:] if whole else [0] * levels, float))
+    counts = np.array([list(r)[1:] for r in rows], float).reshape(-1, levels)
+    grades = Grades({r.word: i for i, r in enumerate(rows)}, counts, np.array(list(whole)[1:] if whole else [0] * levels, float))
     keep = np.flatnonzero(grades.spread() <= max_spread) if rows else np.array([], int)
     grades = Grades({rows[i].word: k for k, i in enumerate(keep)}, grades.counts[keep], grades.documents)
     shared = spark.sparkContext.broadcast(grades)
