@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.runtime import Scratch, task_count
+from lodegraph.runtime import Scratch, fresh, task_count
 
 
 def dense_index(df: DataFrame, order: Sequence[Column | str], name: str, rows_per_task: int = 1_000_000) -> DataFrame:
@@ -22,15 +22,17 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], name: str, rows_pe
     n = task_count(spark, df.count(), rows_per_task)
     ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered = scratch.save(ordered.withColumn(name, F.monotonically_increasing_id()))
-    part, place = F.shiftright(name, 33), F.col(name).bitwiseAND((1 << 33) - 1)
-    counts = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
-    start, at = {}, 0
-    for p, many in sorted((r.part, r.n) for r in counts):
-        start[p], at = at, at + many
-    if not start:
-        return ordered.withColumn(name, place)
-    starts = F.create_map(*[F.lit(x) for kv in start.items() for x in kv])
-    return ordered.withColumn(name, (F.element_at(starts, part) + place).cast("long"))
+    part, place = fresh(df, "_part", "_start")
+    ordered = ordered.withColumn(part, F.shiftright(name, 33)).withColumn(name, F.col(name).bitwiseAND((1 << 33) - 1))
+    counts = ordered.groupBy(part).agg(F.count("*").alias("n")).collect()
+    starts, at = [], 0
+    for p, many in sorted((r[0], r.n) for r in counts):
+        starts.append((p, at))
+        at += many
+    # one row for each partition
+    lift = F.broadcast(spark.createDataFrame(starts, f"{part} long, {place} long"))
+    lifted = ordered.join(lift, part, "left").withColumn(name, F.col(name) + F.col(place))
+    return lifted.select(*df.columns, name)
 
 
 def top_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
