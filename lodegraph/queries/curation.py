@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as X
-from lodegraph.functions.keys import text_key
+from lodegraph.functions.keys import folded_key
 from lodegraph.operators import curation as U
 from lodegraph.runtime import table, widen
 
@@ -39,8 +39,8 @@ def signal_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_statistics(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "cid_properties").select("pubchem_cid", F.explode("synonyms").alias("s")).filter("s is not null and not s rlike '[^ -~]'").distinct()
-    i = t.select(text_key(C("s")).alias("name"), "pubchem_cid", F.length("s").alias("rank"), F.when(C("s").contains(" "), "phrase").otherwise("word").alias("field"))
+    t = table(spark, d, "cid_properties").select("pubchem_cid", F.explode("synonyms").alias("s")).filter("s is not null").distinct()
+    i = t.select(folded_key(C("s")).alias("name"), "pubchem_cid", F.length("s").alias("rank"), F.when(C("s").contains(" "), "phrase").otherwise("word").alias("field"))
     out = U.name_statistics(i, "name", "pubchem_cid", "rank", "field")
     return out.withColumns({"fields": F.array_join("fields", ";"), "examples": F.array_join("examples", ";")})
 

@@ -67,8 +67,8 @@ def precheck_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_risk(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "cid_properties").select("pubchem_cid", F.explode("synonyms").alias("synonym")).filter("synonym is not null and not synonym rlike '[^ -~]'")
-    out = R.name_risk(t.select("pubchem_cid", text_key(C("synonym")).alias("name")), "name", "pubchem_cid")
+    t = table(spark, d, "cid_properties").select("pubchem_cid", F.explode("synonyms").alias("synonym")).filter("synonym is not null")
+    out = R.name_risk(t.select("pubchem_cid", folded_key(C("synonym")).alias("name")), "name", "pubchem_cid")
     return out.withColumn("risk_reasons", F.array_join("risk_reasons", ";"))
 
 
