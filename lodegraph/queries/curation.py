@@ -86,7 +86,7 @@ def sentence_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parts_outside_parentheses(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "name_only_cases").select("case_id", "input_name").distinct().filter("not input_name rlike '[^ -~]'")
+    t = table(spark, d, "name_only_cases").select("case_id", "input_name").distinct()
     return t.select("case_id", F.posexplode(X.split_outside_parentheses(C("input_name"))).alias("pos", "part"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.functions.keys import publication_year
+from lodegraph.functions.keys import folded_key, publication_year
 from lodegraph.functions.values import bare_number
 from lodegraph.operators import identity as D
 from lodegraph.operators import integration as I
@@ -84,15 +84,24 @@ def regrouped_features(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("mean", F.round("mean", 6))
 
 
+def _name(c):
+    """Printable ASCII in lower case with its inner blanks as they are, as the SQL reads it; other texts folded."""
+    return F.when(c.rlike("[^ -~]"), folded_key(c)).otherwise(F.lower(F.trim(c)))
+
+
+def _named_cases(spark, d):
+    """case_id, k: the names of the cases that have one."""
+    return table(spark, d, "name_only_cases").select("case_id", _name(C("input_name")).alias("k")).distinct().filter("k <> ''")
+
+
 def trait_kinds(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "name_only_cases").select("case_id", "input_name").distinct().filter("trim(input_name) <> '' and not input_name rlike '[^ -~]'")
-    return n.select("case_id", D.trait_kind(C("input_name")).alias("kind"), D.granularity(D.trait_kind(C("input_name"))).alias("granularity"))
+    n = _named_cases(spark, d)
+    return n.select("case_id", D.trait_kind(C("k")).alias("kind"), D.granularity(D.trait_kind(C("k"))).alias("granularity"))
 
 
 def _candidates(spark, d):
-    n = table(spark, d, "name_only_cases").select("case_id", "input_name").distinct().filter("trim(input_name) <> '' and not input_name rlike '[^ -~]'")
-    n = n.withColumn("kind", D.trait_kind(C("input_name"))).withColumn("k", F.lower(F.trim("input_name")))
-    labels = table(spark, d, "metabolite_gold_labels").select("metabolite_uid", "inchikey", F.explode(D.name_variants(C("label"))).alias("k"))
+    n = _named_cases(spark, d).withColumn("kind", D.trait_kind(C("k")))
+    labels = table(spark, d, "metabolite_gold_labels").select("metabolite_uid", "inchikey", F.explode(D.name_variants(_name(C("label")))).alias("k"))
     hits = n.join(labels, "k", "left")
     return hits.groupBy("case_id", "kind").agg(F.count_distinct("metabolite_uid").alias("n_candidates"), F.coalesce(F.bool_or(C("inchikey").isNotNull()), F.lit(False)).alias("confirmed"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.functions.keys import folded_key, text_key
+from lodegraph.functions.keys import folded_key
 from lodegraph.operators import resolve as R
 from lodegraph.operators.ordering import staged_queue
 from lodegraph.operators.resolve import LookupSpec
@@ -27,10 +27,6 @@ def _cases(spark, d):
     return table(spark, d, "name_only_cases").select("case_id", "input_name").dropDuplicates(["case_id"])
 
 
-def _ascii_cases(spark, d):
-    return _cases(spark, d).filter("not input_name rlike '[^ -~]'")
-
-
 def lookup_index(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).select("entity_uid", "namespace", "lookup_key", "match_field", "rank", "raw_value")
 
@@ -42,19 +38,19 @@ def query_expansion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_ranked(spark: SparkSession, d: str) -> DataFrame:
-    return R.resolve(R.expand_queries(_ascii_cases(spark, d), "case_id", "input_name"), "case_id", _index(spark, d), 5)
+    return R.resolve(R.expand_queries(_cases(spark, d), "case_id", "input_name"), "case_id", _index(spark, d), 5)
 
 
 def _bare_index(spark, d):
     """Stems without their form markers, which several labels share."""
-    t = table(spark, d, "metabolite_gold_labels").select("metabolite_uid", text_key(C("label")).alias("k"))
+    t = table(spark, d, "metabolite_gold_labels").select("metabolite_uid", folded_key(C("label")).alias("k"))
     full = t.select("k", C("metabolite_uid").alias("uid"), F.lit(1.0).alias("score"))
     bare = t.select(F.regexp_replace("k", "^(l|d|alpha|beta)-| [0-9:]+$", "").alias("k"), C("metabolite_uid").alias("uid"), F.lit(0.8).alias("score"))
     return full.unionByName(bare)
 
 
 def _settled(spark, d):
-    asks = _ascii_cases(spark, d).select("case_id", text_key(C("input_name")).alias("k"))
+    asks = _cases(spark, d).select("case_id", folded_key(C("input_name")).alias("k"))
     return R.settle(asks.join(_bare_index(spark, d), "k"), "case_id", "uid", "score", 0.6, 0.12)
 
 
@@ -63,7 +59,7 @@ def ambiguity_margin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def precheck_buckets(spark: SparkSession, d: str) -> DataFrame:
-    return R.precheck(_ascii_cases(spark, d), "case_id", "input_name", _settled(spark, d))
+    return R.precheck(_cases(spark, d).withColumn("input_name", folded_key(C("input_name"))), "case_id", "input_name", _settled(spark, d))
 
 
 def name_risk(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +111,7 @@ def first_xref_hit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expanded_seeds(spark: SparkSession, d: str) -> DataFrame:
-    s = _bare_index(spark, d).join(_ascii_cases(spark, d).select("case_id", text_key(C("input_name")).alias("k")), "k")
+    s = _bare_index(spark, d).join(_cases(spark, d).select("case_id", folded_key(C("input_name")).alias("k")), "k")
     kinds = s.select("case_id", "uid", F.when(C("score") == 1.0, "matched").otherwise("soft").alias("kind"))
     best = kinds.groupBy("case_id", "uid").agg(F.min("kind").alias("kind"))
     out = R.expand_seeds(best, "case_id", "uid", "kind")

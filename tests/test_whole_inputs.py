@@ -37,3 +37,24 @@ def test_names_in_any_script(spark, tmp_path):
     assert {r.name for r in queue} == set(owners) and {r.name for r in queue if r.stage == "block"} == {"β-alanine"}
     stats = {r.name: (r.n_rows, r.n_uids, r.best_rank, r.worst_rank) for r in run(spark, "name_statistics", tmp_path)}
     assert stats == {k: (len(v), len(owners[k]), max(len(s) for _, s in v), min(len(s) for _, s in v)) for k, v in spelled.items()}
+
+
+def test_cases_in_any_script(spark, tmp_path):
+    labels = [(1, "m1", "Alanine", None, "AAAAAAAAAAAAAA-BBBBBBBBBB-N"), (2, "m2", "β-alanine", None, None), (3, "m3", "PC 16:0", None, None)]
+    cases = [(1, "Ａlanine"), (2, "Β-Alanine"), (3, "alanine\t"), (4, None), (5, "café"), (6, "ＰＣ　１６：０"), (7, "alanine"), (8, "\t "), (9, "café (a, b); β")]
+    spark.createDataFrame(labels, "label_id long, metabolite_uid string, label string, short_code string, inchikey string").write.parquet(str(tmp_path / "metabolite_gold_labels.parquet"))
+    spark.createDataFrame(cases, "case_id long, input_name string").write.parquet(str(tmp_path / "name_only_cases.parquet"))
+    by_key = {fold(label): uid for _, uid, label, *_ in labels}
+    hits = {i: by_key[fold(t)] for i, t in cases if t and fold(t) in by_key}
+    assert hits == {1: "m1", 2: "m2", 3: "m1", 6: "m3", 7: "m1"}
+    assert {r.case_id: r.entity_uid for r in run(spark, "resolve_ranked", tmp_path)} == hits
+    assert {r.case_id: r.uid for r in run(spark, "ambiguity_margin", tmp_path)} == hits
+    assert {r.case_id: r.uid for r in run(spark, "expanded_seeds", tmp_path)} == hits
+    want = {i: "matched" if i in hits else "unmatched" if t and len(fold(t)) > 1 else "invalid" for i, t in cases}
+    assert {r.case_id: r.bucket for r in run(spark, "precheck_buckets", tmp_path)} == want
+    kinds = {r.case_id: r.kind for r in run(spark, "trait_kinds", tmp_path)}
+    assert kinds == {i: "lipid_species" if i == 6 else "compound" for i, t in cases if t and fold(t)}
+    decided = {r.case_id: (r.n_candidates, r.decision) for r in run(spark, "identity_decisions", tmp_path)}
+    assert decided == {i: (1, "accepted_exact") if hits.get(i) == "m1" else (1, "accepted_trait") if i in hits else (0, "rejected") for i in kinds}
+    parts = {(r.case_id, r.part) for r in run(spark, "parts_outside_parentheses", tmp_path)}
+    assert {(9, "café (a, b)"), (9, "β"), (1, "Ａlanine")} <= parts
