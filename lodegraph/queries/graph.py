@@ -93,7 +93,7 @@ def _supply(spark, d):
 
 def graph_pagerank(spark: SparkSession, d: str) -> DataFrame:
     seeds = table(spark, d, "supplier").filter("s_nationkey = 3").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(1.0).alias("mass"))
-    return G.personalised_pagerank(_supply(spark, d), seeds, 4).select("node", F.round("score", 8).alias("score"))
+    return G.personalised_pagerank(_supply(spark, d), seeds, 30).select("node", F.round("score", 8).alias("score"))
 
 
 def graph_cheapest_paths(spark: SparkSession, d: str) -> DataFrame:

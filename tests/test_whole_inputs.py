@@ -4,6 +4,8 @@ import re
 import unicodedata
 from collections import defaultdict
 
+import pytest
+
 import __spark_entry__ as e
 
 
@@ -58,3 +60,21 @@ def test_cases_in_any_script(spark, tmp_path):
     assert decided == {i: (1, "accepted_exact") if hits.get(i) == "m1" else (1, "accepted_trait") if i in hits else (0, "rejected") for i in kinds}
     parts = {(r.case_id, r.part) for r in run(spark, "parts_outside_parentheses", tmp_path)}
     assert {(9, "café (a, b)"), (9, "β"), (1, "Ａlanine")} <= parts
+
+
+def test_pagerank_settles(spark, tmp_path):
+    items = [(1, 1, 4.0), (1, 2, 1.0), (2, 2, 2.0), (3, 2, 5.0), (3, 3, 1.0), (3, 3, 1.0), (4, 3, 7.0)]
+    spark.createDataFrame(items, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 3), (2, 0), (3, 0)], "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    weights = defaultdict(lambda: defaultdict(float))
+    for p, s, w in items:
+        weights[f"p{p}"][f"s{s}"] += w
+        weights[f"s{s}"][f"p{p}"] += w
+    score = {"s1": 1.0}
+    for _ in range(30):
+        new = defaultdict(float, s1=0.15)
+        for a, x in score.items():
+            for b, w in weights[a].items():
+                new[b] += 0.85 * x * w / sum(weights[a].values())
+        score = new
+    assert {r.node: r.score for r in run(spark, "graph_pagerank", tmp_path)} == pytest.approx(score, abs=1e-8)
