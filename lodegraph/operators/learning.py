@@ -48,19 +48,26 @@ def hashed_negatives(positives: DataFrame, pool: DataFrame, per_positive: int =
 
     The pool's entities of a type are indexed densely; a hash of the positive and
     the draw's number picks an index, and a true object is replaced by the next
-    index that isn't one (up to 8 steps, as the draws have retries).
+    index that isn't one, from the last to the first.  Only a subject whose true
+    objects are the whole type gets none.
     """
     indexed = dense_index(pool.select("entity", "type").distinct(), ["type", "entity"], "at")
-    sizes = indexed.groupBy("type").agg(F.min("at").alias("first"), F.count("*").alias("size"))
-    asks = positives.select("subject", "predicate", "object", F.col("object_type").alias("type")).distinct().join(small(sizes), "type")
-    draws = asks.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1)))).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    sizes = small(indexed.groupBy("type").agg(F.min("at").alias("first"), F.count("*").alias("size")))
+    asks = positives.select("subject", "predicate", "object", F.col("object_type").alias("type")).distinct().join(sizes, "type")
+    draws = asks.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1))))
     pick = hash_bucket(F.concat_ws("|", "subject", "predicate", "object", F.col("draw").cast("string")), 12, 10**9)
-    draws = draws.withColumn("at", F.col("first") + F.pmod(pick + F.col("step"), F.col("size")))
-    hits = draws.join(indexed.select("at", "entity"), "at")
-    true = positives.select("subject", "predicate", F.col("object").alias("entity")).distinct()
-    free = hits.join(true, ["subject", "predicate", "entity"], "left_anti")
-    chosen = free.groupBy("subject", "predicate", "object", "type", "draw").agg(F.min(F.struct("step", "entity")).alias("c"))
-    return chosen.select("subject", "predicate", F.col("c.entity").alias("object"), F.col("type").alias("object_type")).distinct()
+    draws = draws.withColumn("at", F.col("first") + F.pmod(pick, F.col("size")))
+    # each true object with the end of its run of neighbouring true ones, and the end of the run at the type's first index
+    true = positives.select("subject", "predicate", F.col("object").alias("entity")).distinct().join(indexed, "entity").join(sizes, "type")
+    group = Window.partitionBy("subject", "predicate", "type")
+    true = true.withColumn("run", F.col("at") - F.row_number().over(group.orderBy("at")))
+    true = true.withColumn("last", F.max("at").over(Window.partitionBy("subject", "predicate", "type", "run")))
+    true = true.withColumn("head", F.max(F.when(F.col("at") == F.col("first"), F.col("last"))).over(group))
+    found = draws.join(true.select("subject", "predicate", "type", "at", "last", "head"), ["subject", "predicate", "type", "at"], "left")
+    end, after = F.col("first") + F.col("size"), F.col("last") + 1
+    free = F.when(F.col("last").isNull(), F.col("at")).when(after < end, after).otherwise(F.coalesce(F.col("head") + 1, F.col("first")))
+    chosen = found.withColumn("at", free).filter(F.col("at") < end).join(indexed.select("at", "entity"), "at")
+    return chosen.select("subject", "predicate", F.col("entity").alias("object"), F.col("type").alias("object_type")).distinct()
 
 
 def jaccard(a: Column, b: Column) -> Column:

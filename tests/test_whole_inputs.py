@@ -1,5 +1,6 @@
 """Registered queries over whole inputs, on small tables, against brute force."""
 
+import hashlib
 import re
 import unicodedata
 from collections import defaultdict
@@ -7,6 +8,7 @@ from collections import defaultdict
 import pytest
 
 import __spark_entry__ as e
+from lodegraph.operators import learning as L
 
 
 def run(spark, name, path):
@@ -78,3 +80,16 @@ def test_pagerank_settles(spark, tmp_path):
                 new[b] += 0.85 * x * w / sum(weights[a].values())
         score = new
     assert {r.node: r.score for r in run(spark, "graph_pagerank", tmp_path)} == pytest.approx(score, abs=1e-8)
+
+
+def test_negatives_of_subjects_that_know_nearly_all(spark):
+    pool = [(f"o{i:03}", "T") for i in range(100)] + [(f"a{i}", "S") for i in range(3)]
+    known = {"hot": [i for i in range(100) if i not in (40, 41)], "edge": [i for i in range(100) if i != 20], "all": range(100), "few": [3, 99]}
+    rows = [(s, "p", f"o{i:03}", "T") for s, x in known.items() for i in x]
+    want = set()
+    for s, p, o, t in rows:
+        at = int(hashlib.sha256(f"{s}|{p}|{o}|0".encode()).hexdigest()[:12], 16) % 10**9
+        want |= {(s, p, f"o{i:03}", t) for i in [next((i % 100 for i in range(at, at + 100) if i % 100 not in known[s]), None)] if i is not None}
+    got = L.hashed_negatives(spark.createDataFrame(rows, "subject string, predicate string, object string, object_type string"), spark.createDataFrame(pool, "entity string, type string"), 1)
+    assert {tuple(r) for r in got.collect()} == want
+    assert {s for s, *_ in want} == {"hot", "edge", "few"} and {o for s, _, o, _ in want if s == "hot"} == {"o040", "o041"}
