@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a table that may be broadcast; a side is counted before it is.
 BROADCAST_ROWS = 200_000
@@ -100,6 +101,38 @@ def widen(df: DataFrame) -> DataFrame:
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
+#: A key with more than this part of all rows is hot; there are fewer than HOT_PARTS of them.
+HOT_PARTS = 500
+#: With fewer rows than this a task can take them all, and no key counts as hot.
+HOT_LEAST = 100_000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame | None:
+    """The hot keys among counted ones (key unique, n rows each): at most HOT_PARTS rows; None without any."""
+    total, most = counts.agg(F.sum(n), F.max(n)).head()
+    if not total or total <= HOT_LEAST or most * HOT_PARTS <= total:
+        return None
+    return counts.filter(F.col(n) * HOT_PARTS > total).select(key)
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined to right, which has at most one row for each key, on a key of which some values are hot.
+
+    how: inner, left, left_semi or left_anti.  The rows of hot keys stay where
+    they are and meet a broadcast of the right side's rows of these keys, at most
+    HOT_PARTS of them; the other rows are shuffled.  A null key is never hot.
+    """
+    if hot is None:
+        return left.join(right, key, how)
+    mark = fresh(left, "_hot")[0]
+    keys = F.broadcast(hot.select(key))
+    heavy = F.broadcast(right.join(keys, key, "left_semi"))
+    marked = left.join(F.broadcast(hot.select(key, F.lit(True).alias(mark))), key, "left")
+    many = marked.filter(F.col(mark).isNotNull()).drop(mark).join(heavy, key, how)
+    rest = marked.filter(F.col(mark).isNull()).drop(mark).join(right, key, how)
+    return many.unionByName(rest)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that don't clash with those of df."""
     have = {c.lower() for c in df.columns}
