@@ -11,11 +11,14 @@ queries of a batch with one vectorised distance computation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
-_CHUNK = 8192
+#: Distances are told apart up to this value: min(distance, FAR) is a metric too, and needs only a band of the table.
+FAR = 24
+#: Cells of the tables of one chunk of pairs.
+_CELLS = 1 << 24
 
 
 def encode(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -29,45 +32,87 @@ def encode(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, lengths
 
 
-def _distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Distances of the pairs (a[i], b[i]), by Lowrance and Wagner's recurrence."""
+def _distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, far: int) -> np.ndarray:
+    """min(distance, far) of the pairs (a[i], b[i]), by Lowrance and Wagner's recurrence within far of the diagonal."""
     pairs, n, m = len(la), int(la.max(initial=0)), int(lb.max(initial=0))
     symbols, flat = np.unique(np.concatenate([a[:, :n].ravel(), b[:, :m].ravel()]), return_inverse=True)
     a, b = flat[: pairs * n].reshape(pairs, n), flat[pairs * n :].reshape(pairs, m)
     at = np.arange(pairs)
-    # The table has a border row and column of a value that no path may use.
-    far = n + m
-    table = np.full((n + 2, m + 2, pairs), far, np.int16)
-    table[1, 1:] = np.arange(m + 1)[:, None]
-    table[1:, 1] = np.arange(n + 1)[:, None]
+    # Cell (i, j) of the table lies at row i + 1 and column j - i + band + 1; a column of `far` is on either side.
+    band = min(far, max(n, m))
+    width = 2 * band + 3
+    table = np.full((n + 2, width, pairs), far, np.int16)
+    for j in range(min(m, band) + 1):
+        table[1, j + band + 1] = min(j, far)
     last_row = np.zeros((len(symbols), pairs), np.int32)
     cells = table.reshape(-1)
-    row, col = (m + 2) * pairs, pairs
     for i in range(1, n + 1):
+        if i <= band:
+            table[i + 1, band + 1 - i] = min(i, far)
+        low = max(1, i - band)
         last_col = np.zeros(pairs, np.int32)
+        # an equal letter before the band can only give `far`
         ai = a[:, i - 1]
-        for j in range(1, m + 1):
+        for j in range(low, min(m, i + band) + 1):
             bj = b[:, j - 1]
             k = last_row[bj, at]
             same = ai == bj
-            swap = cells[k * row + last_col * col + at] + (i - k) + (j - last_col) - 1
-            best = table[i, j] + (1 - same.view(np.int8))
-            np.minimum(best, table[i + 1, j] + 1, out=best)
-            np.minimum(best, table[i, j + 1] + 1, out=best)
-            table[i + 1, j + 1] = np.minimum(best, swap)
+            # the cell before both transposed letters, if the band has it
+            column = last_col - k + band + 1
+            inside = (k > 0) & (last_col > 0) & (column >= 0) & (column < width)
+            swap = np.where(inside, cells[(k * width + np.where(inside, column, 0)) * pairs + at], far) + (i - k) + (j - last_col) - 1
+            c = j - i + band + 1
+            best = table[i, c] + (1 - same.view(np.int8))
+            np.minimum(best, table[i + 1, c - 1] + 1, out=best)
+            np.minimum(best, table[i, c + 1] + 1, out=best)
+            table[i + 1, c] = np.minimum(np.minimum(best, swap), far)
             last_col[same] = j
         last_row[ai, at] = i
-    return table[la + 1, lb + 1, at].astype(np.int32)
+    c = lb - la + band + 1
+    inside = (c > 0) & (c < width - 1)
+    return np.where(inside, table[la + 1, np.where(inside, c, 0), at], far).astype(np.int32)
 
 
-def distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+def distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, far: int = FAR) -> np.ndarray:
+    """min(distance, far) of the pairs (a[i], b[i]); pairs of like lengths share a chunk, and no chunk has more than _CELLS cells or one pair."""
     out = np.empty(len(la), np.int32)
-    for at in range(0, len(la), _CHUNK):
-        s = slice(at, at + _CHUNK)
-        out[s] = _distances(a[s], la[s], b[s], lb[s])
+    order = np.lexsort((lb, la))
+    start = 0
+    while start < len(order):
+        # lengths grow along the order: the size of a chunk is that of its last pair's table
+        end = min(len(order), start + 8192)
+        while True:
+            s = order[start:end]
+            n, m = int(la[s].max()), int(lb[s].max())
+            most = max(1, _CELLS // ((n + 2) * (2 * min(far, max(n, m)) + 3)))
+            if len(s) <= most:
+                break
+            end = start + min(most, max(1, len(s) // 2))
+        out[s] = _distances(a[s], la[s], b[s], lb[s], far)
+        start = end
     return out
 
 
+def distance(a: str, b: str) -> int:
+    """The same distance of two short texts."""
+    n, m = len(a), len(b)
+    table = [[n + m] * (m + 2) for _ in range(n + 2)]
+    for j in range(m + 1):
+        table[1][j + 1] = j
+    last_row: dict[str, int] = {}
+    for i, x in enumerate(a, 1):
+        row, above, last_col = table[i + 1], table[i], 0
+        row[1] = i
+        for j, y in enumerate(b, 1):
+            k = last_row.get(y, 0)
+            swap = table[k][last_col] + i - k + j - last_col - 1
+            row[j + 1] = min(above[j] + (x != y), row[j] + 1, above[j + 1] + 1, swap)
+            if x == y:
+                last_col = j
+        last_row[x] = i
+    return table[-1][-1]
+
+
 class BKTree:
     """A tree over distinct texts."""
 
@@ -108,7 +153,7 @@ class BKTree:
         while len(q):
             self.visited += len(q)
             top = not n.any()
-            d = lengths[q] if top else distances(codes[q], lengths[q], self.codes[n], self.lengths[n])
+            d = np.minimum(lengths[q], FAR) if top else distances(codes[q], lengths[q], self.codes[n], self.lengths[n])
             if not top:
                 for i in np.flatnonzero(d <= radius):
                     out[near[q[i]]].append((int(n[i]) - 1, int(d[i])))
@@ -120,13 +165,17 @@ class BKTree:
             q, n = q[who[keep]], self.node[child[keep]]
         return out
 
-    def nearest(self, queries: Sequence[str], radius: int) -> list[list[tuple[int, int]]]:
-        """Every entry at the smallest distance <= radius: radii are tried in turn for the queries without a hit."""
+    def nearest(self, queries: Sequence[str], radius: int, agrees: Callable[[int, int], bool] = lambda query, place: True) -> list[list[tuple[int, int]]]:
+        """For each query the agreeing entries at its smallest distance <= radius that has one.
+
+        Radii are tried in turn, each for the queries that are still without an
+        agreeing entry: the result is that of all entries within the radius.
+        """
         out: list[list[tuple[int, int]]] = [[] for _ in queries]
         open_ = list(range(len(queries)))
         for r in range(radius + 1):
             for i, hits in zip(open_, self.within([queries[i] for i in open_], r), strict=True):
-                out[i] = hits
+                out[i] = [h for h in hits if h[1] == r and agrees(i, h[0])]
             open_ = [i for i in open_ if not out[i]]
             if not open_:
                 break

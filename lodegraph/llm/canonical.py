@@ -1,18 +1,21 @@
 """Map freely typed names to the entries of a reference list.
 
-Every entry is indexed under its stems in a BK-tree for each kind of name; a
-typed name is searched with growing radius up to the threshold, and every entry
-at its smallest distance is returned by the tree.  A marker or chain that was
-typed must be the entry's.  One entry left is the match; several are a tie.
+Every entry is indexed under its stems in a BK-tree for each kind of name.  Of
+all entries within the threshold of a typed name, those count whose marker and
+chain agree with what was typed, and of these the ones at the smallest distance;
+an entry whose short code was typed comes before all of them, the whole name as
+a code before its stem as one.  One entry left is the match; several are a tie.
 
 Up to ``broadcast_entries`` entries (counted) the trees are built once and
-broadcast.  Beyond it the entries are cut into shards, every shard's trees see
-every name, and the winners of the shards are merged.
+broadcast.  Beyond it the entries are cut into shards; each shard's trees are
+built once and stored, see every distinct name, and the winners of the shards are
+merged.  Both give the same result.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,11 +26,12 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.bktree import BKTree
 from lodegraph.llm.names import entries, read
-from lodegraph.runtime import spread, task_count
+from lodegraph.runtime import Scratch, hot_keys, split_join, spread, task_count
 
 _FOUND = "key long, distance int, entry long, ties long"
 _ARROW = pa.schema([("key", pa.int64()), ("distance", pa.int32()), ("entry", pa.int64()), ("ties", pa.int64())])
-CODE = -1  # the distance of a name that is an entry's code
+# The distances of a name that is an entry's code, and of one whose stem is.
+CODE, STEM_CODE = -2, -1
 
 
 class Index:
@@ -47,33 +51,30 @@ class Index:
         self.trees = {k: BKTree(list(v)) for k, v in self.forms.items()}
 
     def best(self, names: list[str], radius: int) -> list[tuple[int, set[int]] | None]:
-        """For each name (smallest distance, entries there that agree with its marks), None without one."""
+        """For each name (smallest distance of an agreeing entry, the agreeing entries there), None without one."""
         parts = [read(n) for n in names]
         out: list[tuple[int, set[int]] | None] = [None] * len(names)
         todo = defaultdict(list)
         for i, p in enumerate(parts):
-            if found := self.codes.get(p.code) or self.codes.get(p.stem):
+            if found := self.codes.get(p.code):
                 out[i] = (CODE, found)
+            elif found := self.codes.get(p.stem):
+                out[i] = (STEM_CODE, found)
             elif p.stem:
                 todo[p.kind].append(i)
         for kind, which in todo.items():
             if kind not in self.trees:
                 continue
             tree, forms = self.trees[kind], self.forms[kind]
-            for i, hits in zip(which, tree.nearest([parts[i].stem for i in which], radius), strict=True):
+
+            def agreeing(i: int, at: int) -> set[int]:
+                marker, chain = parts[i].marker, parts[i].chain  # noqa: B023
+                return {e for m, c, e in forms[tree.texts[at]] if (not marker or m == marker) and (not chain or c == chain)}  # noqa: B023
+
+            found = tree.nearest([parts[i].stem for i in which], radius, lambda k, at: bool(agreeing(which[k], at)))  # noqa: B023
+            for i, hits in zip(which, found, strict=True):
                 if hits:
-                    least = min(d for _, d in hits)
-                    marker, chain = parts[i].marker, parts[i].chain
-                    out[i] = (
-                        least,
-                        {
-                            e
-                            for at, d in hits
-                            if d == least
-                            for m, c, e in forms[tree.texts[at]]
-                            if (not marker or m == marker) and (not chain or c == chain)
-                        },
-                    )
+                    out[i] = (hits[0][1], set().union(*(agreeing(i, at) for at, _ in hits)))
         return out
 
 
@@ -85,6 +86,35 @@ def _found(keys: list, names: list[str | None], index: Index, radius: int) -> li
     return [(key, d, min(found, default=None), len(found)) for key, (d, found) in zip(keys, hits, strict=True)]
 
 
+def _by_shards(named: DataFrame, listed: DataFrame, shards: int, radius: int, rows_per_task: int) -> DataFrame:
+    """(key, distance, entry, ties) with the entries in shards, every distinct name searched once in each."""
+    spark = named.sparkSession
+    scratch = Scratch(spark, "names")
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        index = Index([(int(e), x, c) for e, x, c in zip(rows.entry, rows.label, rows.code, strict=True)])
+        return pd.DataFrame({"shard": [rows.shard.iloc[0]], "index": [pickle.dumps(index)]})
+
+    placed = listed.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int"))
+    stored = scratch.save(placed.groupBy("shard").applyInPandas(build, "shard int, index binary"))
+    counts = scratch.save(named.groupBy("name").agg(F.count("*").alias("n")))
+    chunks = task_count(spark, counts.count(), rows_per_task * 8)
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        hits = _found(left.name.tolist(), left.name.tolist(), pickle.loads(right["index"].iloc[0]), radius) if len(right) else []
+        return pd.DataFrame(hits, columns=["name", "distance", "entry", "ties"]).astype({"distance": "Int32", "entry": "Int64"})
+
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = counts.select("name", F.pmod(F.hash("name"), F.lit(chunks)).alias("chunk"), each(shards).alias("shard"))
+    right = stored.withColumn("chunk", each(chunks))
+    found = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInPandas(search, "name string, distance int, entry long, ties long")
+    # the shards' winners: those at the smallest distance count together
+    tied = found.filter("distance is not null").groupBy("name", "distance").agg(F.sum("ties").alias("ties"), F.min("entry").alias("entry"))
+    won = scratch.save(tied.groupBy("name").agg(F.min(F.struct("distance", "ties", "entry")).alias("w")))
+    joined = split_join(named, won, "name", hot_keys(counts, "name"), "left")
+    return joined.select("key", "w.distance", "w.entry", F.coalesce("w.ties", F.lit(0).cast("long")).alias("ties"))
+
+
 def match_names(
     cases: DataFrame,
     key: str,
@@ -100,10 +130,11 @@ def match_names(
     """The reference entry of each named case.
 
     Result: key, entry (-1 where none is within the radius or several fit
-    equally well), distance (null without an entry in reach, -1 for a code),
-    ties (entries that fit equally well).  Cases with a null or blank name, and
+    equally well), distance (null without an entry in reach, -2 for a code, -1 for
+    a code in the stem), ties (entries that fit equally well).  Cases with a null or blank name, and
     with a null key, give no row; a case sent again counts once; entries with a
-    null id or label are left out.  Name and label may be of any length.
+    null id or label are left out.  Name and label may be of any length; the time
+    of an edit distance grows with their length.
     """
     spark = cases.sparkSession
     named = cases.select(F.col(key).cast("long").alias("key"), F.col(name).alias("name")).filter("key is not null and trim(name) <> ''")
@@ -122,22 +153,6 @@ def match_names(
 
         found = named.mapInArrow(search, _FOUND)
     else:
-        shards = math.ceil(n_entries / broadcast_entries)
-        chunks = task_count(spark, named.count(), rows_per_task * 8)
-
-        def search_shard(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            index = Index([(e, x, c) for e, x, c in zip(right.entry, right.label, right.code, strict=True)])
-            rows = _found(left.key.tolist(), left.name_.tolist(), index, radius)
-            return pd.DataFrame(rows, columns=["key", "distance", "entry", "ties"]).astype({"entry": "Int64"})
-
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = named.select("key", F.col("name").alias("name_"), F.pmod(F.hash("key"), F.lit(chunks)).alias("chunk"), each(shards).alias("shard"))
-        right = listed.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int")).withColumn("chunk", each(chunks))
-        found = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInPandas(search_shard, _FOUND)
-        # the shards' winners: those at the smallest distance count together
-        tied = found.groupBy("key", "distance").agg(F.sum("ties").alias("ties"), F.min("entry").alias("entry"))
-        reach = F.coalesce("distance", F.lit(2**31 - 1))
-        won = tied.groupBy("key").agg(F.min(F.struct(reach.alias("reach"), "distance", "ties", "entry")).alias("w"))
-        found = won.select("key", "w.distance", "w.entry", "w.ties")
+        found = _by_shards(named, listed, math.ceil(n_entries / broadcast_entries), radius, rows_per_task)
     one = F.when(F.col("ties") == 1, F.col("entry")).otherwise(F.lit(-1).cast("long"))
     return found.select(F.col("key").alias(key), one.alias("entry"), "distance", "ties")

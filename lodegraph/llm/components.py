@@ -17,8 +17,8 @@ The links form a graph; every vertex gets the smallest vertex of its component.
 
 Links and labels are only ever joined and aggregated; aggregates combine before
 the shuffle.  A join on the ends of links would send all links of a hub to one
-task: vertices with more than 1/500 of all links (at most 1,000 of them, two
-ends for each link) are broadcast, the others shuffled.
+task: every join on a key that may be hot (ends of links, labels, identifiers)
+counts it and splits off the hot values (:func:`lodegraph.runtime.split_join`).
 """
 
 from __future__ import annotations
@@ -26,78 +26,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.runtime import BROADCAST_ROWS, Scratch
-
-#: A vertex with more than this part of all links is hot; there are at most 2 x HOT_PARTS of them.
-HOT_PARTS = 500
-#: With fewer ends of links than this a task can take them all, and no vertex counts as hot.
-HOT_LEAST = 100_000
+from lodegraph.runtime import Scratch, hot_keys, split_join
 
 
 def _order(c: str):
     return F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
 
 
+def _named(hot: DataFrame | None, end: str) -> DataFrame | None:
+    return None if hot is None else hot.select(F.col("v").alias(end))
+
+
 def _relabel(links: DataFrame, labels: DataFrame, hot: DataFrame | None, end: str) -> DataFrame:
     """links with `end` replaced by its label; ends without a label stay."""
-    labels = labels.select(F.col("v").alias(end), "label")
-    if hot is None:
-        return links.join(labels, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
-    hot = hot.select(F.col("v").alias(end), F.lit(True).alias("is_hot"))
-    marked = links.join(F.broadcast(hot), end, "left")
-    heavy = labels.join(F.broadcast(hot), end, "left_semi")
-    many = marked.filter("is_hot").drop("is_hot").join(F.broadcast(heavy), end, "left")
-    rest = marked.filter("is_hot is null").drop("is_hot").join(labels, end, "left")
-    return many.unionByName(rest).withColumn(end, F.coalesce("label", end)).drop("label")
+    out = split_join(links, labels.select(F.col("v").alias(end), F.col("label").alias("_to")), end, _named(hot, end), "left")
+    return out.withColumn(end, F.coalesce("_to", end)).drop("_to")
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select(F.inline(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
 
 
-def _peel(links: DataFrame, scratch: Scratch, rounds: int) -> tuple[DataFrame | None, DataFrame]:
-    """(labels of the vertices reached from the hub, links that are left)."""
-    degrees = _both_ways(links).groupBy("a").count()
-    top = degrees.orderBy(F.desc("count"), "a").head(1)
-    if not top:
-        return None, links
-    hub = top[0][0]
+def _peel(links: DataFrame, scratch: Scratch, rounds: int) -> tuple[DataFrame | None, str | None, DataFrame]:
+    """(vertices reached from the hub, the hub, links that are left)."""
+    degrees = scratch.save(_both_ways(links).groupBy(F.col("a").alias("v")).agg(F.count("*").alias("n")))
+    top = degrees.agg(F.max(F.struct("n", "v")).alias("top")).head()[0]
+    if top is None:
+        return None, None, links
+    hub, hot = top.v, hot_keys(degrees, "v")
     spark = links.sparkSession
-    frontier = spark.createDataFrame([(hub,)], "v string")
-    reached = [scratch.save(frontier)]
+    reached = [spark.createDataFrame([(hub,)], "v string")]
     for r in range(rounds):
         # the links of the frontier: the hub's by comparison, later ones by a join
         if r == 0:
             is_a, is_b = F.col("a") == hub, F.col("b") == hub
-            used = links.filter(is_a | is_b)
-            after = F.when(is_a, F.col("b")).otherwise(F.col("a"))
-            new = used.select(after.alias("v")).filter(F.col("v") != hub).distinct()
+            new = links.filter(is_a | is_b).select(F.when(is_a, F.col("b")).otherwise(F.col("a")).alias("v")).filter(F.col("v") != hub).distinct()
             left = links.filter(~(is_a | is_b))
         else:
-            ends_a, ends_b = frontier.withColumnRenamed("v", "a"), frontier.withColumnRenamed("v", "b")
-            new = links.join(ends_a, "a", "left_semi").select(F.col("b").alias("v")).union(links.join(ends_b, "b", "left_semi").select(F.col("a").alias("v"))).distinct()
-            new = new.join(frontier, "v", "left_anti")
-            left = links.join(ends_a, "a", "left_anti").join(ends_b, "b", "left_anti")
+            ends = {c: reached[-1].withColumnRenamed("v", c) for c in "ab"}
+            used = {c: split_join(links, ends[c], c, _named(hot, c), "left_semi") for c in "ab"}
+            new = used["a"].select(F.col("b").alias("v")).union(used["b"].select(F.col("a").alias("v"))).distinct()
+            new = new.join(reached[-1], "v", "left_anti")
+            left = split_join(split_join(links, ends["a"], "a", _named(hot, "a"), "left_anti"), ends["b"], "b", _named(hot, "b"), "left_anti")
         new, left = scratch.save(new), scratch.save(left)
         if r:
             scratch.drop([links])
-        links, frontier = left, new
+        links = left
         if new.isEmpty():
-            return _labelled(reached, hub), links
+            break
         reached.append(new)
-    # the search was cut: the last frontier is contracted into the hub
-    mark = frontier.select("v", F.lit(hub).alias("label"))
-    moved = _relabel(_relabel(links, mark, None, "a"), mark, None, "b").filter("a <> b").distinct()
-    out = scratch.save(moved)
-    scratch.drop([links])
-    return _labelled(reached, hub), out
-
-
-def _labelled(reached: list[DataFrame], hub: str) -> DataFrame:
+    else:
+        # the search was cut: the last frontier is contracted into the hub
+        mark = reached[-1].select("v", F.lit(hub).alias("label"))
+        moved = _relabel(_relabel(links, mark, hot, "a"), mark, hot, "b").filter("a <> b").distinct()
+        before, links = links, scratch.save(moved)
+        scratch.drop([before])
     out = reached[0]
     for r in reached[1:]:
         out = out.union(r)
-    return out.distinct().select("v", F.lit(hub).alias("label"))
+    return scratch.save(out.distinct()), hub, links
 
 
 def connected_components(links: DataFrame, a: str, b: str, peel_rounds: int = 4, max_rounds: int = 60) -> DataFrame:
@@ -112,15 +99,14 @@ def connected_components(links: DataFrame, a: str, b: str, peel_rounds: int = 4,
     pairs = links.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).filter("a is not null and b is not null")
     all_links = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     vertices = _both_ways(all_links).select(F.col("a").alias("v")).distinct()
-    peeled, rest = _peel(all_links.filter("a <> b"), scratch, peel_rounds)
+    peeled, hub, rest = _peel(all_links.filter("a <> b"), scratch, peel_rounds)
     layers: list[DataFrame] = []
     for _ in range(max_rounds):
         near = _both_ways(rest).groupBy("a").agg(F.min(_order("b")).alias("least"), F.count("*").alias("n"))
         near = scratch.save(near.select(F.col("a").alias("v"), F.least("least", _order("a"))["v"].alias("label"), "n"))
-        total, most = near.agg(F.sum("n"), F.max("n")).head()
-        if not total:
+        if near.isEmpty():
             break
-        hot = near.filter(F.col("n") * HOT_PARTS > total).select("v") if total > HOT_LEAST and most * HOT_PARTS > total else None
+        hot = hot_keys(near, "v")
         # every label gives way to its own label; the labels of many vertices are hot vertices
         own = near.select("v", "label")
         tree = _relabel(own.select("v", F.col("label").alias("end")), own, hot, "end")
@@ -137,16 +123,18 @@ def connected_components(links: DataFrame, a: str, b: str, peel_rounds: int = 4,
     for depth, layer in enumerate(reversed(layers)):
         layer = layer.select("v", "label")
         if final is not None:
+            often = hot_keys(layer.groupBy("label").agg(F.count("*").alias("n")), "label")
             above = final.select(F.col("v").alias("label"), F.col("label").alias("above"))
-            layer = layer.join(above, "label", "left").select("v", F.coalesce("above", "label").alias("label"))
+            layer = split_join(layer, above, "label", often, "left").select("v", F.coalesce("above", "label").alias("label"))
         final = scratch.save(layer) if depth % 6 == 5 else layer
-    if peeled is not None and final is None:
-        final = peeled
-    elif peeled is not None:
-        final = scratch.save(final)
-        above = final.select(F.col("v").alias("label"), F.col("label").alias("above"))
-        peeled = peeled.join(above, "label", "left").select("v", F.coalesce("above", "label").alias("label"))
-        final = peeled.union(final.join(peeled, "v", "left_anti"))
+    if peeled is not None:
+        label = hub
+        if final is not None:
+            final = scratch.save(final)
+            if met := final.filter(F.col("v") == hub).head(1):
+                label = met[0].label
+        peeled = peeled.select("v", F.lit(label).alias("label"))
+        final = peeled if final is None else peeled.union(final.join(peeled, "v", "left_anti"))
     if final is None:
         return vertices.select("v", F.col("v").alias("label"))
     return vertices.join(final, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
@@ -165,11 +153,12 @@ def group_by_identifier(rows: DataFrame, record: str, identifier: str, **options
     used = rows.select(F.col(record).cast("string").alias("r"), F.concat(F.lit("id\x00"), F.col(identifier)).alias("i"))
     used = scratch.save(used.filter("r is not null and i is not null").distinct())
     # an identifier of one record links nothing
-    several = used.groupBy("i").agg(F.count("*").alias("n")).filter("n > 1").select("i")
-    labels = connected_components(used.join(several, "i", "left_semi"), "r", "i", **options)
+    counts = scratch.save(used.groupBy("i").agg(F.count("*").alias("n")))
+    several = counts.filter("n > 1")
+    labels = connected_components(split_join(used, several.select("i"), "i", hot_keys(several, "i"), "left_semi"), "r", "i", **options)
     linked = scratch.save(labels.filter(~F.col("v").startswith("id\x00")))
-    groups = linked.groupBy("label").agg(F.min("v").alias("group_uid"), F.count("*").alias("n_records"))
-    small = groups.count() <= BROADCAST_ROWS
-    members = linked.join(F.broadcast(groups) if small else groups, "label").select(F.col("v").alias("r"), "group_uid", "n_records")
+    groups = scratch.save(linked.groupBy("label").agg(F.min("v").alias("group_uid"), F.count("*").alias("n_records")))
+    hot = hot_keys(groups.select("label", F.col("n_records").alias("n")), "label")
+    members = split_join(linked, groups, "label", hot).select(F.col("v").alias("r"), "group_uid", "n_records")
     alone = used.select("r").distinct().join(members, "r", "left_anti").select("r", F.col("r").alias("group_uid"), F.lit(1).cast("long").alias("n_records"))
     return members.unionByName(alone).withColumnRenamed("r", record)

@@ -9,8 +9,10 @@ that an added chemical group keeps it far from the entry without it.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from typing import NamedTuple
 
+from lodegraph.llm.bktree import distance
 from lodegraph.llm.lookalikes import clean
 
 # Words that remark on a sample and don't name a compound.
@@ -21,7 +23,8 @@ TRAILING = re.compile(
     r"|[<>~≥]\s*\d+(?:\.\d+)?\s*%|\d+(?:\.\d+)?\s*(?:[munpk]?[mgl]|ppm|ug|mg/ml|ng/ml)|[.*?!,;-]+)$"
 )
 LEADING = re.compile(r"^(?:total|crude|free|pure|purified|[.*?!,;]+)\s+")
-BRACKETED = re.compile(r"\[[^\]]*\]|\{[^}]*\}")
+SQUARE, CURLY = re.compile(r"\[[^\]]*\]"), re.compile(r"\{[^}]*\}")
+_VENDOR = re.compile(r",(?!\d)")
 PARENTHESES = re.compile(r"\(([^()]*)\)")
 AMOUNT = re.compile(r"\s[-–]\s*\d+(?:\.\d+)?\s*\S+$")
 AFTER = re.compile(r"\s*;.*$")
@@ -38,8 +41,7 @@ _FORM = re.compile(r"^([ldab]|alpha|beta)(?:\s*-\s*\w{0,5})?$")
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
-#: Longer names aren't read for remarks; the whole is their stem.
-LONGEST = 2_000
+_WORDS_BACK = 6  # a remark at the end of a name has fewer words than this
 
 
 class Name(NamedTuple):
@@ -50,32 +52,56 @@ class Name(NamedTuple):
     code: str  # the whole name as a short code
 
 
+@lru_cache(maxsize=65536)
 def near(a: str, b: str, most: int = 1) -> bool:
-    """Whether a is b up to so many edits (transpositions of neighbours included); for short words."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    row2, row1 = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            v = min(row1[j] + 1, row[-1] + 1, row1[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, row2[j - 2] + 1)
-            row.append(v)
-        row2, row1 = row1, row
-    return row1[-1] <= most
+    """Whether a is b up to so many edits, under the metric of the trees; for short words."""
+    return abs(len(a) - len(b)) <= most and distance(a, b) <= most
+
+
+def _tail(s: str) -> int:
+    """Where the last words of s begin, before the blank that precedes them."""
+    at = len(s)
+    for _ in range(_WORDS_BACK):
+        at = s.rfind(" ", 0, at)
+        if at < 0:
+            return 0
+    return at
+
+
+def _without_brackets(s: str) -> str:
+    for close, pattern in (("]", SQUARE), ("}", CURLY)):
+        # only in front of the last closing bracket, where every opening one has an end
+        end = s.rfind(close) + 1
+        s = pattern.sub(" ", s[:end]) + s[end:]
+    return s
+
+
+def _without_remarks(s: str) -> tuple[str, str]:
+    """(what is left of s without remarks before and after the name, marker found on the way)."""
+    marker, before = "", None
+    while before != s:
+        before = s
+        at = _tail(s)
+        s = s[:at] + TRAILING.sub("", AMOUNT.sub("", s[at:]))
+        if m := LEADING.match(s):
+            s = s[m.end() :]
+        s = s.strip(" \"'`")
+        at = _tail(s)
+        if m := _SUFFIX.search(s, at):
+            marker, s = FORMS[m.group(1) or m.group(2)], s[: m.start()]
+        elif "," in s and not s.startswith("ac") and (m := _VENDOR.search(s)):
+            s = s[: m.start()]
+    return s, marker
 
 
 def read(text: str) -> Name:
     """The parts of a name that isn't blank."""
     s = re.sub(r"\s+", " ", clean(text)).strip().casefold()
     code = re.sub(r"[^a-z0-9]", "", s)
-    if len(s) > LONGEST:
-        return Name("plain", "", "", code, code)
     for k, v in LETTERS.items():
         s = s.replace(k, v)
     s = s.strip("\"'` ")
-    s = AFTER.sub("", BRACKETED.sub(" ", s)).strip()
+    s = AFTER.sub("", _without_brackets(s)).strip()
     marker = ""
     chain = ""
 
@@ -88,14 +114,8 @@ def read(text: str) -> Name:
         return f" {content} " if CHAIN.search(content) or GROUPS.search(content) else " "
 
     s = PARENTHESES.sub(inner, s).strip()
-    before = None
-    while before != s:
-        before = s
-        s = LEADING.sub("", TRAILING.sub("", AMOUNT.sub("", s))).strip(" \"'`")
-        if m := _SUFFIX.search(s):
-            marker, s = FORMS[m.group(1) or m.group(2)], s[: m.start()]
-        elif "," in s and not s.startswith("ac"):
-            s = re.sub(r",(?!\d).*$", "", s)
+    s, found = _without_remarks(s)
+    marker = found or marker
     if m := _PREFIX.match(s):
         marker, s = FORMS[m.group(1) or m.group(2)], s[m.end() :]
     elif m := re.match(r"^([a-z0-9]{3,6})[-\s](?=[a-z0-9]{4})", s):

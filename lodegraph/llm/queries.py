@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.functions.values import bare_number, is_missing, usable
@@ -88,23 +88,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 5: one group identifier for chemicals that share identifiers
 
 
-def _identifier(source: Column, xref: Column) -> Column:
-    """`SOURCE:id` in one spelling: without case, blanks, source prefix, `.0` and leading zeros; null for a stand-in."""
-    name = F.upper(F.regexp_replace(source, r"\s", ""))
-    flat = F.upper(F.regexp_replace(xref, r"\s", ""))
-    bare = flat
+def _with_identifier(rows: DataFrame, source: str, xref: str) -> DataFrame:
+    """rows with identifier: `SOURCE:id` in one spelling (no case, blanks, source prefix, `.0` or leading zeros); null for a stand-in.
+
+    Each step is a column of its own, so that it is worked out once.
+    """
+    flat = lambda c: F.upper(F.translate(c, " \t\n\x0b\x0c\r", ""))
+    out = rows.withColumn("_name", flat(source)).withColumn("_bare", flat(xref))
     for _ in range(2):  # as in `MDB:MDB0001`
-        rest = F.regexp_replace(F.substring(bare, F.length(name) + 1, F.length(bare)), "^[:_#-]+", "")
-        bare = F.when((name != "") & bare.startswith(name), rest).otherwise(bare)
-    bare = F.regexp_replace(bare, r"^([0-9]+)\.0+$", "$1")
-    bare = F.regexp_replace(bare, r"^([A-Z]*)0+(?=[0-9])", "$1")
-    missing = is_missing(xref) | name.isNull() | (name == "") | bare.rlike("^0*$")
-    return F.when(~missing, F.concat(name, F.lit(":"), bare))
+        rest = F.ltrim(F.substring("_bare", F.length("_name") + 1, F.length("_bare")), F.lit(":_#-"))
+        out = out.withColumn("_bare", F.when((F.col("_name") != "") & F.col("_bare").startswith(F.col("_name")), rest).otherwise(F.col("_bare")))
+    out = out.withColumn("_bare", F.when(F.col("_bare").contains("."), F.regexp_replace("_bare", r"^([0-9]+)\.0+$", "$1")).otherwise(F.col("_bare")))
+    out = out.withColumn("_bare", F.when(F.col("_bare").contains("0"), F.regexp_replace("_bare", r"^([A-Z]*)0+(?=[0-9])", "$1")).otherwise(F.col("_bare")))
+    missing = F.col("_name").isNull() | (F.col("_name") == "") | (F.rtrim(F.col("_bare"), F.lit("0")) == "") | is_missing(F.col(xref))
+    return out.withColumn("identifier", F.when(~missing, F.concat("_name", F.lit(":"), "_bare"))).drop("_name", "_bare")
 
 
 def _chemical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "chemical_xrefs").filter("xref_type = 'exact'")
-    rows = rows.select("chemical_uid", _identifier(F.col("xref_source"), F.col("xref_id")).alias("identifier"))
+    rows = table(spark, sf_dir, "chemical_xrefs").filter("xref_type = 'exact'").select("chemical_uid", "xref_source", "xref_id")
+    rows = _with_identifier(rows, "xref_source", "xref_id").select("chemical_uid", "identifier")
     return components.group_by_identifier(rows, "chemical_uid", "identifier")
 
 

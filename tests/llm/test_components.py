@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from lodegraph import runtime
 from lodegraph.llm import components
 from lodegraph.llm.components import connected_components, group_by_identifier
 
@@ -43,12 +44,26 @@ def graphs():
 @pytest.mark.parametrize("least", [0, 100_000])
 @pytest.mark.parametrize("name", list(graphs()))
 def test_components(spark, name, least, monkeypatch):
-    monkeypatch.setattr(components, "HOT_LEAST", least)
+    monkeypatch.setattr(runtime, "HOT_LEAST", least)
     pairs = graphs()[name]
     df = spark.createDataFrame(pairs, "l string, label string")
     assert groups_of(connected_components(df, "l", "label")) == union_find(pairs)
 
 
+def test_second_hub_is_split(spark, monkeypatch):
+    """Three hubs with a third of the links each, far from each other: the second and third are hot in the joins after the first."""
+    monkeypatch.setattr(runtime, "HOT_LEAST", 50)
+    monkeypatch.setattr(runtime, "HOT_PARTS", 10)
+    found = []
+    old = components.split_join
+    monkeypatch.setattr(components, "split_join", lambda a, b, key, hot, how="inner": (found.extend(hot.collect() if hot else []), old(a, b, key, hot, how))[1])
+    pairs = [(f"h{k}", f"{k}-{i}") for k in range(3) for i in range(100 - 10 * k)] + [("0-1", "b1"), ("b1", "b2"), ("b2", "1-1")]
+    pairs += [(f"{k}-{i}", f"{k}-{i + 1}") for k in range(3) for i in range(50, 60)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert groups_of(connected_components(df, "a", "b", peel_rounds=2)) == union_find(pairs)
+    assert {"h0", "h1", "h2"} <= {r[0] for r in found}
+
+
 def test_null_and_empty(spark):
     df = spark.createDataFrame([("a", None), (None, "b")], "x string, y string")
     assert connected_components(df, "x", "y").count() == 0

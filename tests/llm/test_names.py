@@ -5,7 +5,8 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lodegraph.llm.bktree import BKTree, distances, encode
+from lodegraph import runtime
+from lodegraph.llm.bktree import FAR, BKTree, distance, distances, encode
 from lodegraph.llm.canonical import match_names
 from lodegraph.llm.names import read
 
@@ -39,7 +40,19 @@ def one(a, b):
 
 @given(WORD, WORD)
 def test_distance(a, b):
-    assert one(a, b) == dl(a, b)
+    assert one(a, b) == dl(a, b) == distance(a, b)
+
+
+@given(st.text("abc", max_size=14), st.text("abc", max_size=14), st.integers(1, 8))
+def test_distance_up_to_far(a, b, far):
+    (ca, la), (cb, lb) = encode([a]), encode([b])
+    assert int(distances(ca, la, cb, lb, far)[0]) == min(dl(a, b), far)
+
+
+def test_distances_of_long_texts():
+    texts = ["x" * 1000, "x" * 999 + "y", "y" * 1000, "x" * 3000, "a"]
+    (ca, la), (cb, lb) = encode(texts[:1] * 5), encode(texts)
+    assert distances(ca, la, cb, lb).tolist() == [0, 1, FAR, FAR, FAR]
 
 
 @given(WORD, WORD, WORD)
@@ -108,3 +121,21 @@ def test_match(spark, limit):
     assert match_names(cases.limit(0), "case_id", "input_name", labels, "label_id", "label", broadcast_entries=limit).count() == 0
     none = match_names(cases, "case_id", "input_name", labels.limit(0), "label_id", "label")
     assert {r.entry for r in none.collect()} == {-1}
+
+
+HARD_LABELS = [
+    (1, "L-foobarine", None), (2, "D-foobarin", None), (3, "zerumbone", "LALAN"), (4, "quassinol", "ALAN"), (5, "quassinal", None), (6, "quassinel", "Q7"), (7, "quassinil", "Q7"),
+    (8, "tarimol", None), (9, "tarimel", None), (10, "x" * 1500, None), (11, "x" * 1499 + "y", None),
+]
+HARD_CASES = [(1, "L-foobarin"), (2, "L-ALAN"), (3, "alan"), (4, "q7"), (5, "quassinol"), (6, "quassinul"), (7, "tarimal"), (8, "x" * 1500), (9, "x" * 1501), *[(k, "tarimol") for k in range(20, 60)]]
+HARD_WANT = {1: 1, 2: 3, 3: 4, 4: -1, 5: 4, 6: -1, 7: -1, 8: 10, 9: 10} | dict.fromkeys(range(20, 60), 8)
+
+
+@pytest.mark.parametrize("limit", [50_000, 4, 1])
+def test_every_way_of_sharding_gives_the_same(spark, limit, monkeypatch):
+    monkeypatch.setattr(runtime, "HOT_LEAST", 10)
+    monkeypatch.setattr(runtime, "HOT_PARTS", 5)
+    cases = spark.createDataFrame(HARD_CASES, "case_id long, input_name string")
+    labels = spark.createDataFrame(HARD_LABELS, "label_id long, label string, code string")
+    got = match_names(cases, "case_id", "input_name", labels, "label_id", "label", "code", broadcast_entries=limit)
+    assert {r.case_id: r.entry for r in got.collect()} == HARD_WANT
