@@ -179,8 +179,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reading_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, reading.Model]:
-    documents = widen(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return documents, reading.train(documents, table(spark, sf_dir, "reading_labels"), "doc_id", "text", "reading_level")
+    documents = widen(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return documents, reading.train(documents, table(spark, sf_dir, "reading_labels"), "doc_id", "text", "reading_level", "lang")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

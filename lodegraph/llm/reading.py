@@ -12,9 +12,15 @@
    the fewest errors is used, among equals the one with the widest gap at its
    cuts.
 
+Which texts are English is learned as well, from the documents whose language is
+given (:func:`train_language`).
+
 Bounds (documented parameters): ``max_labelled`` labelled documents are used for
-fitting, taken by a hash of their id if there are more, and ``max_words`` known
-words, those of most documents.  Levels are given to all documents.
+fitting, taken by a hash of their id if there are more.  A known word is in at
+least ``min_documents`` of them, so that there are at most max_labelled x (mean
+distinct words of a document) / min_documents known words, whatever the size of
+the corpus; those, and max_labelled rows of quantiles, are all that reaches the
+driver or is broadcast.  Levels are given to all documents.
 """
 
 from __future__ import annotations
@@ -31,20 +37,6 @@ from pyspark.sql import functions as F
 
 from lodegraph.runtime import Scratch, task_count
 
-# Frequent words that tell the language of a text.
-FUNCTION_WORDS = {
-    "en": "the of and to is in that it for with as was are be by on not this or from at which an have has but were they you we can your may with how than".split(),
-    "de": "der die das und ist nicht mit den dem des ein eine einer auf für war auch sich von zu bei wie im wurde als zuvor".split(),
-    "es": "el la los las de del y en que un una es con por para se como no fue más su al esta este después según".split(),
-    "fr": "le la les des du et est en que une dans pour avec sur pas au aux plus ce cette qui a été par selon après chez".split(),
-    "it": "il lo gli della di e che un una per con non è sono nel più questo come alla dei".split(),
-    "nl": "de het een en van is niet met op voor dat zijn te aan ook als bij door wordt naar".split(),
-    "pt": "o os as do da de e que um uma em para com não foi mais ao dos das pelo".split(),
-}
-LANGUAGE_OF: dict[str, tuple[str, ...]] = {}
-for _lang, _words in FUNCTION_WORDS.items():
-    for _w in _words:
-        LANGUAGE_OF[_w] = tuple(dict.fromkeys((*LANGUAGE_OF.get(_w, ()), _lang)))
 GRID = (0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75)
 _STRIP = "".join(chr(c) for c in range(0x2100) if unicodedata.category(chr(c))[0] in "PSZC")
 _MEMO = 200_000
@@ -71,21 +63,58 @@ class Words:
         return out
 
 
-def language(words: list[str]) -> str | None:
-    """The language whose function words are most of a text; None without any."""
-    votes: Counter[str] = Counter()
-    for w, n in Counter(words).items():
-        for lang in LANGUAGE_OF.get(w, ()):
-            votes[lang] += n
-    return votes.most_common(1)[0][0] if votes else None
+class Tongue(NamedTuple):
+    """Log-odds of English against other languages of the words that tell them apart."""
 
+    weight: dict[str, float]
+    prior: float
 
-def is_english(words: list[str], share: float = 0.03) -> bool:
-    english = sum(w in _ENGLISH for w in words)
-    return english >= share * len(words) and language(words) == "en"
+    def is_english(self, words: list[str]) -> bool:
+        """Naive Bayes over the distinct words of a text; a text without a telling word goes by the prior."""
+        return self.prior + sum(self.weight.get(w, 0.0) for w in set(words)) > 0
 
 
-_ENGLISH = frozenset(FUNCTION_WORDS["en"])
+def train_language(
+    documents: DataFrame, item: str, text: str, lang: str, max_labelled: int = 20_000, least_share: float = 0.02, min_words: int = 20
+) -> Tongue:
+    """Learn what English is from documents whose language column says so in some spelling (`en`, `EN`, `en-XX`, `English`).
+
+    About max_labelled labelled documents are used, by a hash of their id, of
+    those with at least min_words words.  Telling words are those in least_share
+    of the documents of either side, so that there are at most 2 x (mean distinct
+    words of a document) / least_share of them.  Documents without a language are
+    left out; if one side has none, every text goes by the prior: without labels
+    all are taken as English.
+    """
+    spark = documents.sparkSession
+    labelled = documents.select(F.col(item).alias("item"), F.lower(F.trim(lang)).alias("lang"), F.col(text).alias("text"))
+    labelled = labelled.filter("item is not null and lang <> '' and text is not null")
+    n = labelled.select("item").count()
+    share = min(1.0, max_labelled / max(n, 1))
+    labelled = labelled.filter(F.pmod(F.xxhash64("item"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    labelled = labelled.select(F.col("lang").rlike("^en([^a-z]|g|$)").cast("int").alias("english"), "text")
+
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = Words(), Counter()
+        for b in batches:
+            for english, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = words.of(t)
+                if len(found) >= min_words:
+                    counts.update((w, english) for w in {"", *found})
+        if counts:
+            keys, many = zip(*counts.items(), strict=True)
+            w, e = zip(*keys, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(e, pa.int32()), pa.array(many, pa.int64())], names=["word", "english", "n"])
+
+    counted = labelled.mapInArrow(count_words, "word string, english int, n long").groupBy("word").agg(
+        F.sum(F.col("n") * F.col("english")).alias("yes"), F.sum(F.col("n") * (1 - F.col("english"))).alias("no")
+    )
+    counted = Scratch(spark, "language").save(counted)
+    yes, no = next(iter(counted.filter("word = ''").select("yes", "no").collect()), (0, 0))
+    if not yes or not no:
+        return Tongue({}, 1.0 if yes or not no else -1.0)
+    rows = counted.filter((F.col("word") != "") & ((F.col("yes") >= yes * least_share) | (F.col("no") >= no * least_share))).collect()
+    return Tongue({r.word: float(np.log((r.yes + 0.5) / (yes + 1)) - np.log((r.no + 0.5) / (no + 1))) for r in rows}, float(np.log(yes / no)))
 
 
 class Grades(NamedTuple):
@@ -153,6 +182,7 @@ class Model(NamedTuple):
     usual: int  # the level of a text without known words
     errors: int  # of the labelled documents, each left out of its words' grades
     labelled: int
+    tongue: Tongue = Tongue({}, 1.0)
 
 
 def train(
@@ -161,14 +191,19 @@ def train(
     item: str,
     text: str,
     level: str,
+    lang: str | None = None,
     levels: int = 5,
     max_labelled: int = 20_000,
-    max_words: int = 50_000,
     min_documents: int = 3,
     max_spread: float = 0.8,
 ) -> Model:
-    """Fit the word grades and the cuts. An item labelled several times has the lower median of its levels."""
+    """Fit the word grades and the cuts, and the language model if there is a column lang.
+
+    An item labelled several times has the lower median of its levels.  Without a
+    language model every text is taken as English.
+    """
     spark = documents.sparkSession
+    tongue = train_language(documents, item, text, lang, max_labelled) if lang else Tongue({}, 1.0)
     scratch = Scratch(spark, "reading")
     rated = labels.select(F.col(item).alias("item"), F.col(level).cast("int").alias("level")).filter(F.col("level").between(1, levels) & F.col("item").isNotNull())
     rated = rated.groupBy("item").agg(F.floor(F.percentile("level", 0.5)).cast("int").alias("level"))
@@ -189,8 +224,8 @@ def train(
 
     counted = texts.mapInArrow(count_words, "word string, level int, n long").groupBy("word").pivot("level", list(range(1, levels + 1))).sum("n").na.fill(0)
     total = sum((F.col(str(lv)) for lv in range(1, levels + 1)), F.lit(0))
-    seen = counted.filter((total >= min_documents) | (F.col("word") == "")).orderBy(F.desc(total), "word").limit(max_words + 1)
-    rows = seen.collect()  # at most max_words rows
+    seen = counted.filter((total >= min_documents) | (F.col("word") == ""))
+    rows = sorted(seen.collect(), key=lambda r: r.word)  # bounded by max_labelled, see above
     whole = next((r for r in rows if r.word == ""), None)
     rows = [r for r in rows if r.word]
     counts = np.array([list(r)[1:] for r in rows], float).reshape(-1, levels)
@@ -215,11 +250,11 @@ def train(
     known = ~np.isnan(x).any(axis=1)
     usual = int(np.median(y)) if len(y) else (levels + 1) // 2
     if not known.any():
-        return Model(grades, {}, 0.5, [], usual, 0, 0)
+        return Model(grades, {}, 0.5, [], usual, 0, 0, tongue)
     fits = [fit_cuts(x[known, i], y[known], levels) for i in range(len(GRID))]
     i = min(range(len(GRID)), key=lambda i: (fits[i][0], -fits[i][1]))
     own = grades.grades(np.arange(len(grades.place)))
-    return Model(grades, {w: float(own[p]) for w, p in grades.place.items()}, GRID[i], fits[i][2], usual, fits[i][0], int(known.sum()))
+    return Model(grades, {w: float(own[p]) for w, p in grades.place.items()}, GRID[i], fits[i][2], usual, fits[i][0], int(known.sum()), tongue)
 
 
 def reading_levels(documents: DataFrame, item: str, text: str, model: Model, min_words: int = 40) -> DataFrame:
@@ -231,16 +266,16 @@ def reading_levels(documents: DataFrame, item: str, text: str, model: Model, min
     """
     spark = documents.sparkSession
     kind = dict(documents.dtypes)[item]
-    shared = spark.sparkContext.broadcast((model.word_grade, model.quantile, model.cuts, model.usual))
+    shared = spark.sparkContext.broadcast((model.word_grade, model.quantile, model.cuts, model.usual, model.tongue))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        grade, q, cuts, usual = shared.value
+        grade, q, cuts, usual, tongue = shared.value
         for b in batches:
             keep, level, value, n_known = [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 found = words.of(t)
-                if len(found) < min_words or not is_english(found):
+                if len(found) < min_words or not tongue.is_english(found):
                     continue
                 known = [g for w in found if (g := grade.get(w)) is not None]
                 keep.append(i)

@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.runtime import Scratch
+
 _PARTS = "term string, part int, occurrences long, records long, first_record long, last_record long"
 _ARROW = pa.schema(
     [("term", pa.string()), ("part", pa.int32()), ("occurrences", pa.int64()), ("records", pa.int64())]
@@ -73,7 +75,9 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((t, part, o, r, a, b), _ARROW, strict=True)], schema=_ARROW)
 
 
-def term_frequencies(df: DataFrame, term: Column, record: Column, occurrence: Column, partitions: int | None = None) -> DataFrame:
+def term_frequencies(
+    df: DataFrame, term: Column, record: Column, occurrence: Column, partitions: int | None = None, rows_per_task: int = 2_000_000
+) -> DataFrame:
     """Occurrences and distinct records of every term.
 
     term: string; rows with a null or blank term aren't counted.  record: long; a
@@ -86,7 +90,9 @@ def term_frequencies(df: DataFrame, term: Column, record: Column, occurrence: Co
     spark = df.sparkSession
     triples = df.select(term.alias("term"), record.cast("long").alias("record"), occurrence.alias("occurrence"))
     triples = triples.filter(F.trim("term") != "")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # range partitioning samples its input first; what made the terms must not run for the sample and again for the sort
+    triples = Scratch(spark, "terms").save(triples)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-triples.count() // rows_per_task))
     keys = ("term", "record", "occurrence")
     parts = triples.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(scan_runs, _PARTS)
     borders = F.array_sort(F.collect_list(F.when(F.col("last_record").isNotNull(), F.struct("part", "first_record", "last_record"))))

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lodegraph.llm.reading import Words, fit_cuts, is_english, reading_levels, train
+from lodegraph.llm.reading import Tongue, Words, fit_cuts, reading_levels, train, train_language
 from lodegraph.llm.tokens import count_tokens
 
 RNG = random.Random(9)
@@ -25,17 +25,30 @@ def test_cuts():
 
 def test_words():
     assert Words().of('A "late-phase" cell, 4.2 (mM)!') == ["a", "late-phase", "cell", "", "mm"]
-    assert is_english(["the", "cell", "of", "x"])
-    assert not is_english("die Zelle der Niere ist nicht".lower().split())
-    assert not is_english(["zelle"] * 50)
+
+
+def test_language(spark):
+    """The language is learned from labels in several spellings and holds for texts with a wrong or no label."""
+    german = [f"die zelle der niere ist nicht {RNG.choice(['gross', 'klein', 'rot'])} und das {RNG.choice(['blut', 'herz'])} " * 4 for _ in range(60)]
+    english = [document(1 + i % 5) for i in range(200)]
+    rows = [(i, t, RNG.choice(["en", "EN", "en-XX", " english"])) for i, t in enumerate(english)]
+    rows += [(1000 + i, t, RNG.choice(["de", "DE-XX"])) for i, t in enumerate(german)] + [(2000, english[0], None), (2001, None, "en"), (None, "x", "en"), (2002, german[0], "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tongue, words = train_language(docs, "doc_id", "text", "lang"), Words()
+    assert all(tongue.is_english(words.of(t)) for t in english) and not any(tongue.is_english(words.of(t)) for t in german)
+    assert tongue.is_english(words.of("the lamoa of the vopenc")) and not tongue.is_english(["zelle"] * 50)
+    assert train_language(docs.filter("lang is null"), "doc_id", "text", "lang") == Tongue({}, 1.0)
+    assert train_language(docs.limit(0), "doc_id", "text", "lang") == Tongue({}, 1.0)
+    assert not train_language(docs.filter("lang like '%de%'"), "doc_id", "text", "lang").is_english(["the"])
 
 
 def test_held_out_accuracy(spark):
     rows = [(i, document(1 + i % 5)) for i in range(400)]
     labels = [(i, 1 + i % 5) for i in range(0, 200)] + [(3, 4), (9999, 1), (7, None), (8, 77)]
     extra = [(1000, None), (1001, ""), (1002, "the of and"), (1003, "der die das und ist nicht " * 20), (1004, "the " * 50), (5, rows[5][1]), (None, rows[6][1])]
-    docs = spark.createDataFrame(rows + extra, "doc_id long, text string")
-    model = train(docs, spark.createDataFrame(labels, "doc_id long, lv int"), "doc_id", "text", "lv")
+    foreign = [(3000 + i, "der die das und ist nicht " * 20, "de") for i in range(20)]
+    docs = spark.createDataFrame([(*r, "en" if r[0] in range(300) else None) for r in rows + extra] + foreign, "doc_id long, text string, lang string")
+    model = train(docs, spark.createDataFrame(labels, "doc_id long, lv int"), "doc_id", "text", "lv", "lang")
     got = {r.doc_id: r.reading_level for r in reading_levels(docs, "doc_id", "text", model).collect()}
     assert set(got) == set(range(400)) | {1004}
     held = [got[i] == 1 + i % 5 for i in range(200, 400)]
