@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.llm import lookalikes
 from lodegraph.llm.bktree import BKTree
 from lodegraph.llm.names import entries, read
 from lodegraph.runtime import Scratch, hot_keys, split_join, spread, task_count
@@ -86,12 +87,13 @@ def _found(keys: list, names: list[str | None], index: Index, radius: int) -> li
     return [(key, d, min(found, default=None), len(found)) for key, (d, found) in zip(keys, hits, strict=True)]
 
 
-def _by_shards(named: DataFrame, listed: DataFrame, shards: int, radius: int, rows_per_task: int) -> DataFrame:
+def _by_shards(named: DataFrame, listed: DataFrame, shards: int, radius: int, rows_per_task: int, table: dict[str, str]) -> DataFrame:
     """(key, distance, entry, ties) with the entries in shards, every distinct name searched once in each."""
     spark = named.sparkSession
     scratch = Scratch(spark, "names")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
+        lookalikes.use(table)
         index = Index([(int(e), x, c) for e, x, c in zip(rows.entry, rows.label, rows.code, strict=True)])
         return pd.DataFrame({"shard": [rows.shard.iloc[0]], "index": [pickle.dumps(index)]})
 
@@ -101,6 +103,7 @@ def _by_shards(named: DataFrame, listed: DataFrame, shards: int, radius: int, ro
     chunks = task_count(spark, counts.count(), rows_per_task * 8)
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        lookalikes.use(table)
         hits = _found(left.name.tolist(), left.name.tolist(), pickle.loads(right["index"].iloc[0]), radius) if len(right) else []
         return pd.DataFrame(hits, columns=["name", "distance", "entry", "ties"]).astype({"distance": "Int32", "entry": "Int64"})
 
@@ -142,10 +145,13 @@ def match_names(
     code_col = F.col(code) if code else F.lit(None).cast("string")
     listed = reference.select(F.col(entry).cast("long").alias("entry"), F.col(label).alias("label"), code_col.alias("code")).filter("entry is not null").distinct()
     n_entries = listed.count()
+    table = lookalikes.confusables()
+    lookalikes.use(table)
     if n_entries <= broadcast_entries:
         index = spark.sparkContext.broadcast(Index([tuple(r) for r in listed.collect()]))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lookalikes.use(table)
             for b in batches:
                 rows = _found(b.column(0).to_pylist(), b.column(1).to_pylist(), index.value, radius)
                 columns = zip(*rows, strict=True) if rows else [()] * len(_ARROW)
@@ -153,6 +159,6 @@ def match_names(
 
         found = named.mapInArrow(search, _FOUND)
     else:
-        found = _by_shards(named, listed, math.ceil(n_entries / broadcast_entries), radius, rows_per_task)
+        found = _by_shards(named, listed, math.ceil(n_entries / broadcast_entries), radius, rows_per_task, table)
     one = F.when(F.col("ties") == 1, F.col("entry")).otherwise(F.lit(-1).cast("long"))
     return found.select(F.col("key").alias(key), one.alias("entry"), "distance", "ties")

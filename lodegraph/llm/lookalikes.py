@@ -17,11 +17,20 @@ maximal run without blanks):
 
 A token wholly in one foreign script is a *whole-script* token: it is reported
 as confusable when it has a complete Latin spelling, but its spelling stays.
+
+Look-alikes of Latin letters come from the public Unicode table of confusables,
+which Spark's own libraries hold (:func:`confusables`); :func:`use` puts it to use
+in a process.  The fixed letters below go before it, and are all there is without
+it.
 """
 
 from __future__ import annotations
 
+import glob
+import os
+import struct
 import unicodedata
+import zipfile
 from functools import lru_cache
 
 import regex
@@ -47,7 +56,14 @@ INVISIBLE_MARKS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\
 VISIBLE_FORMS = ("<super>", "<sub>", "<fraction>", "<square>", "<circle>", "<vertical>")
 
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
-TO_LATIN = CYRILLIC_LATIN | GREEK_LATIN | ARMENIAN_LATIN | CHEROKEE_LATIN
+# Other scripts with letters that are drawn like Latin ones.
+OTHER_SCRIPTS = (
+    "Coptic", "Lisu", "Georgian", "Deseret", "Hebrew", "Arabic", "Devanagari", "Bengali", "Gujarati", "Gurmukhi", "Kannada", "Malayalam", "Tamil", "Telugu", "Oriya", "Sinhala",
+    "Thai", "Lao", "Myanmar", "Ethiopic", "Canadian_Aboriginal", "Runic", "Ogham", "Tifinagh", "Nko", "Vai", "Bamum", "Miao", "Osage", "Warang_Citi", "Carian", "Lycian", "Lydian",
+    "Old_Italic", "Gothic", "Elbasan", "Glagolitic", "Han", "Hangul", "Hiragana", "Katakana", "Bopomofo",
+)
+FIXED_LATIN = CYRILLIC_LATIN | GREEK_LATIN | ARMENIAN_LATIN | CHEROKEE_LATIN
+TO_LATIN = dict(FIXED_LATIN)
 #: Look-alikes by target script; the foreign targets are the tables read backwards.
 TO_SCRIPT = {
     "Latin": TO_LATIN,
@@ -56,12 +72,58 @@ TO_SCRIPT = {
     "Armenian": {v: k for k, v in reversed(list(ARMENIAN_LATIN.items()))},
     "Cherokee": {v: k for k, v in reversed(list(CHEROKEE_LATIN.items()))},
 }
-_SCRIPT_TESTS = [(s, regex.compile(rf"\p{{scx={s}}}")) for s in SCRIPTS]
+_SCRIPT_TESTS = [(s, regex.compile(rf"\p{{scx={s}}}")) for s in (*SCRIPTS, *OTHER_SCRIPTS)]
 _COMMON = regex.compile(r"[\p{sc=Common}\p{sc=Inherited}]")
 _BLANKS = regex.compile(r"\s")
 _TOKEN = regex.compile(r"[^ ]+")
 
 
+@lru_cache(maxsize=2)
+def confusables(spark_home: str | None = None) -> dict[str, str]:
+    """Letters of other scripts than Latin and Greek that the Unicode table gives a single Latin letter; {} without the table.
+
+    The table gives every sign the plainest one that is drawn like it, without
+    regard to case: capitals that are drawn like `l` are `I` here.  Greek letters
+    are left out, since most are used as Greek.
+    """
+    if spark_home is None:
+        from pyspark.find_spark_home import _find_spark_home
+
+        spark_home = _find_spark_home()
+    jars = sorted(glob.glob(os.path.join(spark_home, "jars", "icu4j-*.jar")))
+    if not jars:
+        return {}
+    with zipfile.ZipFile(jars[-1]) as z:
+        names = [n for n in z.namelist() if n.endswith("/confusables.cfu")]
+        data = z.read(names[0]) if names else b""
+    if not data:
+        return {}
+    # a header whose size comes first, then places and lengths of keys, values and texts, all big-endian
+    body = data[struct.unpack(">H", data[:2])[0] :]
+    keys_at, n_keys, values_at, n_values, texts_at, n_texts = struct.unpack(">6i", body[12:36])
+    keys = struct.unpack(f">{n_keys}i", body[keys_at : keys_at + 4 * n_keys])
+    values = struct.unpack(f">{n_values}H", body[values_at : values_at + 2 * n_values])
+    out = {}
+    for key, value in zip(keys, values, strict=True):
+        ch, length = chr(key & 0xFFFFFF), (key >> 24 & 0xFF) + 1
+        if length != 1 or not chr(value).isascii() or not chr(value).isalpha() or not unicodedata.category(ch).startswith("L"):
+            continue
+        scripts = scripts_of(ch)
+        if scripts and not scripts & {"Latin", "Greek"}:
+            capital = unicodedata.category(ch) == "Lu" or "Lisu" in scripts
+            out[ch] = "I" if value == ord("l") and capital else chr(value)
+    return out
+
+
+def use(table: dict[str, str]) -> None:
+    """Take these look-alikes of Latin letters beside the fixed ones, in this process."""
+    latin = table | FIXED_LATIN
+    if latin != TO_LATIN:
+        TO_LATIN.clear()
+        TO_LATIN.update(latin)
+        _token.cache_clear()
+
+
 @lru_cache(maxsize=65536)
 def plain(ch: str) -> str:
     """The decomposed plain form of one character; '' for an invisible one."""

@@ -131,7 +131,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_token_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelling.token_kinds(table(spark, sf_dir, "sentence_mentions"), "surface")
+    """Tokens of each kind over all the fields of p6_found."""
+    both = spelling.token_kinds(table(spark, sf_dir, "sentence_mentions"), ("surface", "normalized_surface"))
+    both = both.unionByName(spelling.token_kinds(table(spark, sf_dir, "cid_properties"), (), ("synonyms",)))
+    return both.groupBy("token_kind").agg(F.sum("n_tokens").alias("n_tokens"))
 
 
 # 7: containers of 2,048 tokens

@@ -7,14 +7,14 @@ worked on once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodegraph.llm.lookalikes import clean, kinds
+from lodegraph.llm.lookalikes import clean, confusables, kinds, use
 
 UNPLAIN = r"[^ -~]"
 
@@ -24,14 +24,24 @@ def _each_distinct(x: pa.Array, f, kind: pa.DataType) -> pa.Array:
     return pa.array([None if v is None else f(v) for v in coded.dictionary.to_pylist()], kind).take(coded.indices)
 
 
-@F.arrow_udf(T.StringType())
-def _clean(x: pa.Array) -> pa.Array:
-    return _each_distinct(x, clean, pa.string())
+def _udf(f: Callable, kind: T.DataType, arrow_kind: pa.DataType) -> Callable:
+    """A column function of a kernel, with the driver's table of look-alikes sent along (a few thousand letters)."""
+    table = confusables()
 
+    @F.arrow_udf(kind)
+    def run(x: pa.Array) -> pa.Array:
+        use(table)
+        return _each_distinct(x, f, arrow_kind)
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _kinds(x: pa.Array) -> pa.Array:
-    return _each_distinct(x, kinds, pa.list_(pa.string()))
+    return run
+
+
+def _clean(c: Column | str) -> Column:
+    return _udf(clean, T.StringType(), pa.string())(c)
+
+
+def _kinds(c: Column | str) -> Column:
+    return _udf(kinds, T.ArrayType(T.StringType()), pa.list_(pa.string()))(c)
 
 
 def consistent(c: Column) -> Column:
@@ -71,7 +81,8 @@ def inconsistent_texts(
     )
 
 
-def token_kinds(df: DataFrame, text: str) -> DataFrame:
-    """How many tokens of the unplain texts are of one script, mixed, or wholly confusable."""
-    found = df.filter(F.col(text).rlike(UNPLAIN)).select(F.explode(_kinds(text)).alias("token_kind"))
-    return found.groupBy("token_kind").agg(F.count("*").alias("n_tokens"))
+def token_kinds(df: DataFrame, fields: Sequence[str] = (), list_fields: Sequence[str] = ()) -> DataFrame:
+    """How many tokens of the unplain texts of some fields are of one script, mixed, or wholly confusable."""
+    texts = F.flatten(F.array(*[F.array(f) for f in fields], *[F.coalesce(F.col(f), F.array().cast("array<string>")) for f in list_fields]))
+    each = df.select(F.explode(texts).alias("text")).filter(F.col("text").rlike(UNPLAIN))
+    return each.select(F.explode(_kinds("text")).alias("token_kind")).groupBy("token_kind").agg(F.count("*").alias("n_tokens"))

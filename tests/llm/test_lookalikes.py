@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lodegraph.llm import spelling
+from lodegraph.llm import lookalikes, spelling
 from lodegraph.llm.lookalikes import clean, kinds
 
 
@@ -35,6 +35,29 @@ def test_clean(text, want):
     assert clean(text) == want
 
 
+@pytest.fixture
+def whole_table():
+    lookalikes.use(lookalikes.confusables())
+    yield lookalikes.TO_LATIN
+    lookalikes.use({})
+
+
+def test_unicode_table(whole_table):
+    """Letters beyond the fixed ones: Lisu, Coptic, Cyrillic; Greek symbols and whole foreign words stay."""
+    assert len(whole_table) > 250 and not any("GREEK SMALL" in unicodedata.name(c, "") for c in lookalikes.confusables())
+    assert [clean(t) for t in ("ꓐeta", "ⲟxide", "gluсose", "pгoxy", "Іlan")] == ["Beta", "oxide", "glucose", "proxy", "Ilan"]
+    assert [clean(t) for t in ("α-tocopherol", "кислота", "ꓐꓠꓢ")] == ["α-tocopherol", "кислота", "ꓐꓠꓢ"]
+    assert lookalikes.confusables("/nowhere") == {}
+
+
+@given(st.text(max_size=60))
+def test_idempotent_with_the_unicode_table(text):
+    lookalikes.use(lookalikes.confusables())
+    once = clean(text)
+    assert clean(once) == once
+    lookalikes.use({})
+
+
 def test_kinds():
     assert kinds("сор mіx latin") == ["whole", "mixed", "single"]
 
