@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.keys import hash_bucket
 from lodegraph.functions.text import tokens
+from lodegraph.operators.learning import bucket_split
 from lodegraph.operators.ordering import dense_index, first_in_group, top_in_group
 from lodegraph.operators.resolve import small
 
@@ -113,6 +114,5 @@ def forbidden_text(texts: DataFrame, key: str, text: str, phrases: Sequence[str]
 
 def prediction_rows(rows: DataFrame, label: Column, features: dict[str, Column], group: Column) -> DataFrame:
     """Training rows: prediction_id, label (0 negative, 1 unsure, 2 positive), the features with nulls as 0, and the group's split."""
-    b = hash_bucket(group, 8, 100)
-    split = F.when(b < 15, "validation").when(b < 30, "test").otherwise("train")
+    split = bucket_split(group, 8)
     return rows.select("prediction_id", label.alias("label"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in features.items()], split.alias("split"))

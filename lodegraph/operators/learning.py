@@ -11,33 +11,80 @@ from lodegraph.functions.keys import hash_bucket
 from lodegraph.operators.ordering import dense_index
 from lodegraph.operators.resolve import small
 
-# The score of a weak label and the most that a model may give a candidate with it.
-LABEL_SCORES = {"strong_positive": 1.0, "medium_positive": 0.78, "weak_positive": 0.58, "negative_refute": 0.0}
-LABEL_CAPS = {"strong_positive": 1.0, "medium_positive": 0.82, "weak_positive": 0.62, "negative": 0.25, "refute": 0.05}
+# Classes of support by what they say about a relation.
+POSITIVE_CLASSES = ("confirm", "support_direction", "support", "supported_existing_edge")
+WEAK_CLASSES = ("novel_candidate", "candidate", "uncertain")
+NEGATIVE_CLASSES = ("conflict", "refute", "refuted", "opposite_direction")
+CONTEXT_MISMATCH_CLASSES = ("context_mismatch", "wrong_context", "out_of_context")
+# The most that a model may give a candidate with a weak label; other labels get OTHER_CAP.
+LABEL_CAPS = {"strong_positive": 1.0, "medium_positive": 0.82, "weak_positive": 0.62, "abstain": 0.25, "negative_shuffled": 0.05, "negative_refute": 0.05}
+OTHER_CAP = 0.25
+POSITIVE_LABELS = ("strong_positive", "medium_positive", "weak_positive")
 
 
 def choose(c: Column, values: dict, other: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c), other)
 
 
-def weak_label(support_class: Column, p: Column, articles: Column, sentences: Column, is_known: Column) -> Column:
-    """strong_positive, medium_positive, weak_positive, negative_refute or abstain."""
-    positive = support_class.isin("support_direction", "confirm", "novel_candidate")
+def weak_label(support_class: Column, p: Column, articles: Column, sentences: Column, known_edges: Column) -> Column:
+    """Struct (weak_label, label_score, label_reason) of a relation from texts; nulls count as nothing.
+
+    A refuted relation is negative whatever its probability; only classes that
+    confirm make a strong or medium positive.
+    """
+    kind, prob = F.lower(F.coalesce(support_class, F.lit(""))), F.coalesce(p, F.lit(0.0))
+    n, m, edges = (F.coalesce(c, F.lit(0)) for c in (articles, sentences, known_edges))
+    made = lambda label, score, reason: F.struct(F.lit(label).alias("weak_label"), F.lit(score).alias("label_score"), F.lit(reason).alias("label_reason"))
+    positive = kind.isin(*POSITIVE_CLASSES)
+    return (
+        F.when(kind.isin(*NEGATIVE_CLASSES), made("negative_refute", 0.0, "literature_refute"))
+        .when(positive & (prob >= 0.85) & (n >= 2) & (edges > 0), made("strong_positive", 1.0, "curated_and_literature"))
+        .when(positive & (prob >= 0.70) & (m >= 2), made("medium_positive", 0.78, "literature_support"))
+        .when(kind.isin(*WEAK_CLASSES) & (prob >= 0.75) & (n >= 2), made("weak_positive", 0.58, "novel_literature_candidate"))
+        .when((prob >= 0.90) & (n >= 3), made("weak_positive", 0.55, "high_literature_probability"))
+        .otherwise(made("abstain", 0.0, "insufficient_or_context_only"))
+    )
+
+
+def graph_edge_label(curated: Column, prior: Column) -> Column:
+    """Struct (weak_label, label_score, label_reason) of a known edge from its source-independent prior."""
+    score = F.round(F.least(F.lit(0.86), F.greatest(F.lit(0.50), 0.50 + 0.36 * prior + F.when(curated, 0.06).otherwise(0.0))), 6)
+    label = F.when(score >= 0.65, "medium_positive").otherwise("weak_positive")
+    return F.struct(label.alias("weak_label"), score.alias("label_score"), F.lit("canonical_graph_edge").alias("label_reason"))
+
+
+def overlay_label(confidence: Column) -> Column:
+    """Struct (weak_label, label_score, label_reason) of a drug and its target by the confidence of the source."""
+    made = lambda label, score, reason: F.struct(F.lit(label).alias("weak_label"), F.lit(score).alias("label_score"), F.lit(reason).alias("label_reason"))
     return (
-        F.when(positive & (p >= 0.85) & (articles >= 2) & is_known, "strong_positive")
-        .when(positive & (p >= 0.70) & (sentences >= 2), "medium_positive")
-        .when(((p >= 0.75) & (articles >= 2)) | ((p >= 0.90) & (articles >= 3)), "weak_positive")
-        .when(support_class == "conflict_candidate", "negative_refute")
-        .otherwise("abstain")
+        F.when(confidence >= 0.75, made("medium_positive", 0.72, "curated_drug_target_overlay"))
+        .when(confidence >= 0.45, made("weak_positive", 0.52, "drug_target_overlay"))
+        .otherwise(made("abstain", 0.0, "low_confidence_overlay"))
     )
 
 
+def five_class(label: Column, reason: Column) -> Column:
+    """context_mismatch, contradicted, supported, unrelated or insufficient_evidence."""
+    low, why = F.lower(F.coalesce(label, F.lit(""))), F.lower(F.coalesce(reason, F.lit("")))
+    return (
+        F.when(low.isin(*CONTEXT_MISMATCH_CLASSES) | why.contains("context_mismatch"), "context_mismatch")
+        .when(low.isin(*NEGATIVE_CLASSES) | low.startswith("negative") | why.contains("refute"), "contradicted")
+        .when(low.isin(*POSITIVE_LABELS), "supported")
+        .otherwise("insufficient_evidence")
+    )
+
+
+def bucket_split(group: Column, digits: int = 12) -> Column:
+    """test, validation, train by the hash of a group (15, 15 and 70 of 100)."""
+    b = hash_bucket(group, digits, 100)
+    return F.when(b < 15, "test").when(b < 30, "validation").otherwise("train")
+
+
 def split_of(group: Column, year: Column | None = None, context: Column | None = None, from_year: int = 2024) -> Column:
-    """train, validation, test by the hash of a group (70, 15 and 15 of 100), with hold-outs by year and by context."""
-    b = hash_bucket(group, 12, 100)
-    out = F.when(b < 15, "validation").when(b < 30, "test").otherwise("train")
+    """The split of a group, with hold-outs by year (first) and by context; a group without a name is `ungrouped`."""
+    out = bucket_split(F.coalesce(F.nullif(group, F.lit("")), F.lit("ungrouped")))
     if context is not None:
-        out = F.when(hash_bucket(context, 8, 20) == 0, "context_holdout").otherwise(out)
+        out = F.when((context != "") & (hash_bucket(context, 12, 20) == 0), "context_holdout").otherwise(out)
     if year is not None:
         out = F.when(year >= from_year, "temporal_holdout").otherwise(out)
     return out
@@ -93,7 +140,7 @@ def sample_weights(df: DataFrame, group: Sequence[str], strong: Column) -> DataF
 
 def capped(score: Column, label: Column) -> Column:
     """The score, at most the cap of the label; labels without a cap are negative ones."""
-    return F.least(score, choose(label, LABEL_CAPS, F.lit(0.25)))
+    return F.least(score, choose(label, LABEL_CAPS, F.lit(OTHER_CAP)))
 
 
 def debias(df: DataFrame, raw: str, positives: str, candidates: str, support: str, degree: str, mentions: str, generic: Column, hub: Column) -> DataFrame:
@@ -138,11 +185,11 @@ def signal_score(degree: Column, mentions: Column, support: Column, overlay: Col
     return F.log1p(degree) + 2 * F.log1p(mentions) + 3 * F.log1p(support) + 2 * F.log1p(overlay)
 
 
-def top_terms(df: DataFrame, entity: str, term: str, k: int = 12) -> DataFrame:
-    """entity, document: its k most frequent terms, each repeated 1 to 3 times by the log of its count; ties by term."""
+def top_terms(df: DataFrame, entity: str, term: str, k: int = 24) -> DataFrame:
+    """entity, document: its k most frequent terms, each int(ln(1 + n)) + 1 times, at most 3; ties by term."""
     counts = df.filter(F.col(term).isNotNull()).groupBy(entity, term).agg(F.count("*").alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy(entity).orderBy(F.desc("n"), F.asc(term)))).filter(F.col("r") <= k)
-    times = F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.log1p("n")).cast("int")))
+    times = F.greatest(F.lit(1), F.least(F.lit(3), F.floor(F.log1p("n")).cast("int") + 1))
     text = ranked.withColumn("t", F.array_join(F.array_repeat(F.col(term), times), " "))
     lists = text.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("r", "t"))).alias("x"))
     return lists.select(entity, F.array_join(F.transform("x", lambda s: s["t"]), " ").alias("document"))

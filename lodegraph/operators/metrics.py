@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.operators.ordering import top_in_group
@@ -67,25 +67,49 @@ def precision_at(df: DataFrame, score: str, label: str, key: str, ks: Sequence[i
 
 
 def ranking_metrics(df: DataFrame, group: str, score: str, label: str, key: str, p_at: int = 5, ndcg_at: int = 10) -> DataFrame:
-    """group, precision, ndcg, reciprocal_rank of each ranked list."""
-    top = top_in_group(df.select(group, score, key, F.col(label).cast("int").alias("y")), [group], [F.desc(score), F.asc(key)], ndcg_at, "r")
-    gain = F.col("y") / F.log2(F.col("r") + 1)
-    got = top.groupBy(group).agg(
-        (F.sum(F.when(F.col("r") <= p_at, F.col("y")).otherwise(0)) / p_at).alias("precision"), F.sum(gain).alias("dcg"),
-        F.min(F.when(F.col("y") > 0, F.col("r"))).alias("first"),
-    )
-    best = df.groupBy(group).agg(F.least(F.sum(F.col(label).cast("int")), F.lit(ndcg_at)).alias("n"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
-    return got.join(best, group).select(
-        group, "precision", F.when(F.col("n") > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank")
+    """group, precision, ndcg, reciprocal_rank of each ranked list; ties by key.
+
+    label: 0, 1 or 2.  A row is relevant from 2 on; precision is over the first
+    p_at rows, or all of a shorter list; the gain of a row is 2^label - 1; the
+    first relevant row counts wherever it is.  A null label is 0.
+    """
+    rows = df.select(F.col(group), F.col(score), F.col(key), F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("y"))
+    top = top_in_group(rows, [group], [F.desc(score), F.asc(key)], max(p_at, ndcg_at), "r")
+    gain = lambda r: F.when(F.col(r) <= ndcg_at, (F.pow(F.lit(2.0), F.col("y")) - 1) / F.log2(F.col(r) + 1)).otherwise(0.0)
+    got = top.groupBy(group).agg(F.avg(F.when(F.col("r") <= p_at, (F.col("y") >= 2).cast("double"))).alias("precision"), F.sum(gain("r")).alias("dcg"))
+    best = top_in_group(rows, [group], [F.desc("y"), F.asc(key)], ndcg_at, "i").groupBy(group).agg(F.sum(gain("i")).alias("ideal"))
+    # the place of the best relevant row: how many rows come before it
+    first = rows.filter("y >= 2").groupBy(group).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(key))).alias("f"))
+    ahead = rows.join(first, group).filter((-F.col(score) < F.col("f.s")) | ((-F.col(score) == F.col("f.s")) & (F.col(key) < F.col(f"f.{key}"))))
+    place = first.select(group).join(ahead.groupBy(group).agg(F.count("*").alias("n")), group, "left").select(group, (F.coalesce("n", F.lit(0)) + 1).alias("place"))
+    return got.join(best, group).join(place, group, "left").select(
+        group, "precision", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0).alias("ndcg"), F.coalesce(1 / F.col("place"), F.lit(0.0)).alias("reciprocal_rank")
     )
 
 
-def calibration(df: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
-    """ece, brier, mae, overclaim_rate (negatives given 0.5 or more) over equal bins, the last one closed."""
-    y, x = F.col(label).cast("double"), F.col(p)
+# Tiers of a calibrated confidence, each from its threshold on.
+TIERS = (("high", 0.75), ("medium", 0.45), ("exploratory", 0.18), ("low", 0.0))
+
+
+def confidence_tier(p: Column) -> Column:
+    """high, medium, exploratory or low."""
+    out = None
+    for tier, least in TIERS[:-1]:
+        out = F.when(p >= least, tier) if out is None else out.when(p >= least, tier)
+    return out.otherwise(TIERS[-1][0])
+
+
+def calibration(df: DataFrame, p: str, label: str, tier: str | None = None, bins: int = 10) -> DataFrame:
+    """ece, brier, mae, overclaim_rate over equal bins, the last one closed.
+
+    label: 0, 1 or 2; ECE and Brier take 2 as positive, MAE is against label / 2,
+    and an overclaim is a row of tier high or medium with label 0.  Without a
+    column tier it is :func:`confidence_tier` of p.
+    """
+    y, half, x = (F.col(label) >= 2).cast("double"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(label) / 2)), F.col(p)
+    claimed = (F.col(tier) if tier else confidence_tier(x)).isin("high", "medium") & (F.col(label) <= 0)
     b = df.withColumn("_b", F.least(F.lit(bins - 1), F.floor(x * bins)))
-    per = b.groupBy("_b").agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"), F.sum((x - y) * (x - y)).alias("sq"), F.sum(F.abs(x - y)).alias("ab"), F.sum(F.when((y == 0) & (x >= 0.5), 1).otherwise(0)).alias("over"))
+    per = b.groupBy("_b").agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"), F.sum((x - y) * (x - y)).alias("sq"), F.sum(F.abs(x - half)).alias("ab"), F.sum(claimed.cast("int")).alias("over"))
     n = F.sum("n")
     return per.agg((F.sum(F.col("n") * F.abs(F.col("x") - F.col("y"))) / n).alias("ece"), (F.sum("sq") / n).alias("brier"), (F.sum("ab") / n).alias("mae"), (F.sum("over") / n).alias("overclaim_rate"))
 

@@ -132,7 +132,7 @@ ORACLES = {
     ),
     "prediction_rows": f"""
         select 'o' || o_orderkey as prediction_id, case o_orderstatus when 'F' then 2 when 'P' then 1 else 0 end as label, round(o_totalprice / 1000, 3) as price, 0.0::double as missing,
-          case when {_BUCKET.format(x="o_custkey", k=8)} < 15 then 'validation' when {_BUCKET.format(x="o_custkey", k=8)} < 30 then 'test' else 'train' end as split from orders""",
+          case when {_BUCKET.format(x="o_custkey", k=8)} < 15 then 'test' when {_BUCKET.format(x="o_custkey", k=8)} < 30 then 'validation' else 'train' end as split from orders""",
     "sentence_spans": """
         with s as (select doc_id, text, regexp_extract_all(text, '[^.!?\\n]+(?:[.!?]+|$)') as ss from documents where text is not null)
         select doc_id, (i - 1)::int as pos, trim(ss[i], ' ') as sentence, "start", "end" from (select doc_id, ss, unnest(range(1, len(ss) + 1)) as i from s) join

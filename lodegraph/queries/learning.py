@@ -21,18 +21,20 @@ def _candidates(spark, d):
     c = c.withColumn("uid", uid).withColumn("p", F.least(F.lit(0.99), 0.25 * C("sentences") + 6 * C("best")))
     b = hash_bucket(C("uid"), 8, 10)
     return c.withColumn("known", hash_bucket(C("l_partkey").cast("string"), 8, 5) < 2).withColumn(
-        "support_class", F.when(b == 0, "conflict_candidate").when(b == 1, "background_candidate").when(b == 2, "unresolved").otherwise("novel_candidate")
+        "support_class",
+        F.when(b == 0, "refute").when(b == 1, "background_candidate").when(b == 2, "unresolved").when(b <= 4, "confirm").when(b == 5, "support_direction").otherwise("novel_candidate"),
     )
 
 
 def _labelled(spark, d):
     c = _candidates(spark, d)
-    return c.withColumn("weak_label", L.weak_label(C("support_class"), C("p"), C("articles"), C("sentences"), C("known")))
+    label = L.weak_label(C("support_class"), C("p"), C("articles"), C("sentences"), C("known").cast("int"))
+    return c.select("*", label.alias("_l")).select(*c.columns, "_l.weak_label", "_l.label_score", "_l.label_reason")
 
 
 def weak_labels(spark: SparkSession, d: str) -> DataFrame:
     c = _labelled(spark, d)
-    return c.select("uid", "weak_label", L.choose(C("weak_label"), L.LABEL_SCORES, F.lit(None).cast("double")).alias("label_score"))
+    return c.select("uid", "weak_label", "label_score", "label_reason", L.five_class(C("weak_label"), C("label_reason")).alias("weak_label_class"))
 
 
 def label_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +54,7 @@ def temporal_holdout(spark: SparkSession, d: str) -> DataFrame:
 def hashed_negatives(spark: SparkSession, d: str) -> DataFrame:
     c = _candidates(spark, d).filter("known").select(F.concat(F.lit("p"), "l_partkey").alias("subject"), F.lit("supplied_by").alias("predicate"), F.concat(F.lit("s"), "l_suppkey").alias("object"), F.lit("supplier").alias("object_type"))
     pool = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("entity"), F.lit("supplier").alias("type"))
-    return L.hashed_negatives(c, pool, 1)
+    return L.hashed_negatives(c, pool)
 
 
 def pair_features(spark: SparkSession, d: str) -> DataFrame:
@@ -106,12 +108,12 @@ def signal_entities(spark: SparkSession, d: str) -> DataFrame:
 
 def top_terms(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "sentence_mentions").select("mention_uid", "article_uid", "entity_uid").dropDuplicates(["mention_uid"])
-    return L.top_terms(m, "article_uid", "entity_uid", 12)
+    return L.top_terms(m, "article_uid", "entity_uid")
 
 
 def _scored(spark, d):
     o = table(spark, d, "orders")
-    return o.select("o_orderkey", "o_custkey", (F.floor(C("o_totalprice") / 1000) / 600).alias("score"), (C("o_orderstatus") == "F").cast("int").alias("y"), F.pmod("o_orderkey", F.lit(97)).alias("other"))
+    return o.select("o_orderkey", "o_custkey", (F.floor(C("o_totalprice") / 1000) / 600).alias("score"), (C("o_orderstatus") == "F").cast("int").alias("y"), F.when(C("o_orderstatus") == "F", 2).when(C("o_orderstatus") == "P", 1).otherwise(0).alias("label"), F.pmod("o_orderkey", F.lit(97)).alias("other"))
 
 
 def _rounded(df):
@@ -135,11 +137,11 @@ def precision_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranking_quality(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(M.ranking_metrics(_scored(spark, d), "o_custkey", "score", "y", "o_orderkey"))
+    return _rounded(M.ranking_metrics(_scored(spark, d), "o_custkey", "score", "label", "o_orderkey"))
 
 
 def calibration_error(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(M.calibration(_scored(spark, d), "score", "y"))
+    return _rounded(M.calibration(_scored(spark, d), "score", "label"))
 
 
 def spearman(spark: SparkSession, d: str) -> DataFrame:
@@ -170,25 +172,30 @@ b = lambda x, n, k=8: _B.format(x=x, n=n, k=k)
 _CAND = f"""
     c0 as (select l_partkey, l_suppkey, count(*) as sentences, count(distinct l_orderkey) as articles, max(l_discount) as best, max(year(l_shipdate))::int as year, 'p' || l_partkey || '-s' || l_suppkey as uid from lineitem group by 1, 2),
     c as (select *, least(0.99::double, 0.25::double * sentences + 6 * best) as p, {b("l_partkey::varchar", 5)} < 2 as known,
-      case {b("uid", 10)} when 0 then 'conflict_candidate' when 1 then 'background_candidate' when 2 then 'unresolved' else 'novel_candidate' end as support_class from c0),
-    lab as (select *, case when support_class = 'novel_candidate' and p >= 0.85 and articles >= 2 and known then 'strong_positive' when support_class = 'novel_candidate' and p >= 0.7 and sentences >= 2 then 'medium_positive'
-      when (p >= 0.75 and articles >= 2) or (p >= 0.9 and articles >= 3) then 'weak_positive' when support_class = 'conflict_candidate' then 'negative_refute' else 'abstain' end as weak_label from c)"""
-_SCORED = "s as (select o_orderkey, o_custkey, floor(o_totalprice / 1000) / 600 as score, (o_orderstatus = 'F')::int as y, o_orderkey % 97 as other from orders)"
+      case {b("uid", 10)} when 0 then 'refute' when 1 then 'background_candidate' when 2 then 'unresolved' when 3 then 'confirm' when 4 then 'confirm' when 5 then 'support_direction' else 'novel_candidate' end as support_class from c0),
+    lab as (select *, case when support_class = 'refute' then 'negative_refute' when support_class in ('confirm', 'support_direction') and p >= 0.85 and articles >= 2 and known then 'strong_positive'
+      when support_class in ('confirm', 'support_direction') and p >= 0.7 and sentences >= 2 then 'medium_positive' when support_class = 'novel_candidate' and p >= 0.75 and articles >= 2 then 'weak_positive'
+      when p >= 0.9 and articles >= 3 then 'weak_positive' else 'abstain' end as weak_label from c)"""
+_SCORED = "s as (select o_orderkey, o_custkey, floor(o_totalprice / 1000) / 600 as score, (o_orderstatus = 'F')::int as y, case o_orderstatus when 'F' then 2 when 'P' then 1 else 0 end as label, o_orderkey % 97 as other from orders)"
 _CUM = f"{_SCORED}, g as (select score, sum(y) as pos, sum(1 - y) as neg from s group by 1), cum as (select *, sum(pos) over (order by score desc) as tp, sum(neg) over (order by score desc) as fp, sum(pos) over () as p, sum(neg) over () as n from g)"
 
 ORACLES = {
-    "weak_labels": f"with {_CAND} select uid, weak_label, (case weak_label when 'strong_positive' then 1 when 'medium_positive' then 0.78 when 'weak_positive' then 0.58 when 'negative_refute' then 0 end)::double as label_score from lab",
+    "weak_labels": f"""
+        with {_CAND}, r as (select uid, weak_label, case weak_label when 'strong_positive' then 'curated_and_literature' when 'medium_positive' then 'literature_support' when 'negative_refute' then 'literature_refute'
+          when 'abstain' then 'insufficient_or_context_only' else case when support_class = 'novel_candidate' and p >= 0.75 and articles >= 2 then 'novel_literature_candidate' else 'high_literature_probability' end end as label_reason from lab)
+        select uid, weak_label, (case label_reason when 'curated_and_literature' then 1 when 'literature_support' then 0.78 when 'novel_literature_candidate' then 0.58 when 'high_literature_probability' then 0.55 else 0 end)::double as label_score, label_reason,
+          case when weak_label = 'negative_refute' then 'contradicted' when weak_label = 'abstain' then 'insufficient_evidence' else 'supported' end as weak_label_class from r""",
     "label_summary": f"with {_CAND} select support_class, weak_label, count(*) as n, max(p) as max_p from lab group by 1, 2",
     "group_splits": f"""
-        with {_CAND} select uid, case when year >= 1998 then 'temporal_holdout' when {b("l_suppkey::varchar", 20)} = 0 then 'context_holdout' when {b("l_partkey::varchar", 100, 12)} < 15 then 'validation'
-          when {b("l_partkey::varchar", 100, 12)} < 30 then 'test' else 'train' end as split from c""",
+        with {_CAND} select uid, case when year >= 1998 then 'temporal_holdout' when {b("l_suppkey::varchar", 20, 12)} = 0 then 'context_holdout' when {b("l_partkey::varchar", 100, 12)} < 15 then 'test'
+          when {b("l_partkey::varchar", 100, 12)} < 30 then 'validation' else 'train' end as split from c""",
     "temporal_holdout": f"with {_CAND} select year >= 1998 as held_out, weak_label, count(*) as n from lab group by 1, 2",
     "hashed_negatives": f"""
         with {_CAND}, k as (select 'p' || l_partkey as subject, 's' || l_suppkey as object from c where known),
         pool as (select row_number() over (order by 's' || s_suppkey) - 1 as pos, 's' || s_suppkey as entity, count(*) over () as size from supplier),
-        dr as (select subject, object, step, ({b("subject || '|supplied_by|' || object || '|0'", 10**9, 12)} + step) % (select max(size) from pool) as pos from k, range(8) t(step)),
-        h as (select dr.subject, dr.object, step, entity from dr join pool using (pos) where not exists (select 1 from k where k.subject = dr.subject and k.object = entity))
-        select distinct subject, 'supplied_by' as predicate, arg_min(entity, step) as object, 'supplier' as object_type from h group by subject, h.object""",
+        dr as (select subject, object, draw, step, (('0x' || left(sha256(subject || '|supplied_by|' || object || '|' || draw), 12))::bigint % 1000000000 + step) % (select max(size) from pool) as pos from k, range(2) w(draw), range(100) t(step)),
+        h as (select dr.subject, dr.object, draw, step, entity from dr join pool using (pos) where not exists (select 1 from k where k.subject = dr.subject and k.object = entity))
+        select distinct subject, 'supplied_by' as predicate, arg_min(entity, step) as object, 'supplier' as object_type from h group by subject, h.object, draw""",
     "pair_features": f"""
         with {_CAND}, bp as (select l_partkey, list(distinct l_suppkey % 13) as a, count(*) as deg_p from lineitem group by 1), bs as (select l_suppkey, list(distinct l_partkey % 13) as b, count(*) as deg_s from lineitem group by 1),
         f as (select c.*, len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) as j, ln(1 + least(deg_p, deg_s)) as low from c join bp using (l_partkey) join bs using (l_suppkey))
@@ -196,7 +203,7 @@ ORACLES = {
     "sample_weights": f"""
         with {_CAND}, g as (select support_class, weak_label, count(*) as n from lab where weak_label <> 'abstain' group by 1, 2)
         select support_class, weak_label, n, round((case when weak_label = 'strong_positive' then 1.5 else 1 end)::double * greatest(0.35, least(6, sqrt((sum(n) over ())::double / (count(*) over ()) / n))), 6) as weight from g""",
-    "capped_scores": f"with {_CAND} select uid, least(p, (case weak_label when 'strong_positive' then 1 when 'medium_positive' then 0.82 when 'weak_positive' then 0.62 else 0.25 end)::double) as score from lab",
+    "capped_scores": f"with {_CAND} select uid, least(p, (case weak_label when 'strong_positive' then 1 when 'medium_positive' then 0.82 when 'weak_positive' then 0.62 when 'negative_refute' then 0.05 else 0.25 end)::double) as score from lab",
     "debiased_ranking": f"""
         with {_CAND}, g as (select l_suppkey as supplier, max(p) as raw, count(*) filter (weak_label like '%positive') as pos, count(*) as cand, sum(sentences) as support, sum(articles) as deg, count(*) filter (known) as ment from lab group by 1),
         h as (select *, pos / sqrt(greatest(cand, 1)) as den from g)
@@ -215,7 +222,7 @@ ORACLES = {
     "top_terms": """
         with m as (select distinct mention_uid, article_uid, entity_uid from sentence_mentions),
         c as (select article_uid, entity_uid, count(*) as n, row_number() over (partition by article_uid order by count(*) desc, entity_uid) as r from m group by 1, 2),
-        t as (select article_uid, r, trim(repeat(entity_uid || ' ', greatest(1, least(3, floor(ln(1 + n))))::int)) as t from c where r <= 12)
+        t as (select article_uid, r, trim(repeat(entity_uid || ' ', least(3, floor(ln(1 + n)) + 1)::int)) as t from c where r <= 24)
         select article_uid, string_agg(t, ' ' order by r) as document from t group by 1""",
     "roc_auc": f"with {_CUM} select round(1 - sum(pos * (fp - neg / 2)) / (max(p) * max(n)), 6) as auc, max(p)::bigint as positives, max(n)::bigint as negatives from cum",
     "average_precision": f"with {_CUM} select round(sum(pos * tp / (tp + fp)) / max(p), 6) as average_precision from cum",
@@ -224,11 +231,13 @@ ORACLES = {
         with {_SCORED}, r as (select *, row_number() over (order by score desc, o_orderkey) as r from s)
         select k::int as k, round(avg(y), 6) as precision, round(avg(y) / (select avg(y) from s), 6) as lift from r, (values (5), (20), (100), (500)) v(k) where r <= k group by 1""",
     "ranking_quality": f"""
-        with {_SCORED}, r as (select *, row_number() over (partition by o_custkey order by score desc, o_orderkey) as r from s),
-        g as (select o_custkey, sum(y) filter (r <= 5) / 5 as precision, sum(y / log2(r + 1)) filter (r <= 10) as dcg, min(r) filter (y > 0 and r <= 10) as first, least(10, sum(y)) as n from r group by 1)
-        select o_custkey, round(precision, 6) as precision, round(case when n > 0 then dcg / (select sum(1 / log2(i + 1)) from range(1, 11) t(i) where i <= n) else 0 end, 6) as ndcg, round(coalesce(1 / first, 0), 6) as reciprocal_rank from g""",
+        with {_SCORED}, r as (select *, row_number() over (partition by o_custkey order by score desc, o_orderkey) as r, row_number() over (partition by o_custkey order by label desc) as i from s)
+        select o_custkey, round(avg((label = 2)::int) filter (r <= 5), 6) as precision,
+          round(coalesce(sum((pow(2, label) - 1) / log2(r + 1)) filter (r <= 10) / nullif(sum((pow(2, label) - 1) / log2(i + 1)) filter (i <= 10), 0), 0), 6) as ndcg,
+          round(coalesce(1 / min(r) filter (label = 2), 0), 6) as reciprocal_rank from r group by 1""",
     "calibration_error": f"""
-        with {_SCORED}, q as (select *, least(9, floor(score * 10)) as b from s), g as (select b, count(*) as n, avg(score) as x, avg(y) as y, sum((score - y) ** 2) as sq, sum(abs(score - y)) as ab, count(*) filter (y = 0 and score >= 0.5) as o from q group by 1)
+        with {_SCORED}, q as (select *, least(9, floor(score * 10)) as b from s),
+        g as (select b, count(*) as n, avg(score) as x, avg((label = 2)::int) as y, sum((score - (label = 2)::int) ** 2) as sq, sum(abs(score - label / 2)) as ab, count(*) filter (label = 0 and score >= 0.45) as o from q group by 1)
         select round(sum(n * abs(x - y)) / sum(n), 6) as ece, round(sum(sq) / sum(n), 6) as brier, round(sum(ab) / sum(n), 6) as mae, round(sum(o) / sum(n), 6) as overclaim_rate from g""",
     "spearman": f"""
         with {_SCORED}, r as (select rank() over (order by score) + (count(*) over (partition by score) - 1) / 2 as ra, rank() over (order by other) + (count(*) over (partition by other) - 1) / 2 as rb from s)

@@ -36,8 +36,8 @@ def term_vectors(spark: SparkSession, d: str) -> DataFrame:
 def boosted_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Model scores of candidates, at most the cap of their weak label, with the measures on the held-out year."""
     c = _labelled(spark, d).filter("weak_label <> 'abstain'")
-    c = c.withColumn("y", L.choose(C("weak_label"), L.LABEL_SCORES, F.lit(0.0))).withColumn("w", F.lit(1.0)).withColumn("log_n", F.log1p("sentences"))
-    out = ml.boosted_scores(c.filter("year < 1998"), c.filter("year >= 1998"), ["log_n", "best"], ["support_class"], "y", "w", rounds=10, depth=3)
+    c = c.withColumn("y", C("label_score")).withColumn("w", F.lit(1.0)).withColumn("log_n", F.log1p("sentences"))
+    out = ml.boosted_scores(c.filter("year < 1998"), c.filter("year >= 1998"), ["log_n", "best"], ["support_class"], "y", "w")
     s = out.select("uid", L.capped(C("model_score"), C("weak_label")).alias("score"), (C("y") > 0.7).cast("int").alias("y"))
     one = lambda df: df.withColumn("_one", F.lit(1))
     return _rounded(one(M.roc_auc(s, "score", "y")).join(one(M.average_precision(s, "score", "y")), "_one").drop("_one"))
@@ -48,7 +48,7 @@ def isotonic_calibration(spark: SparkSession, d: str) -> DataFrame:
 
     s = _scored(spark, d)
     out = ml.isotonic(s.filter("o_orderkey % 2 = 0"), s.filter("o_orderkey % 2 = 1"), "score", "y")
-    return _rounded(M.calibration(out.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), C("calibrated")))), "calibrated", "y"))
+    return _rounded(M.calibration(out.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), C("calibrated")))), "calibrated", "label"))
 
 
 QUERIES = {f.__name__: f for f in (nearest_neighbours, vector_clusters, term_vectors, boosted_ranking, isotonic_calibration)}

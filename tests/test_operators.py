@@ -166,7 +166,7 @@ def test_metrics(spark):
     ma, mb = sum(a) / 400, sum(b) / 400
     r = sum((x - ma) * (y - mb) for x, y in zip(a, b, strict=True)) / math.sqrt(sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b))
     assert M.spearman(df, "s", "o").head().spearman == pytest.approx(r)
-    cal = M.calibration(spark.createDataFrame([(1.0, 1), (0.95, 0), (0.05, 0)], "p double, y int"), "p", "y").head()
+    cal = M.calibration(spark.createDataFrame([(1.0, 2), (0.95, 0), (0.05, 0)], "p double, y int"), "p", "y").head()
     assert cal.overclaim_rate == pytest.approx(1 / 3) and cal.brier == pytest.approx((0.95**2 + 0.05**2) / 3)
 
 
