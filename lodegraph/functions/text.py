@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SENTENCE = r"[^.!?\n]+(?:[.!?]+|$)"
 
@@ -39,9 +43,22 @@ TRIGGERS = (
 # Weights of the sections of an article; any other section weighs OTHER_SECTION.
 SECTION_WEIGHTS = {
     "title": 1.05, "abstract": 1.0, "results": 1.0, "conclusion": 1.0, "conclusions": 1.0, "discussion": 0.75,
-    "introduction": 0.65, "background": 0.60, "full_text": 0.70, "methods": 0.20, "references": 0.05,
+    "introduction": 0.65, "background": 0.60, "full_text": 0.70, "methods": 0.20, "materials and methods": 0.20, "references": 0.05,
 }
 OTHER_SECTION = 0.70
+# Fixed patterns: what a sentence says about how something was found.
+METHOD_CUES = {
+    "patient_sample": r"\b(patient(?:s)?|tumou?r tissue|tumou?r regions?|samples?|clinical sample|clinical cohorts?|cohorts?|biopsy|adjacent tissue|matched normal|plasma|serum)\b",
+    "cell_line_model": r"\b(cell line|cells?|in vitro|culture)\b",
+    "animal_model": r"\b(mouse|mice|murine|xenograft|in vivo)\b",
+    "measurement_assay": r"\b(measured|quantified|detected|lc[- ]?ms|ms/ms|mass spectrometry|metabolomics|western blot|qpcr|single[- ]cell|spatial metabolomics|isotope|tracing|13c)\b",
+    "intervention_assay": r"\b(knockdown|knockout|overexpression|inhibitor|inhibition|silencing|crispr|sirna|shrna|treated with|depletion|deprivation|withdrawal)\b",
+}
+# Words that tell of a tumour, found anywhere in a text.
+ONCOLOGY_KEYWORDS = (
+    "cancer", "cancers", "tumor", "tumors", "tumour", "tumours", "carcinoma", "adenocarcinoma", "sarcoma", "melanoma", "leukemia", "leukaemia",
+    "lymphoma", "glioma", "glioblastoma", "neoplasm", "neoplasms", "metastasis", "metastatic", "oncogenic", "malignancy", "malignant",
+)
 
 
 def sentences(text: Column, least: int = 8) -> Column:
@@ -77,21 +94,38 @@ def cues(text: Column, section: Column | None = None) -> Column:
     return F.array_compact(F.array(*found))
 
 
-def assertion_status(cues_: Column) -> Column:
-    """support, contradict, uncertain or background by the order of precedence of the cues."""
+def assertion(cues_: Column) -> Column:
+    """Struct (status, reason) by the order of precedence of the cues; status is support, contradict, uncertain or background."""
     has = lambda *names: F.arrays_overlap(cues_, F.array(*[F.lit(n) for n in names]))
+    made = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
     return (
-        F.when(has("null_result"), "contradict")
-        .when(has("conflict", "context_boundary"), "uncertain")
-        .when(has("causal_weakening"), "uncertain")
-        .when(has("negation") & ~has("hedged_negation", "weak_observation"), "contradict")
-        .when(has("uncertainty", "weak_observation", "hedged_negation"), "uncertain")
-        .when(has("concession") & ~has("direct_assay", "comparison_context"), "uncertain")
-        .when(has("background"), "background")
-        .otherwise("support")
+        F.when(has("null_result"), made("contradict", "null_result"))
+        .when(has("conflict", "context_boundary"), made("uncertain", "conflict_or_context_boundary"))
+        .when(has("causal_weakening"), made("uncertain", "causal_weakening"))
+        .when(has("negation") & ~has("hedged_negation", "weak_observation"), made("contradict", "effective_negation"))
+        .when(has("uncertainty", "weak_observation", "hedged_negation"), made("uncertain", "uncertain_or_weak_language"))
+        .when(has("concession") & ~has("direct_assay", "comparison_context"), made("uncertain", "unsupported_concession"))
+        .when(has("background"), made("background", "background_or_review_context"))
+        .otherwise(made("support", "direct_or_contextual_support"))
     )
 
 
+def assertion_status(cues_: Column) -> Column:
+    return assertion(cues_)["status"]
+
+
+def method_cues(text: Column) -> Column:
+    """The method cues of a sentence, in the order of the fixed patterns."""
+    low = F.lower(text)
+    return F.array_compact(F.array(*[F.when(low.rlike(p), n) for n, p in METHOD_CUES.items()]))
+
+
+def oncology_weight(text: Column, has_disease: Column) -> Column:
+    """1 with a mention of a disease, .85 with a word that tells of a tumour, else 0."""
+    low = F.lower(text)
+    return F.when(has_disease, 1.0).when(reduce(or_, [low.contains(k) for k in ONCOLOGY_KEYWORDS]), 0.85).otherwise(0.0)
+
+
 def certainty_weight(text: Column, status: Column) -> Column:
     """The factor of a relation's probability that the wording of its sentence gives."""
     low = F.lower(text)
@@ -128,31 +162,28 @@ def section_weight(section: Column) -> Column:
     return F.coalesce(F.element_at(weights, F.lower(F.trim(section))), F.lit(OTHER_SECTION))
 
 
-def tokens_with_offsets(text: Column) -> Column:
-    """[(token, start, end)] of the alphanumeric tokens of a text, offsets from 0; a fold with a cursor, inside the JVM."""
-    found = F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), 1)
-    item = lambda t, at: F.struct(t.alias("token"), (at - 1).alias("start"), (at - 1 + F.length(t)).alias("end"))
-    start = F.struct(F.lit(1).alias("cursor"), F.array(item(F.lit(""), F.lit(1))).alias("found"))
+def _spans(pattern: str, name: str, strip: str = "") -> Callable[[Column], Column]:
+    """A column function that gives the matches of a pattern with their offsets, in one pass over each text."""
+    kind = T.ArrayType(T.StructType([T.StructField(name, T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    arrow = pa.list_(pa.struct([(name, pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
-    def step(acc: Column, t: Column) -> Column:
-        at = F.call_function("locate", t, text, acc["cursor"])
-        return F.struct((at + F.length(t)).alias("cursor"), F.array_append(acc["found"], item(t, at)).alias("found"))
+    @F.arrow_udf(kind)
+    def find(texts: pa.Array) -> pa.Array:
+        found = re.compile(pattern)
+        row = lambda m: {name: m.group().strip(strip) if strip else m.group(), "start": m.start(), "end": m.end()}
+        return pa.array([None if t is None else [row(m) for m in found.finditer(t)] for t in texts.to_pylist()], arrow)
 
-    folded = F.aggregate(found, start, step, lambda acc: acc["found"])
-    return F.slice(folded, 2, 1_000_000)
+    return find
 
 
-def sentence_offsets(text: Column) -> Column:
-    """[(sentence, start, end)] of the raw sentences of a text, found one after the other; offsets from 0."""
-    found = F.regexp_extract_all(text, F.lit(f"({SENTENCE})"), 1)
-    item = lambda t, at: F.struct(F.trim(t).alias("sentence"), (at - 1).alias("start"), (at - 1 + F.length(t)).alias("end"))
-    start = F.struct(F.lit(1).alias("cursor"), F.array(item(F.lit(""), F.lit(1))).alias("found"))
+def tokens_with_offsets(text: Column) -> Column:
+    """[(token, start, end)] of the alphanumeric tokens of a text, offsets from 0; null for null."""
+    return _spans("[A-Za-z0-9]+", "token")(text)
 
-    def step(acc: Column, t: Column) -> Column:
-        at = F.call_function("locate", t, text, acc["cursor"])
-        return F.struct((at + F.length(t)).alias("cursor"), F.array_append(acc["found"], item(t, at)).alias("found"))
 
-    return F.slice(F.aggregate(found, start, step, lambda acc: acc["found"]), 2, 1_000_000)
+def sentence_offsets(text: Column) -> Column:
+    """[(sentence, start, end)] of the raw sentences of a text, offsets from 0; null for null."""
+    return _spans(SENTENCE, "sentence", " ")(text)
 
 
 def split_outside_parentheses(text: Column, separators: str = ",;") -> Column:

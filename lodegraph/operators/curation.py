@@ -7,29 +7,78 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.functions.keys import hash_bucket
+from lodegraph.functions.keys import folded_key, hash_bucket
 from lodegraph.functions.text import tokens
 from lodegraph.operators.learning import bucket_split
 from lodegraph.operators.ordering import dense_index, first_in_group, top_in_group
 from lodegraph.operators.resolve import small
 
 # Words that say too little to be a mention of their own.
-GENERIC_SURFACES = ("cell", "cells", "protein", "gene", "acid", "disease", "cancer", "tumor", "tumour", "type", "control", "group", "sample", "all", "ace")
+GENERIC_SURFACES = (
+    "acid", "activation", "activity", "analysis", "assay", "background", "binding", "body", "cancer", "cell", "cells", "control", "controls", "data",
+    "disease", "effect", "effects", "expression", "factor", "family", "growth", "group", "human", "level", "levels", "line", "lines", "metabolism",
+    "method", "model", "models", "pathway", "patient", "patients", "protein", "response", "results", "role", "sample", "samples", "study", "target",
+    "therapy", "tissue", "tissues", "tumor", "tumors",
+)
+# Surfaces that don't name a disease though a list of diseases has them.
+LOW_PRECISION_SURFACES = (
+    "abnormal", "angiogenesis", "braf", "breast cancer cell", "c myc", "cafs", "cancer cell", "cancer immunotherapy", "cancer progression", "cancer risk",
+    "cancer therapy", "cancer treatment", "carcinogenesis", "ccnd1", "central", "chemotherapy", "chemo", "chip", "cyclin d1", "decreasing", "erbb2",
+    "expansion", "favorable", "gastric", "gli1", "grade", "her2", "high risk", "igf2bp2", "igf2bp3", "intestinal", "intratumoral", "invasion",
+    "irradiation", "kras", "ldha", "lkb1", "many", "measured", "mixed", "moderate", "negative", "normal", "oncogene", "oncogenesis", "oncology", "ovary",
+    "pcos", "pfkfb3", "positive", "poor", "primary", "radiation", "radiotherapy", "recurrent", "runx1", "screening", "site", "stage", "targeting", "tcga",
+    "tet1", "the cancer genome atlas", "tumor cell", "tumor expansion", "tumor immunity", "tumor necrosis", "tumor microenvironment",
+    "tumor necrosis factor", "tumor progression", "tumor regression", "tumor suppression", "tumor suppressor", "tumor tissue", "tumorigenesis",
+    "with tumor", "ythdf2", "brca1", "tp53", "cell cycle arrest", "cancer metastasis", "tumor metastasis", "metastases", "cancer related", "early stage",
+    "interact", "deep",
+)
 # Fixed pattern: labels that name a process, a procedure or a molecule where a disease is meant.
 LOW_PRECISION_LABEL = (
-    r"\b(agent|therapeutic procedure|chemotherapy|radiotherapy|immunotherapy|screening|measurement|assay|test|criteria|risk group|gene mutation|allele|oncogene|gene|protein"
-    r"|receptor|ligand|factor|kinase|antigen|enzyme|pathway|process|microenvironment|immunity|angiogenesis|invasion|progression|regression|regulation|fibroblast|atlas)\b"
+    r"\b(agent|therapeutic procedure|therapy agent|chemotherapy|radiation therapy|radiotherapy|immunotherapy|screening|measurement|assay|test|criteria|risk group|gene mutation|wt allele|allele"
+    r"|oncogene|gene|protein|receptor|ligand|factor|kinase|antigen|enzyme|pathway|process|route of administration|microenvironment|immunity|angiogenesis|invasion|carcinogenesis"
+    r"|tumou?rigenesis|progression|regression|suppression|regulation|fibroblast|question|consortium|atlas)\b"
 )
+# Gene symbols that are also words.
+BLOCKED_SYMBOLS = (
+    "ACE", "ALL", "AND", "ARE", "AS", "AT", "CAT", "COX", "DNA", "FOR", "GAP", "HAD", "HAS", "IN", "INH", "ITS", "MAP", "MET", "NO", "NOT", "OR", "PR",
+    "RAN", "SET", "WAS",
+)
 
 
-def surface_verdict(surface: Column, kind: Column, longest: int = 96, most_tokens: int = 10) -> Column:
-    """keep, or why a surface isn't matched: too_long, many_tokens, short, generic or low_precision."""
-    n = F.size(tokens(surface))
-    low = F.lower(F.trim(surface))
+def surface_text(surface: Column) -> Column:
+    """A surface in comparable form: folded, with hyphens, slashes and underscores as blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(folded_key(surface), "[\u2010-\u2015_/-]+", " "), " +", " "))
+
+
+def surface_verdict(surface: Column, kind: Column, label: Column | None = None, field: Column | None = None, longest: int = 96, most_tokens: int = 10) -> Column:
+    """keep, or why a surface isn't matched.
+
+    empty, too_long, many_tokens, no_letters, generic, short (fewer than 4 signs
+    in one token, 3 for genes and targets), blocked_symbol, low_precision (of a
+    disease, by its surface or its label).  A null surface is empty.
+    """
+    flat = surface_text(surface)
+    toks = tokens(flat)
+    n, key = F.size(toks), F.array_join(toks, " ")
+    gene = kind.isin("gene", "target")
+    one = lambda least: (n == 1) & (F.length(F.element_at(toks, 1)) < least)
+    low = key.isin(*LOW_PRECISION_SURFACES)
+    if label is not None:
+        low = low | surface_text(label).rlike(LOW_PRECISION_LABEL)
+    if field is not None:
+        low = low | ((field == "alias") & key.isin(*GENERIC_SURFACES))
     return (
-        F.when(F.length(surface) > longest, "too_long").when(n > most_tokens, "many_tokens").when((n <= 1) & (F.length(low) < 3), "short").when(low.isin(*GENERIC_SURFACES), "generic")
-        .when((kind == "disease") & low.rlike(LOW_PRECISION_LABEL), "low_precision").otherwise("keep")
-    )
+        F.when(surface.isNull() | (flat == "") | (n <= 0), "empty")
+        .when(F.length(flat) > longest, "too_long")
+        .when(n > most_tokens, "many_tokens")
+        .when(~key.rlike("[a-z]"), "no_letters")
+        .when(flat.isin(*GENERIC_SURFACES), "generic")
+        .when(~gene & one(4), "short")
+        .when(gene & F.upper(F.trim(surface)).isin(*BLOCKED_SYMBOLS), "blocked_symbol")
+        .when(gene & one(3), "short")
+        .when((kind == "disease") & F.coalesce(low, F.lit(False)), "low_precision")
+        .otherwise("keep")
+    )
 
 
 def limited_to(rows: DataFrame, uid: str, edges: DataFrame, ends: Sequence[str]) -> DataFrame:

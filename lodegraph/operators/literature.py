@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.functions import text as X
+from lodegraph.operators.curation import surface_text, surface_verdict
 from lodegraph.operators.ordering import top_in_group
 from lodegraph.operators.resolve import small
 
 # Confidence of a lexicon surface by entity type and field, and what the field adds to its priority.
-FIELD_CONFIDENCE = {("metabolite", "name"): 0.93, ("metabolite", "synonym"): 0.82, ("gene", "symbol"): 0.94, ("gene", "alias"): 0.80, ("pathway", "name"): 0.90, ("disease", "name"): 0.91, ("disease", "alias"): 0.80}
-FIELD_BONUS = {"canonical": 0.08, "symbol": 0.08, "approved": 0.08, "name": 0.05, "preferred": 0.04}
+FIELD_CONFIDENCE = {
+    ("target", "approved_symbol"): 0.94, ("target", "preferred_name"): 0.86, ("metabolite", "canonical_name"): 0.93, ("metabolite", "synonym"): 0.82,
+    ("gene", "symbol"): 0.94, ("gene", "alias"): 0.80, ("pathway", "name"): 0.90, ("disease", "name"): 0.91, ("disease", "alias"): 0.80,
+}
+FIELD_BONUS = {"canonical_name": 0.08, "symbol": 0.08, "approved_symbol": 0.08, "name": 0.05, "preferred_name": 0.04, "synonym": 0.0, "alias": 0.0}
 
 
 def split_sentences(documents: DataFrame, key: str, text: str, least: int = 8) -> DataFrame:
@@ -22,24 +26,26 @@ def split_sentences(documents: DataFrame, key: str, text: str, least: int = 8) -
     return s.withColumn("n_tokens", F.size(X.tokens(F.col("sentence"))))
 
 
-def build_lexicon(surfaces: DataFrame, margin: float = 0.12, most_tokens: int = 10, longest: int = 96) -> DataFrame:
-    """surface_key, entity_uid, entity_type, confidence, priority, n_tokens of the surfaces with one clear entity.
+def build_lexicon(surfaces: DataFrame, margin: float = 0.12) -> DataFrame:
+    """surface_key, entity_uid, entity_type, confidence, priority, n_tokens of the surfaces with one clear entity for each type.
 
     surfaces: surface, entity_uid, entity_type, field, confidence.  Surfaces that
-    are too long, of too many tokens or a single short token are left out; one
-    with several entities is dropped when the best leads by less than the margin.
+    :func:`surface_verdict` doesn't keep are left out; one with several entities of
+    a type is dropped when the best of its rows leads the next one by less than the
+    margin.  Ties go by uid, then field; repeated rows count once.
     """
     bonus = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FIELD_BONUS.items() for x in kv]), F.col("field")), F.lit(0.0))
-    t = surfaces.filter(F.length("surface") <= longest).withColumn("toks", X.tokens(F.col("surface"))).withColumn("n_tokens", F.size("toks"))
-    t = t.filter((F.col("n_tokens") >= 1) & (F.col("n_tokens") <= most_tokens)).withColumn("surface_key", F.array_join("toks", " "))
-    t = t.filter((F.col("n_tokens") > 1) | (F.length("surface_key") >= 3))
-    priority = F.least(F.lit(1.0), F.col("confidence") + bonus + F.least(F.lit(0.06), 0.015 * F.col("n_tokens")))
-    per = t.groupBy("surface_key", "entity_uid").agg(F.max(F.struct(priority.alias("priority"), "confidence", "entity_type")).alias("b"), F.max("n_tokens").alias("n_tokens"))
-    per = per.select("surface_key", "entity_uid", "b.entity_type", "b.confidence", "b.priority", "n_tokens")
-    won = per.groupBy("surface_key").agg(F.max(F.struct("priority", F.col("confidence"), "entity_uid", "entity_type")).alias("w"), F.max("n_tokens").alias("n_tokens"), F.count("*").alias("n_uids"))
-    second = per.join(won.select("surface_key", F.col("w.entity_uid").alias("_w")), "surface_key").filter("entity_uid <> _w").groupBy("surface_key").agg(F.max("priority").alias("second"))
-    out = won.join(second, "surface_key", "left").filter(F.col("second").isNull() | (F.col("w.priority") - F.col("second") >= margin))
-    return out.select("surface_key", "w.entity_uid", "w.entity_type", "w.confidence", "w.priority", "n_tokens")
+    t = surfaces.select("surface", "entity_uid", "entity_type", "field", "confidence").distinct()
+    t = t.filter(surface_verdict(F.col("surface"), F.col("entity_type"), None, F.col("field")) == "keep")
+    t = t.withColumn("toks", X.tokens(surface_text(F.col("surface")))).withColumn("n_tokens", F.size("toks")).withColumn("surface_key", F.array_join("toks", " "))
+    t = t.withColumn("priority", F.least(F.lit(1.0), F.col("confidence") + bonus + F.least(F.lit(0.06), 0.015 * F.col("n_tokens"))))
+    keys = ["entity_type", "surface_key"]
+    uids = t.groupBy(*keys).agg(F.count_distinct("entity_uid").alias("n_uids"))
+    best = top_in_group(t, keys, [F.desc("priority"), F.asc("entity_uid"), F.asc("field")], 2, "_r")
+    first = F.min(F.when(F.col("_r") == 1, F.struct("entity_uid", "confidence", "priority", "n_tokens"))).alias("w")
+    two = best.groupBy(*keys).agg(first, F.max(F.when(F.col("_r") == 2, F.col("priority"))).alias("second"))
+    out = two.join(uids, keys).filter((F.col("n_uids") == 1) | (F.col("w.priority") - F.coalesce("second", F.lit(-1.0)) >= margin))
+    return out.select("surface_key", "w.entity_uid", "entity_type", "w.confidence", "w.priority", "w.n_tokens")
 
 
 def match_phrases(sentences: DataFrame, keys: Sequence[str], sentence: str, lexicon: DataFrame, most_tokens: int = 10) -> DataFrame:
@@ -50,10 +56,15 @@ def match_phrases(sentences: DataFrame, keys: Sequence[str], sentence: str, lexi
     longest = lexicon.agg(F.max("n_tokens")).head()[0] or 0
     n = min(most_tokens, longest)
     t = sentences.select(*keys, X.tokens(F.col(sentence)).alias("toks")).filter(F.size("toks") > 0)
-    starts = t.select(*keys, "toks", F.explode(F.sequence(F.lit(1), F.size("toks"))).alias("token_from"))
-    widths = F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.size("toks") - F.col("token_from") + 1)))
-    grams = starts.select(*keys, "toks", "token_from", widths.alias("w")) if n else starts.limit(0).withColumn("w", F.lit(1))
-    grams = grams.select(*keys, (F.col("token_from") - 1).alias("token_from"), (F.col("token_from") - 1 + F.col("w")).alias("token_to"), F.array_join(F.slice("toks", F.col("token_from"), F.col("w")), " ").alias("surface_key"))
+    if not n:
+        grams = t.select(*keys, F.lit(0).alias("token_from"), F.lit(0).alias("token_to"), F.lit("").alias("surface_key")).limit(0)
+    else:
+        # the grams are made inside the row: only a gram and its place are copied for each
+        grams_of = lambda i: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(n), F.size("toks") - i)),
+            lambda w: F.struct(i.alias("token_from"), (i + w).alias("token_to"), F.array_join(F.slice("toks", i + 1, w), " ").alias("surface_key")),
+        )
+        grams = t.select(*keys, F.inline(F.flatten(F.transform(F.sequence(F.lit(0), F.size("toks") - 1), grams_of))))
     return grams.join(small(lexicon.select("surface_key", "entity_uid", "entity_type", "confidence")), "surface_key")
 
 

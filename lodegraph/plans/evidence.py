@@ -21,18 +21,23 @@ SCHEMAS = {
 def relations_of(sentences: DataFrame, mentions: DataFrame, pairs: DataFrame, families: dict[str, str], minimum: float = 0.20) -> DataFrame:
     """doc_id, sentence_no, subject_uid, object_uid, predicate, polarity, status, p of the pairs in sentences with a trigger.
 
-    families: predicate -> family of triggers.  Offsets are in tokens, about six signs each.
+    families: predicate -> family of triggers.  Distances are in signs of the
+    sentence, from the offsets of the mentions' tokens.  sentences may have a
+    section; without one it is full_text.
     """
     keys = ["doc_id", "sentence_no"]
-    spans = mentions.select(*keys, "entity_uid", "entity_type", (F.col("token_from") * 6).alias("start"), (F.col("token_to") * 6).alias("end"), "confidence")
-    found = L.relation_pairs(spans, keys, pairs, 240)
-    counts = mentions.groupBy(*keys).agg(F.count("*").alias("n_mentions"))
-    j = found.join(sentences.select(*keys, "sentence"), keys).join(counts, keys)
+    section = F.coalesce("section", F.lit("full_text")) if "section" in sentences.columns else F.lit("full_text")
+    said = sentences.select(*keys, "sentence", section.alias("section"))
+    placed = said.join(mentions.select(*keys).distinct(), keys, "left_semi").select(*keys, X.tokens_with_offsets(F.col("sentence")).alias("t"))
+    m = mentions.join(placed, keys).select(*keys, "entity_uid", "entity_type", F.col("t")[F.col("token_from")]["start"].alias("start"), F.col("t")[F.col("token_to") - 1]["end"].alias("end"), "confidence")
+    found = L.relation_pairs(m, keys, pairs, 240)
+    counts = mentions.groupBy(*keys).agg(F.count("*").alias("n_mentions"), F.bool_or(F.col("entity_type") == "disease").alias("has_disease"))
+    j = found.join(said, keys).join(counts, keys)
     hit = F.coalesce(*[F.when(F.col("predicate") == p, X.trigger(F.col("sentence"), f)) for p, f in families.items()])
-    j = j.withColumn("hit", hit).filter("hit is not null").withColumn("status", X.assertion_status(X.cues(F.col("sentence"))))
+    j = j.withColumn("hit", hit).filter("hit is not null").withColumn("status", X.assertion_status(X.cues(F.col("sentence"), F.col("section"))))
     signed = F.col("hit.polarity") != "association"
     p = L.relation_probability(
-        F.col("hit.score"), F.lit("full_text"), F.col("min_confidence"), F.lit(0.85), signed, F.col("distance"), F.col("n_mentions"), X.certainty_weight(F.col("sentence"), F.col("status"))
+        F.col("hit.score"), F.col("section"), F.col("min_confidence"), X.oncology_weight(F.col("sentence"), F.col("has_disease")), signed, F.col("distance"), F.col("n_mentions"), X.certainty_weight(F.col("sentence"), F.col("status"))
     )
     return j.select(*keys, "subject_uid", "object_uid", "predicate", F.col("hit.polarity").alias("polarity"), "status", p.alias("p")).filter(F.col("p") >= minimum)
 

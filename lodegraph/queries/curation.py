@@ -14,8 +14,10 @@ C = F.col
 
 
 def surface_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "sentence_mentions").select("surface", "entity_type").filter("surface is not null").distinct()
-    return m.groupBy("entity_type", U.surface_verdict(C("surface"), C("entity_type")).alias("verdict")).agg(F.count("*").alias("n"))
+    """Verdicts on the names, in words and as they are joined by signs, that the mentions' entities show."""
+    m = table(spark, d, "sentence_mentions").select("display_name", "entity_type", "matched_field").distinct()
+    verdict = U.surface_verdict(C("display_name"), C("entity_type"), C("display_name"), C("matched_field"))
+    return m.groupBy("entity_type", verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
 def graph_limited_customers(spark: SparkSession, d: str) -> DataFrame:
@@ -95,14 +97,40 @@ QUERIES = {f.__name__: f for f in (
     forbidden_text, prediction_rows, token_offsets, sentence_spans, parts_outside_parentheses,
 )}
 
-_GENERIC = ", ".join(f"'{g}'" for g in U.GENERIC_SURFACES)
+# Fixed values of the SQL: its own copy of the lists and of the pattern.
+_GENERIC = """
+    'acid', 'activation', 'activity', 'analysis', 'assay', 'background', 'binding', 'body', 'cancer', 'cell', 'cells', 'control', 'controls', 'data',
+    'disease', 'effect', 'effects', 'expression', 'factor', 'family', 'growth', 'group', 'human', 'level', 'levels', 'line', 'lines', 'metabolism',
+    'method', 'model', 'models', 'pathway', 'patient', 'patients', 'protein', 'response', 'results', 'role', 'sample', 'samples', 'study', 'target',
+    'therapy', 'tissue', 'tissues', 'tumor', 'tumors'
+"""
+_LOW = """
+    'abnormal', 'angiogenesis', 'braf', 'breast cancer cell', 'c myc', 'cafs', 'cancer cell', 'cancer immunotherapy', 'cancer progression', 'cancer
+    risk', 'cancer therapy', 'cancer treatment', 'carcinogenesis', 'ccnd1', 'central', 'chemotherapy', 'chemo', 'chip', 'cyclin d1', 'decreasing',
+    'erbb2', 'expansion', 'favorable', 'gastric', 'gli1', 'grade', 'her2', 'high risk', 'igf2bp2', 'igf2bp3', 'intestinal', 'intratumoral',
+    'invasion', 'irradiation', 'kras', 'ldha', 'lkb1', 'many', 'measured', 'mixed', 'moderate', 'negative', 'normal', 'oncogene', 'oncogenesis',
+    'oncology', 'ovary', 'pcos', 'pfkfb3', 'positive', 'poor', 'primary', 'radiation', 'radiotherapy', 'recurrent', 'runx1', 'screening', 'site',
+    'stage', 'targeting', 'tcga', 'tet1', 'the cancer genome atlas', 'tumor cell', 'tumor expansion', 'tumor immunity', 'tumor necrosis', 'tumor
+    microenvironment', 'tumor necrosis factor', 'tumor progression', 'tumor regression', 'tumor suppression', 'tumor suppressor', 'tumor tissue',
+    'tumorigenesis', 'with tumor', 'ythdf2', 'brca1', 'tp53', 'cell cycle arrest', 'cancer metastasis', 'tumor metastasis', 'metastases', 'cancer
+    related', 'early stage', 'interact', 'deep'
+"""
+_SYMBOLS = """
+    'ACE', 'ALL', 'AND', 'ARE', 'AS', 'AT', 'CAT', 'COX', 'DNA', 'FOR', 'GAP', 'HAD', 'HAS', 'IN', 'INH', 'ITS', 'MAP', 'MET', 'NO', 'NOT', 'OR',
+    'PR', 'RAN', 'SET', 'WAS'
+"""
+_LABEL = r"\b(agent|therapeutic procedure|therapy agent|chemotherapy|radiation therapy|radiotherapy|immunotherapy|screening|measurement|assay|test|criteria|risk group|gene mutation|wt allele|allele|oncogene|gene|protein|receptor|ligand|factor|kinase|antigen|enzyme|pathway|process|route of administration|microenvironment|immunity|angiogenesis|invasion|carcinogenesis|tumou?rigenesis|progression|regression|suppression|regulation|fibroblast|question|consortium|atlas)\b"
 _BUCKET = "('0x' || left(sha256({x}::varchar), {k}))::bigint % 100"
 
 ORACLES = {
     "surface_verdicts": f"""
-        with m as (select distinct surface, entity_type, lower(trim(surface, ' ')) as low, len(regexp_extract_all(lower(surface), '[a-z0-9]+')) as n from sentence_mentions where surface is not null)
-        select entity_type, case when length(surface) > 96 then 'too_long' when n > 10 then 'many_tokens' when n <= 1 and length(low) < 3 then 'short' when low in ({_GENERIC}) then 'generic'
-          when entity_type = 'disease' and regexp_matches(low, '{U.LOW_PRECISION_LABEL}') then 'low_precision' else 'keep' end as verdict, count(*) as n from m group by 1, 2""",
+        with m as (select distinct display_name, entity_type, matched_field, trim(regexp_replace(regexp_replace(lower(display_name), '[\u2010-\u2015_/-]+', ' ', 'g'), '\\s+', ' ', 'g')) as flat from sentence_mentions),
+        t as (select *, regexp_extract_all(flat, '[a-z0-9]+') as toks, array_to_string(regexp_extract_all(flat, '[a-z0-9]+'), ' ') as key, entity_type in ('gene', 'target') as gene from m)
+        select entity_type, case when display_name is null or flat = '' or len(toks) = 0 then 'empty' when length(flat) > 96 then 'too_long' when len(toks) > 10 then 'many_tokens' when not regexp_matches(key, '[a-z]') then 'no_letters'
+          when flat in ({_GENERIC}) then 'generic' when not gene and len(toks) = 1 and length(toks[1]) < 4 then 'short' when gene and upper(trim(display_name, ' ')) in ({_SYMBOLS}) then 'blocked_symbol'
+          when gene and len(toks) = 1 and length(toks[1]) < 3 then 'short'
+          when entity_type = 'disease' and (key in ({_LOW}) or regexp_matches(flat, '{_LABEL}') or (coalesce(matched_field, '') = 'alias' and key in ({_GENERIC}))) then 'low_precision' else 'keep' end as verdict, count(*) as n
+        from t group by 1, 2""",
     "graph_limited_customers": "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 150000 union select o_custkey + 1 from orders where o_totalprice > 150000)",
     "known_pairs": """
         with a as (select distinct l_partkey, l_suppkey % 20 + 1 as l_suppkey from lineitem), k as (select distinct l_partkey, l_suppkey from lineitem)

@@ -34,8 +34,14 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_cues(spark: SparkSession, d: str) -> DataFrame:
-    s = _sentences(spark, d).withColumn("cues", X.cues(C("sentence")))
-    return s.select("doc_id", "sentence_no", F.array_join("cues", ";").alias("cues"), X.assertion_status(C("cues")).alias("status"))
+    s = L.split_sentences(widen(table(spark, d, "documents").select(F.struct("doc_id", "section").alias("k"), "text")), "k", "text")
+    s = s.select("k.doc_id", "sentence_no", "sentence", X.cues(C("sentence"), C("k.section")).alias("cues")).withColumn("a", X.assertion(C("cues")))
+    return s.select("doc_id", "sentence_no", F.array_join("cues", ";").alias("cues"), "a.status", "a.reason", F.array_join(X.method_cues(C("sentence")), ";").alias("methods"))
+
+
+def oncology_weights(spark: SparkSession, d: str) -> DataFrame:
+    s = _sentences(spark, d).withColumn("oncology_weight", X.oncology_weight(C("sentence"), C("sentence").contains("disease")))
+    return s.groupBy("oncology_weight").agg(F.count("*").alias("n_sentences"))
 
 
 def assertion_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +58,7 @@ def sentence_triggers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lexicon(spark, d):
-    labels = table(spark, d, "metabolite_gold_labels").select(C("label").alias("surface"), C("metabolite_uid").alias("entity_uid"), F.lit("metabolite").alias("entity_type"), F.lit("name").alias("field"), F.lit(0.93).alias("confidence"))
+    labels = table(spark, d, "metabolite_gold_labels").select(C("label").alias("surface"), C("metabolite_uid").alias("entity_uid"), F.lit("metabolite").alias("entity_type"), F.lit("canonical_name").alias("field"), F.lit(0.93).alias("confidence"))
     bare = table(spark, d, "metabolite_gold_labels").select(F.regexp_replace("label", "^(D|L|alpha|beta)-", "").alias("surface"), C("metabolite_uid").alias("entity_uid"), F.lit("metabolite").alias("entity_type"), F.lit("synonym").alias("field"), F.lit(0.82).alias("confidence"))
     rows = [(t, f"{k}_{t}", k, "name", 0.9) for k, ts in TERMS.items() for t in ts]
     return L.build_lexicon(labels.unionByName(bare).unionByName(spark.createDataFrame(rows, labels.schema)))
@@ -156,7 +162,7 @@ def co_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    sentence_split, sentence_cues, assertion_counts, sentence_triggers, lexicon, phrase_matches, longest_mentions, relations, relation_probability,
+    sentence_split, sentence_cues, oncology_weights, assertion_counts, sentence_triggers, lexicon, phrase_matches, longest_mentions, relations, relation_probability,
     noisy_or, clustered_probability, edge_support, precision_rules, surface_statistics, entity_mentions, relevance_weighted, fact_gate, co_mentions,
 )}
 
@@ -174,25 +180,34 @@ _NEG = f"""case when {_SAID['non_negating_negation']} and not {_SAID['null_resul
     then regexp_matches(regexp_replace(low, '{_q(X.CUES['non_negating_negation'])}', '', 'g'), '{_q(X.CUES['negation'])}') else {_SAID['negation']} end"""
 _HAS = _SAID | {"negation": _NEG, "causal_weakening": f"({_SAID['causal_weakening']} or {_SAID['alternative_explanation']})"}
 _CUED = f"""
-    {_S}, c as (select doc_id, sentence_no, sentence, {', '.join(f"{_HAS[c]} as {c}" for c in sorted(X.CUES))}, {_SAID['causal_weakening']} as causal_said from (select *, lower(sentence) as low from s)),
+    {_S}, c as (select doc_id, sentence_no, sentence, low, {', '.join(f"{_HAS[c]} as {c}" for c in sorted(X.CUES))}, {_SAID['causal_weakening']} as causal_said from (select *, lower(sentence) as low from s)),
+    cs as (select * replace (background or coalesce(lower(trim(section, ' ')) in ('background', 'review'), false) as background) from c join (select doc_id, section from documents) using (doc_id)),
     st as (select *, case when null_result then 'contradict' when conflict or context_boundary then 'uncertain' when causal_weakening then 'uncertain'
       when negation and not (hedged_negation or weak_observation) then 'contradict' when uncertainty or weak_observation or hedged_negation then 'uncertain'
       when concession and not (direct_assay or comparison_context) then 'uncertain' when background then 'background' else 'support' end as status from c)"""
+# Fixed patterns of the SQL: its own copy of the method cues.
+_METHODS = (
+    ("patient_sample", r"\b(patients?|tumou?r tissue|tumou?r regions?|samples?|clinical sample|clinical cohorts?|cohorts?|biopsy|adjacent tissue|matched normal|plasma|serum)\b"),
+    ("cell_line_model", r"\b(cell line|cells?|in vitro|culture)\b"),
+    ("animal_model", r"\b(mouse|mice|murine|xenograft|in vivo)\b"),
+    ("measurement_assay", r"\b(measured|quantified|detected|lc[- ]?ms|ms/ms|mass spectrometry|metabolomics|western blot|qpcr|single[- ]cell|spatial metabolomics|isotope|tracing|13c)\b"),
+    ("intervention_assay", r"\b(knockdown|knockout|overexpression|inhibitor|inhibition|silencing|crispr|sirna|shrna|treated with|depletion|deprivation|withdrawal)\b"),
+)
 _TRIGGER = {
     f: "case " + " ".join(f"when regexp_matches(lower(sentence), '{_q(p)}') then {{{i}}}" for i, (k, _, _, p) in enumerate(x for x in X.TRIGGERS if x[0] == f)) + " end"
     for f in ("change", "association", "regulation")
 }
 _POL = {f: [repr(pol) for k, pol, _, _ in X.TRIGGERS if k == f] for f in _TRIGGER}
 _REG_SCORE = [f"{sc}::double" for k, _, sc, _ in X.TRIGGERS if k == "regulation"]
-_TERM_ROWS = " union all ".join(f"select '{t}', '{k}_{t}', '{k}', 0.95::double" for k, ts in TERMS.items() for t in ts)
+_TERM_ROWS = " union all ".join(f"select '{t}', '{k}_{t}', '{k}', 0.95::double, 'name'" for k, ts in TERMS.items() for t in ts)
 _LEX = f"""
-    l0 as (select label as surface, metabolite_uid as uid, 'metabolite' as kind, 0.98::double as base from metabolite_gold_labels
-      union all select regexp_replace(label, '^(D|L|alpha|beta)-', ''), metabolite_uid, 'metabolite', 0.82::double from metabolite_gold_labels union all {_TERM_ROWS}),
-    l1 as (select *, regexp_extract_all(lower(surface), '[a-z0-9]+') as toks from l0),
-    l2 as (select array_to_string(toks, ' ') as surface_key, uid, kind, len(toks) as n, least(1.0, base + least(0.06, 0.015 * len(toks))) as priority from l1 where len(toks) > 1 or length(array_to_string(toks, ' ')) >= 3),
-    l3 as (select surface_key, uid, kind, max(priority) as priority, max(n)::int as n_tokens from l2 group by 1, 2, 3),
-    l4 as (select *, row_number() over (partition by surface_key order by priority desc, uid desc) as rn, lead(priority) over (partition by surface_key order by priority desc, uid desc) as second from l3),
-    lex as (select surface_key, uid as entity_uid, kind as entity_type, round(priority, 4) as priority, n_tokens from l4 where rn = 1 and (second is null or priority - second >= 0.12))"""
+    l0 as (select label as surface, metabolite_uid as uid, 'metabolite' as kind, 1.01::double as base, 'canonical_name' as field from metabolite_gold_labels
+      union all select regexp_replace(label, '^(D|L|alpha|beta)-', ''), metabolite_uid, 'metabolite', 0.82::double, 'synonym' from metabolite_gold_labels union all {_TERM_ROWS}),
+    l1 as (select distinct *, regexp_extract_all(lower(surface), '[a-z0-9]+') as toks from l0),
+    l2 as (select array_to_string(toks, ' ') as surface_key, uid, kind, field, len(toks)::int as n_tokens, least(1.0, base + least(0.06, 0.015 * len(toks))) as priority from l1
+      where (len(toks) > 1 or length(toks[1]) >= 4) and lower(surface) not in ('metabolism', 'cell')),
+    l4 as (select *, row_number() over w as rn, lead(priority) over w as second, (select count(distinct uid) from l2 u where u.kind = l2.kind and u.surface_key = l2.surface_key) as n_uids from l2 window w as (partition by kind, surface_key order by priority desc, uid, field)),
+    lex as (select surface_key, uid as entity_uid, kind as entity_type, round(priority, 4) as priority, n_tokens from l4 where rn = 1 and (n_uids = 1 or priority - second >= 0.12))"""
 _M = "m as (select distinct mention_uid, sentence_uid, article_uid, pmid, section, entity_uid, entity_type, normalized_surface, start_offset, end_offset, matched_field, resolution_confidence from sentence_mentions)"
 _PAIR_ROWS = " union all ".join(f"select '{a}' as st, '{b}' as ot, '{p}' as predicate" for a, b, p in PAIRS)
 _REL = f"""
@@ -211,7 +226,15 @@ _RULE_ROWS = " union all ".join(f"select '{a}' as rs, '{b}' as rt, '{c}' as rf,
 
 ORACLES = {
     "sentence_split": f"with {_S} select doc_id, sentence_no, sentence, len(regexp_extract_all(lower(sentence), '[a-z0-9]+'))::int as n_tokens from s",
-    "sentence_cues": f"with {_CUED} select doc_id, sentence_no, concat_ws(';', {', '.join(f"case when {c} then '{c}' end" for c in sorted(X.CUES))}) as cues, status from st",
+    "sentence_cues": f"""
+        with {_CUED}, q as (select *, case when null_result then 'contradict:null_result' when conflict or context_boundary then 'uncertain:conflict_or_context_boundary' when causal_weakening then 'uncertain:causal_weakening'
+          when negation and not (hedged_negation or weak_observation) then 'contradict:effective_negation' when uncertainty or weak_observation or hedged_negation then 'uncertain:uncertain_or_weak_language'
+          when concession and not (direct_assay or comparison_context) then 'uncertain:unsupported_concession' when background then 'background:background_or_review_context' else 'support:direct_or_contextual_support' end as v from cs)
+        select doc_id, sentence_no, concat_ws(';', {', '.join(f"case when {c} then '{c}' end" for c in sorted(X.CUES))}) as cues, split_part(v, ':', 1) as status, split_part(v, ':', 2) as reason,
+          concat_ws(';', {', '.join(f"case when regexp_matches(low, '{_q(p)}') then '{n}' end" for n, p in _METHODS)}) as methods from q""",
+    "oncology_weights": f"""
+        with {_S} select (case when contains(sentence, 'disease') then 1 when regexp_matches(lower(sentence), 'cancer|tumou?r|carcinoma|sarcoma|melanoma|leuka?emia|lymphoma|glioma|glioblastoma|neoplasm|metastasis|metastatic|oncogenic|malignan(cy|t)')
+          then 0.85 else 0 end)::double as oncology_weight, count(*) as n_sentences from s group by 1""",
     "assertion_counts": f"""
         with {_CUED}, w as (select status, round(greatest(0.55, least(1.08, (case when uncertainty or weak_observation then 0.72 else 1 end)::double * (case when status = 'contradict' then 0.7 else 1 end)::double * (case when causal_said then 0.68 else 1 end)::double
           * (case when conflict then 0.7 else 1 end)::double * (case when context_boundary then 0.74 else 1 end)::double * (case when concession and not direct_assay then 0.84 else 1 end)::double

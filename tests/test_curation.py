@@ -41,9 +41,14 @@ def test_split_keeps_letters(spark, texts):
 
 
 def test_verdicts(spark):
-    rows = [("x" * 97, "a"), ("a b c d e f g h i j k", "a"), ("ab", "a"), ("Cell", "a"), ("kinase disease", "disease"), ("kinase disease", "gene"), ("good name", "disease")]
-    df = spark.createDataFrame(rows, "s string, k string").select(U.surface_verdict(F.col("s"), F.col("k")).alias("v"))
-    assert [r.v for r in df.collect()] == ["too_long", "many_tokens", "short", "generic", "low_precision", "keep", "keep"]
+    rows = [
+        ("x" * 97, "a", "", "too_long"), ("a b c d e f g h i j k", "a", "", "many_tokens"), ("abc", "a", "", "short"), ("abc", "gene", "", "keep"), ("ab", "gene", "", "short"),
+        ("\uff23ell ", "a", "", "generic"), ("12-34", "a", "", "no_letters"), ("cat", "target", "", "blocked_symbol"), ("good name", "disease", "kinase disease", "low_precision"),
+        ("kinase disease", "gene", "kinase disease", "keep"), ("good name", "disease", "good name", "keep"), ("Tumor_Microenvironment", "disease", "", "low_precision"), (None, "a", "", "empty"),
+        (" - ", "a", "", "empty"),
+    ]
+    df = spark.createDataFrame(rows, "s string, k string, l string, want string")
+    assert [r.v for r in df.select(U.surface_verdict(F.col("s"), F.col("k"), F.col("l")).alias("v")).collect()] == [r[3] for r in rows]
 
 
 def test_samples(spark):

@@ -40,7 +40,7 @@ def test_evidence_run(spark, tmp_path):
         [
             (1, "Alphol increased in lung carcinoma compared with controls. Alphol was measured."),
             (2, "Alphol did not show any change in lung carcinoma; it was reduced."),
-            (3, "Betate activates GENX strongly. Nothing else here."),
+            (3, "Betate activates GENX strongly in tumours. Nothing else here."),
             (4, None),
         ],
         "doc_id long, text string",
@@ -57,7 +57,7 @@ def test_evidence_run(spark, tmp_path):
 
 def test_learning_run(spark, tmp_path):
     c = spark.range(600).select(
-        F.concat(F.lit("u"), "id").alias("uid"), F.concat(F.lit("g"), (F.col("id") % 200).cast("string")).alias("group"), F.when(F.col("id") % 3 == 0, "conflict_candidate").otherwise("novel_candidate").alias("support_class"),
+        F.concat(F.lit("u"), "id").alias("uid"), F.concat(F.lit("g"), (F.col("id") % 200).cast("string")).alias("group"), F.when(F.col("id") % 3 == 0, "refute").otherwise("confirm").alias("support_class"),
         F.when(F.col("id") % 3 == 0, 0.5).otherwise(0.9).alias("p"), (F.col("id") % 4).alias("articles"), (F.col("id") % 5).alias("sentences"), (F.col("id") % 2 == 0).alias("is_known"),
     )
     got = run_learning(spark, c, ["p", "articles", "sentences"], ["support_class"], str(tmp_path / "l"), 10)
