@@ -128,21 +128,22 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return reached
 
 
-def closure(parents: DataFrame, child: str, parent: str, max_depth: int = 64) -> DataFrame:
+def closure(parents: DataFrame, child: str, parent: str) -> DataFrame:
     """child, ancestor, depth (the least) over all chains of parents; cycles end at their first repeat.
 
-    Paths are doubled in each round, so that the rounds grow with the logarithm of the depth.
+    Paths are doubled in each round until no pair is new, so that the rounds grow
+    with the logarithm of the depth, which has no bound.
     """
     scratch = Scratch(parents.sparkSession, "closure")
     step = parents.select(F.col(child).alias("c"), F.col(parent).alias("p")).filter("c is not null and p is not null and c <> p").distinct()
     known = scratch.save(step.withColumn("d", F.lit(1)))
-    count, reach = known.count(), 1
-    while reach < max_depth:
+    count = known.count()
+    while True:
         onward = known.select(F.col("c").alias("p"), F.col("p").alias("far"), F.col("d").alias("d2"))
         longer = known.join(onward, "p").filter("c <> far").select("c", F.col("far").alias("p"), (F.col("d") + F.col("d2")).alias("d"))
         before, known = known, scratch.save(known.unionByName(longer).groupBy("c", "p").agg(F.min("d").alias("d")))
         scratch.drop([before])
-        now, reach = known.count(), reach * 2
+        now = known.count()
         if now == count:
             break
         count = now
@@ -202,7 +203,8 @@ def identity_clusters(pairs: DataFrame, record: str, identifier: str, max_rounds
     """record, cluster (the smallest record): records that share an identifier, directly or through others.
 
     The smallest label moves over shared identifiers until nothing changes, and
-    jumps along labels in each round.  Null identifiers link nothing.
+    jumps along labels in each round.  Null identifiers link nothing.  Without an
+    end after max_rounds an error is raised.
     """
     scratch = Scratch(pairs.sparkSession, "clusters")
     links = scratch.save(pairs.select(F.col(record).alias("r"), F.col(identifier).alias("i")).filter("r is not null and i is not null").distinct())
@@ -218,4 +220,6 @@ def identity_clusters(pairs: DataFrame, record: str, identifier: str, max_rounds
         labels._scratch_path = new._scratch_path  # type: ignore[attr-defined]
         if new.filter("label <> next").isEmpty():
             break
+    else:
+        raise RuntimeError(f"clusters did not settle in {max_rounds} rounds")
     return labels.select(F.col("r").alias(record), F.col("label").alias("cluster"))

@@ -12,10 +12,6 @@ TRAIT_KINDS = (
     ("lipid_species", r"\b[a-z]{2,}[ (-]c?[0-9]{1,2}:[0-9]{1,2}\)?|^[a-z]+ ?\(?[0-9]{1,2}:[0-9]"),
     ("class", r"\b(species|pool|class|lipids?|acids|derivatives|extract)\b"),
 )
-# Decision and confidence of each kind of feature; all but exact ones need review.
-DECISIONS = {"exact": ("accepted_exact", 0.9), "trait": ("accepted_trait", 0.7), "ratio": ("accepted_trait", 0.8), "class": ("accepted_class", 0.65)}
-
-
 def trait_kind(name: Column) -> Column:
     """ratio, sum, lipid_species, class or compound."""
     low = F.lower(F.trim(name))
@@ -29,19 +25,32 @@ def granularity(kind: Column) -> Column:
     return F.when(kind == "compound", "molecule").when(kind == "lipid_species", "species").when(kind.isin("sum", "class"), "class").otherwise("composite")
 
 
-def decide(df: DataFrame, kind: str, n_candidates: str, confirmed: str) -> DataFrame:
-    """df with decision, confidence and needs_review.
+def decide(feature: Column, trait: Column, class_: Column, chemical: Column) -> Column:
+    """Struct (decision, entity_uid, entity_kind, reason, confidence, review) of a feature by the entities that are registered for it.
 
-    A confirmed compound with one candidate is exact; ratios, sums and classes
-    are accepted as such; several candidates are ambiguous and none is rejected.
+    feature: ratio, lipid_class, trait_score or anything else; trait, class_ and
+    chemical: the uid of the registered entity of each kind, null or '' for none.
+    Only a chemical is exact; a ratio, class or score without its entity is
+    ambiguous, anything else without a chemical unmatched.
     """
-    k, n = F.col(kind), F.col(n_candidates)
-    feature = (
-        F.when(k == "ratio", "ratio").when(k.isin("sum", "class"), "class").when((n == 1) & F.col(confirmed), "exact").when(n == 1, "trait").when(n > 1, "ambiguous").otherwise("rejected")
+
+    def made(decision: str, uid: Column, kind: str, reason: str, confidence: float, review: str = "needs_review") -> Column:
+        return F.struct(
+            F.lit(decision).alias("decision"), uid.alias("entity_uid"), F.lit(kind).alias("entity_kind"), F.lit(reason).alias("reason"), F.lit(confidence).alias("confidence"), F.lit(review).alias("review")
+        )
+
+    none = F.lit("")
+    has = lambda c: F.coalesce(c != "", F.lit(False))
+    return (
+        F.when((feature == "ratio") & has(trait), made("accepted_trait", trait, "trait", "ratio_not_exact_abundance", 0.8))
+        .when(feature == "ratio", made("ambiguous", none, "", "ratio_not_exact_abundance;missing_trait_entity", 0.0))
+        .when((feature == "lipid_class") & has(class_), made("accepted_class", class_, "class", "class_name_not_exact_identity", 0.65))
+        .when(feature == "lipid_class", made("ambiguous", none, "", "class_name_not_exact_identity", 0.0))
+        .when((feature == "trait_score") & has(trait), made("accepted_trait", trait, "trait", "trait_score_not_direct_abundance", 0.7))
+        .when(feature == "trait_score", made("ambiguous", none, "", "trait_score_without_registered_trait", 0.0))
+        .when(has(chemical), made("accepted_exact", chemical, "chemical", "stable_source_entity", 0.9, "auto"))
+        .otherwise(made("unmatched", none, "", "no_candidate_entity", 0.0))
     )
-    pick = lambda i, other: F.coalesce(*[F.when(feature == f, F.lit(v[i])) for f, v in DECISIONS.items()], other)
-    out = df.withColumn("decision", pick(0, feature)).withColumn("confidence", pick(1, F.lit(0.0)))
-    return out.withColumn("needs_review", F.col("decision") != "accepted_exact")
 
 
 def name_variants(name: Column) -> Column:

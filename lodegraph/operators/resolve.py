@@ -119,8 +119,8 @@ def tolerance_join(left: DataFrame, x: str, right: DataFrame, y: str, width: Col
     return asks.join(held, "_b").filter(F.abs(F.col(x) - F.col(y)) <= F.col("_w")).drop("_b", "_w")
 
 
-def spectrum_scores(queries: DataFrame, library: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """query, entry, n_shared, cosine: peaks matched within a tolerance.
+def spectrum_scores(queries: DataFrame, library: DataFrame, tolerance: float = 0.01, most: int | None = None) -> DataFrame:
+    """query, entry, n_shared, cosine: peaks matched within a tolerance; only the `most` best entries of a query, if given (ties by entry).
 
     queries: query, mz, intensity; library: entry, mz, intensity.  A query peak
     takes the nearest peak of an entry, and the cosine is over square roots of
@@ -133,7 +133,8 @@ def spectrum_scores(queries: DataFrame, library: DataFrame, tolerance: float = 0
     dot = near.groupBy("query", "entry").agg(F.count("*").alias("n_shared"), F.sum(F.col("a") * F.col("b")).alias("dot"))
     na = q.groupBy("query").agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("na"))
     nb = e.groupBy("entry").agg(F.sqrt(F.sum(F.col("b") * F.col("b"))).alias("nb"))
-    return dot.join(na, "query").join(nb, "entry").select("query", "entry", "n_shared", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
+    out = dot.join(na, "query").join(nb, "entry").select("query", "entry", "n_shared", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
+    return out if most is None else top_in_group(out, ["query"], [F.desc(F.round("cosine", 9)), F.asc("entry")], most)
 
 
 def first_key_hit(rows: DataFrame, key: str, keys: str, index: DataFrame) -> DataFrame:
@@ -143,29 +144,59 @@ def first_key_hit(rows: DataFrame, key: str, keys: str, index: DataFrame) -> Dat
     return hits.groupBy(key).agg(F.min(F.struct("place", "uid")).alias("h")).select(key, "h.uid", "h.place")
 
 
-# Fixed patterns and points: what makes a compound name risky.
-NAME_RISKS = (
-    ("multi_map", 35, None),
-    ("stereo", 35, r"(^|[^a-z])([dl]-|alpha-|beta-|[αβ]-|\([rsez]\)-)"),
-    ("lipid", 30, r"[0-9]{1,2}:[0-9]"),
-    ("delimiter", 20, r"[;|/]"),
-    ("broad", 20, r"^(total|free|crude|fine|reflux) "),
-)
-
-
-def name_risk(index: DataFrame, name: str, uid: str) -> DataFrame:
-    """name, n_uids, risk_reasons (list), risk_score, policy of every name of an index.
-
-    More than two uids add 3 points each, at most 30; policies by score: from 70
-    block, from 35 review, else keep.
+# Names that need an isomer or a stereo form to be one compound, and names that are too broad.
+ISOMER_NAMES = (
+    "aconitate", "2-hydroxyglutarate", "2 hydroxyglutarate", "xanthine", "sorbitol", "butyrylcarnitine", "free carnitine", "asymmetric dimethylarginine",
+)
+BROAD_NAMES = ("acid", "base", "salt", "unknown", "lipid", "ceramide", "hexose", "pentose", "sugar", "protein", "peptide")
+# Fixed pattern: shorthand of lipid chains.
+LIPID_SHORTHAND = r"(?i)(?:\b(?:[a-z]{1,4}\s*)?\d{1,2}:\d(?:/\d{1,2}:\d)?\b|ceramide\s+d\d{1,2}:\d/\d{1,2}:\d|d\d{1,2}:\d/\d{1,2}:\d)"
+# Points of the reasons.
+RISK_POINTS = {
+    "name_maps_to_multiple_metabolites": 35, "stereo_or_isomer_under_specified": 35, "lipid_shorthand_or_chain_notation": 30, "delimiter_sensitive_name": 20,
+    "broad_or_short_surface": 20, "synonym_only_low_rank_surface": 10,
+}
+
+
+def name_risk(index: DataFrame, name: str, uid: str, raw: str, field: str, rank: str, authority: str | None = None) -> DataFrame:
+    """name, n_uids, risk_reasons (list), risk_score, action, policy of every name of an index.
+
+    raw: the spelling (the smallest one stands for the name); field: a name that no
+    canonical_name has and that ranks 70 or lower is a synonym only.  More than two
+    uids add 3 points each, at most 30; a name without an authority adds 15, if a
+    column (boolean) says which have one.  A name without a reason has an empty
+    list, and its action is `review`.
     """
-    per = index.groupBy(name).agg(F.count_distinct(uid).alias("n_uids"))
-    low = F.lower(name)
-    reasons = F.array_compact(F.array(*[F.when(F.col("n_uids") > 1 if p is None else low.rlike(p), r) for r, _, p in NAME_RISKS]))
-    points = sum((F.when(F.array_contains("risk_reasons", r), n).otherwise(0) for r, n, _ in NAME_RISKS), F.lit(0))
-    extra = F.when(F.col("n_uids") > 2, F.least(F.lit(30).cast("long"), 3 * F.col("n_uids"))).otherwise(0)
-    out = per.withColumn("risk_reasons", reasons).withColumn("risk_score", (points + extra).cast("long"))
-    return out.withColumn("policy", F.when(F.col("risk_score") >= 70, "block").when(F.col("risk_score") >= 35, "review").otherwise("keep"))
+    named = index.filter(F.col(name).isNotNull())
+    known = F.coalesce(F.bool_or(F.col(authority)), F.lit(False)) if authority else F.lit(True)
+    per = named.groupBy(name).agg(
+        F.count_distinct(uid).alias("n_uids"), F.min(raw).alias("_raw"), F.coalesce(F.bool_or(F.col(field) == "canonical_name"), F.lit(False)).alias("_canonical"), F.min(rank).alias("_rank"), known.alias("_known")
+    )
+    compact = F.replace(F.regexp_replace(F.col(name), "[\u2010-\u2015]", "-"), F.lit("-"), F.lit(" "))
+    said = (
+        ("name_maps_to_multiple_metabolites", F.col("n_uids") > 1),
+        ("delimiter_sensitive_name", F.col("_raw").contains(",")),
+        ("lipid_shorthand_or_chain_notation", F.col("_raw").rlike(LIPID_SHORTHAND)),
+        ("stereo_or_isomer_under_specified", compact.isin(*ISOMER_NAMES)),
+        ("broad_or_short_surface", compact.isin(*BROAD_NAMES) | (F.length(F.regexp_replace(compact, "[^a-z0-9]", "")) <= 3)),
+        ("synonym_only_low_rank_surface", ~F.col("_canonical") & (F.coalesce("_rank", F.lit(0)) <= 70)),
+    )
+    out = per.withColumn("risk_reasons", F.array_compact(F.array(*[F.when(c, r) for r, c in said])))
+    has = lambda r: F.array_contains("risk_reasons", r)
+    points = sum((F.when(has(r), n).otherwise(0) for r, n in RISK_POINTS.items()), F.lit(0))
+    extra = F.when(F.col("n_uids") > 2, F.least(F.lit(30).cast("long"), 3 * F.col("n_uids"))).otherwise(0) + F.when(F.col("_known"), 0).otherwise(15)
+    out = out.withColumn("risk_score", (points + extra).cast("long"))
+    several, lipid = has("name_maps_to_multiple_metabolites"), has("lipid_shorthand_or_chain_notation")
+    action = (
+        F.when(has("stereo_or_isomer_under_specified"), "require_specific_isomer_or_identifier").when(several & lipid, "require_lipid_identifier").when(several, "manual_review_required")
+        .when(has("delimiter_sensitive_name"), "quote_delimiter_sensitive_name").when(lipid, "prefer_lipid_identifier").when(has("broad_or_short_surface"), "avoid_broad_surface").otherwise("review")
+    )
+    strict = ("require_specific_isomer_or_identifier", "require_lipid_identifier", "manual_review_required", "avoid_broad_surface")
+    policy = (
+        F.when(F.col("action").isin(*strict), "auto_abstain_name_only").when(lipid, "requires_identifier_or_orthogonal_feature").when(F.col("action") == "quote_delimiter_sensitive_name", "format_warning")
+        .when(F.col("risk_score") >= 70, "auto_abstain_name_only").when(F.col("risk_score") >= 35, "monitor_or_downweight").otherwise("monitor")
+    )
+    return out.withColumn("action", action).withColumn("policy", policy).drop("_raw", "_canonical", "_rank", "_known")
 
 
 def expand_seeds(candidates: DataFrame, record: str, uid: str, kind: str) -> DataFrame:

@@ -42,7 +42,7 @@ def graph_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_sparse_edges(spark: SparkSession, d: str) -> DataFrame:
     t = _tables(spark, d)
-    return G.sparse_edges(G.project_edges(t, EDGES[:3]), G.index_nodes(G.project_nodes(t, NODES)))
+    return G.sparse_edges(G.project_edges(t, EDGES), G.index_nodes(G.project_nodes(t, NODES)))
 
 
 def graph_skipped_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +150,7 @@ ORACLES = {
     "graph_edges": f"select edge_type, subject_uid, predicate, object_uid, count(*) as n, round(sum(weight), 2) as weight from ({_EDGES}) group by 1, 2, 3, 4",
     "graph_sparse_edges": f"""
         with nodes as ({_NODES}), idx as ({_IDX}), edges as ({_EDGES})
-        select edge_type, s.node_idx as subject_idx, o.node_idx as object_idx, weight from edges join idx s on subject_uid = s.node_uid join idx o on object_uid = o.node_uid where place < 3""",
+        select edge_type, s.node_idx as subject_idx, o.node_idx as object_idx, weight from edges join idx s on subject_uid = s.node_uid join idx o on object_uid = o.node_uid""",
     "graph_skipped_edges": f"""
         with nodes as ({_NODES}), edges as ({_EDGES}), j as (
           select edge_type, s.node_uid is null as ms, o.node_uid is null as mo from edges left join nodes s on subject_uid = s.node_uid left join nodes o on object_uid = o.node_uid)

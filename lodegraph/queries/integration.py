@@ -103,12 +103,16 @@ def _candidates(spark, d):
     n = _named_cases(spark, d).withColumn("kind", D.trait_kind(C("k")))
     labels = table(spark, d, "metabolite_gold_labels").select("metabolite_uid", "inchikey", F.explode(D.name_variants(_name(C("label")))).alias("k"))
     hits = n.join(labels, "k", "left")
-    return hits.groupBy("case_id", "kind").agg(F.count_distinct("metabolite_uid").alias("n_candidates"), F.coalesce(F.bool_or(C("inchikey").isNotNull()), F.lit(False)).alias("confirmed"))
+    return hits.groupBy("case_id", "kind").agg(F.count_distinct("metabolite_uid").alias("n_candidates"), F.min("metabolite_uid").alias("uid"))
 
 
 def identity_decisions(spark: SparkSession, d: str) -> DataFrame:
-    out = D.decide(_candidates(spark, d), "kind", "n_candidates", "confirmed")
-    return out.withColumn("bucket", F.when(C("decision") != "accepted_exact", D.review_bucket(C("kind"), C("n_candidates"), F.lit(0))))
+    """Features of the typed names; the entity of each kind is the one that a name alone has."""
+    c = _candidates(spark, d)
+    feature = F.when(C("kind") == "ratio", "ratio").when(C("kind").isin("sum", "class"), "lipid_class").when(C("case_id") % 7 == 0, "trait_score").otherwise("unknown_peak")
+    uid = F.when(C("n_candidates") == 1, C("uid"))
+    out = c.withColumn("feature", feature).withColumn("d", D.decide(feature, uid, uid, uid))
+    return out.select("case_id", "feature", "n_candidates", "d.*", F.when(C("d.review") != "auto", D.review_bucket(C("kind"), C("n_candidates"), F.lit(0))).alias("bucket"))
 
 
 def name_variants(spark: SparkSession, d: str) -> DataFrame:
@@ -175,11 +179,15 @@ ORACLES = {
         with {_NAMES}, q as (select case_id, {_KIND} as kind from n)
         select case_id, kind, case when kind = 'compound' then 'molecule' when kind = 'lipid_species' then 'species' when kind in ('sum', 'class') then 'class' else 'composite' end as granularity from q""",
     "identity_decisions": f"""
-        with {_NAMES}, {_VAR}, q as (select n.case_id, {_KIND.replace("matches(k", "matches(n.k")} as kind, count(distinct metabolite_uid) as n_candidates, coalesce(bool_or(inchikey is not null), false) as confirmed from n left join v on n.k = v.k group by 1, 2),
-        f as (select *, case when kind = 'ratio' then 'ratio' when kind in ('sum', 'class') then 'class' when n_candidates = 1 and confirmed then 'exact' when n_candidates = 1 then 'trait' when n_candidates > 1 then 'ambiguous' else 'rejected' end as ft from q)
-        select case_id, kind, n_candidates, confirmed, case ft when 'exact' then 'accepted_exact' when 'trait' then 'accepted_trait' when 'ratio' then 'accepted_trait' when 'class' then 'accepted_class' else ft end as decision,
-          (case ft when 'exact' then 0.9 when 'trait' then 0.7 when 'ratio' then 0.8 when 'class' then 0.65 else 0 end)::double as confidence, ft <> 'exact' as needs_review,
-          case when ft <> 'exact' then case when kind = 'ratio' then 'ratio_components' when kind in ('sum', 'class') then 'class_or_pool' when n_candidates > 1 then 'ambiguous_candidates' when n_candidates = 1 then 'single_unconfirmed' else 'no_candidate' end end as bucket from f""",
+        with {_NAMES}, {_VAR}, q as (select n.case_id, {_KIND.replace("matches(k", "matches(n.k")} as kind, count(distinct metabolite_uid) as n_candidates, min(metabolite_uid) as uid from n left join v on n.k = v.k group by 1, 2),
+        f as (select *, n_candidates = 1 as one, case when kind = 'ratio' then 'ratio' when kind in ('sum', 'class') then 'lipid_class' when case_id % 7 = 0 then 'trait_score' else 'unknown_peak' end as feature from q)
+        select case_id, feature, n_candidates, case when one then case feature when 'ratio' then 'accepted_trait' when 'lipid_class' then 'accepted_class' when 'trait_score' then 'accepted_trait' else 'accepted_exact' end
+            when feature = 'unknown_peak' then 'unmatched' else 'ambiguous' end as decision, case when one then uid else '' end as entity_uid,
+          case when one then case feature when 'ratio' then 'trait' when 'lipid_class' then 'class' when 'trait_score' then 'trait' else 'chemical' end else '' end as entity_kind,
+          case feature when 'ratio' then 'ratio_not_exact_abundance' || case when one then '' else ';missing_trait_entity' end when 'lipid_class' then 'class_name_not_exact_identity'
+            when 'trait_score' then case when one then 'trait_score_not_direct_abundance' else 'trait_score_without_registered_trait' end else case when one then 'stable_source_entity' else 'no_candidate_entity' end end as reason,
+          (case when not one then 0 else case feature when 'ratio' then 0.8 when 'lipid_class' then 0.65 when 'trait_score' then 0.7 else 0.9 end end)::double as confidence, case when one and feature = 'unknown_peak' then 'auto' else 'needs_review' end as review,
+          case when not (one and feature = 'unknown_peak') then case when kind = 'ratio' then 'ratio_components' when kind in ('sum', 'class') then 'class_or_pool' when n_candidates > 1 then 'ambiguous_candidates' when n_candidates = 1 then 'single_unconfirmed' else 'no_candidate' end end as bucket from f""",
     "name_variants": f"with {_VAR} select distinct label_id, k as variant from v",
     "group_decisions": """
         with m as (select distinct mention_uid, normalized_surface, entity_uid from sentence_mentions where normalized_surface is not null and entity_uid is not null), n as (select normalized_surface, entity_uid, count(*) as n from m group by 1, 2),

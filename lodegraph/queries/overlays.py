@@ -31,8 +31,8 @@ def symbol_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    wide = table(spark, d, "embeddings").select("vec_id", *[C("embedding")[i].cast("double").alias(f"g{i}") for i in range(16)])
-    out = O.top_dependencies(O.wide_to_long(wide, "vec_id", [f"g{i}" for i in range(16)], "gene", "effect"), "vec_id", "gene", "effect", -0.1, 3)
+    wide = table(spark, d, "embeddings").select("vec_id", *[C("embedding")[i].cast("double").alias(f"g{i}") for i in range(64)])
+    out = O.top_dependencies(O.wide_to_long(wide, "vec_id", [f"g{i}" for i in range(64)], "gene", "effect"), "vec_id", "gene", "effect", -0.1, 3)
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
@@ -125,9 +125,12 @@ def gold_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unsourced_numbers(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select("doc_id", "text")
-    allowed = t.filter("text is not null").select("doc_id", F.explode(F.regexp_extract_all(F.substring("text", 1, 400), F.lit("([0-9]+(?:[.][0-9]+)?)"), 1)).alias("number"))
-    return R.numbers_without_source(t, "doc_id", "text", allowed)
+    """Numbers of a document that no other document of its article has."""
+    t = table(spark, d, "documents").select("doc_id", "article_uid", "text")
+    said = t.filter("text is not null and article_uid is not null").select("article_uid", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]+(?:[.][0-9]+)?)"), 1))).alias("number"))
+    shared = said.groupBy("article_uid", "number").agg(F.count("*").alias("n")).filter("n > 1")
+    allowed = said.join(shared, ["article_uid", "number"], "left_semi").select("doc_id", "number")
+    return R.numbers_without_source(t.drop("article_uid"), "doc_id", "text", allowed)
 
 
 def oriented_effects(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +182,7 @@ ORACLES = {
         t as (select upper(trim(symbol, ' ')) as symbol, min(gene_uid) as uid from g where trim(symbol, ' ') <> '' and gene_uid is not null group by 1)
         select record_id, alias, uid from a left join t on upper(trim(alias, ' ')) = symbol""",
     "top_dependencies": """
-        with l as (select vec_id, 'g' || i as gene, embedding[i + 1]::double as effect from embeddings, range(16) t(i)),
+        with l as (select vec_id, 'g' || i as gene, embedding[i + 1]::double as effect from embeddings, range(64) t(i)),
         r as (select *, (row_number() over (partition by vec_id order by effect, gene))::int as rank from l where effect <= -0.1)
         select vec_id, gene, effect, rank, round(greatest(0, least(1, 0.55::double + 0.18::double * least(abs(effect), 1.5) + 0.002::double * least(count(*) over (partition by vec_id), 50))), 6) as confidence from r where rank <= 3""",
     "source_confidence": """
@@ -230,8 +233,8 @@ ORACLES = {
         f as (select l_suppkey, count(*) as n_found from r join g using (l_suppkey, l_partkey) where r <= 20 group by 1), n as (select l_suppkey, count(*) as n from r where r <= 20 group by 1)
         select l_suppkey, count(*) as n_expected, coalesce(max(n_found), 0) as n_found, round(coalesce(max(n_found), 0) / max(n), 6) as precision, round(coalesce(max(n_found), 0) / count(*), 6) as recall from g left join f using (l_suppkey) left join n using (l_suppkey) group by 1""",
     "unsourced_numbers": f"""
-        with s as (select distinct doc_id, unnest(regexp_extract_all(text, {_NUM})) as number from documents), a as (select distinct doc_id, unnest(regexp_extract_all(text[1:400], {_NUM})) as number from documents)
-        select doc_id, number from s anti join a using (doc_id, number)""",
+        with s as (select distinct doc_id, article_uid, unnest(regexp_extract_all(text, {_NUM})) as number from documents)
+        select doc_id, number from s where not exists (select 1 from s o where o.article_uid = s.article_uid and o.number = s.number and o.doc_id <> s.doc_id)""",
     "oriented_effects": """
         select l_orderkey, l_linenumber, round(case when l_returnflag = 'F' then l_discount - 0.05::double else -(l_discount - 0.05::double) end, 4) as effect from lineitem where l_returnflag = 'F' or l_linestatus = 'F'""",
     "differential_selection": f"""

@@ -63,8 +63,12 @@ def precheck_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_risk(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "cid_properties").select("pubchem_cid", F.explode("synonyms").alias("synonym")).filter("synonym is not null")
-    out = R.name_risk(t.select("pubchem_cid", folded_key(C("synonym")).alias("name")), "name", "pubchem_cid")
+    """Titles are canonical names of rank 100, synonyms rank by their place; the authority is a title."""
+    c = table(spark, d, "cid_properties").select("pubchem_cid", "title", "synonyms")
+    titles = c.select("pubchem_cid", C("title").alias("raw"), F.lit("canonical_name").alias("field"), F.lit(100).alias("rank"))
+    others = c.select("pubchem_cid", F.posexplode("synonyms").alias("rank", "raw")).select("pubchem_cid", "raw", F.lit("synonym").alias("field"), (80 - C("rank")).alias("rank"))
+    index = titles.unionByName(others).filter("raw is not null").select("*", folded_key(C("raw")).alias("name"), (C("field") == "canonical_name").alias("known"))
+    out = R.name_risk(index, "name", "pubchem_cid", "raw", "field", "rank", "known")
     return out.withColumn("risk_reasons", F.array_join("risk_reasons", ";"))
 
 
@@ -72,8 +76,8 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
     risk = name_risk(spark, d)
     order = [F.desc("risk_score"), F.asc("name")]
     return staged_queue(risk, "name", [
-        ("block", C("policy") == "block", order, 5), ("shared", C("n_uids") > 1, order, 20), ("lipid", C("risk_reasons").contains("lipid"), order, 15),
-        ("stereo", C("risk_reasons").contains("stereo"), order, 15), ("any", F.lit(True), order, 10),
+        ("block", C("policy") == "auto_abstain_name_only", order, 5), ("shared", C("n_uids") > 1, order, 20), ("lipid", C("risk_reasons").contains("lipid"), order, 15),
+        ("stereo", C("risk_reasons").contains("synonym_only"), order, 15), ("any", F.lit(True), order, 10),
     ]).select("name", "stage", "risk_score")
 
 
@@ -96,11 +100,12 @@ def price_window(spark: SparkSession, d: str) -> DataFrame:
 def _peaks(spark, d, name):
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", C("v").cast("double"))
     shift = F.when(F.lit(name == "query"), F.pmod("vec_id", F.lit(3)) * 0.004).otherwise(0.0)
-    return e.filter("i < 8").select(C("vec_id").alias(name), (100 + F.round(F.abs("v") * 50, 1) + shift).alias("mz"), (1 + F.pmod(C("vec_id") + C("i"), F.lit(9))).cast("double").alias("intensity"))
+    return e.select(C("vec_id").alias(name), (100 + C("i") * 8 + F.round(F.abs("v") * 50, 1) + shift).alias("mz"), (1 + F.pmod(C("vec_id") + C("i"), F.lit(9))).cast("double").alias("intensity"))
 
 
 def spectrum_match(spark: SparkSession, d: str) -> DataFrame:
-    out = R.spectrum_scores(_peaks(spark, d, "query").filter("query % 20 = 0"), _peaks(spark, d, "entry"), 0.01)
+    """The ten best entries of every twentieth spectrum, with all peaks of both sides."""
+    out = R.spectrum_scores(_peaks(spark, d, "query").filter("query % 20 = 0"), _peaks(spark, d, "entry"), 0.01, 10)
     return out.select("query", "entry", "n_shared", F.round("cosine", 6).alias("cosine"))
 
 
@@ -151,13 +156,21 @@ _BARE = f"""
     settled as (select case_id, case when top >= 0.6 and (second is null or top - second >= 0.12) then 'matched' else 'ambiguous' end as status,
       case when top >= 0.6 and (second is null or top - second >= 0.12) then uid end as uid, top, second, n_uids from w)"""
 _RISK = f"""
-    n as (select {_KEY.format(x="s")} as name, count(distinct pubchem_cid) as n_uids from (select pubchem_cid, unnest(synonyms) as s from cid_properties) where s is not null and not regexp_matches(s, '[^ -~]') group by 1),
-    f as (select *, n_uids > 1 as m, regexp_matches(name, '(^|[^a-z])([dl]-|alpha-|beta-|\\([rsez]\\)-)') as st, regexp_matches(name, '[0-9]{{1,2}}:[0-9]') as li,
-      regexp_matches(name, '[;|/]') as de, regexp_matches(name, '^(total|free|crude|fine|reflux) ') as br from n),
-    r as (select name, n_uids, concat_ws(';', case when m then 'multi_map' end, case when st then 'stereo' end, case when li then 'lipid' end, case when de then 'delimiter' end, case when br then 'broad' end) as risk_reasons,
-      (m::int * 35 + st::int * 35 + li::int * 30 + de::int * 20 + br::int * 20 + case when n_uids > 2 then least(30, 3 * n_uids) else 0 end)::bigint as risk_score from f),
-    risk as (select *, case when risk_score >= 70 then 'block' when risk_score >= 35 then 'review' else 'keep' end as policy from r)"""
-_STAGES = (("block", "policy = 'block'", 5), ("shared", "n_uids > 1", 20), ("lipid", "risk_reasons like '%lipid%'", 15), ("stereo", "risk_reasons like '%stereo%'", 15), ("any", "true", 10))
+    x as (select pubchem_cid, title as raw, true as canonical, 100 as rank from cid_properties union all select pubchem_cid, synonyms[i + 1], false, 80 - i from cid_properties, range(200) t(i) where i < len(synonyms)),
+    n as (select {_KEY.format(x="raw")} as name, count(distinct pubchem_cid) as n_uids, min(raw) as raw, bool_or(canonical) as canonical, min(rank) as rank from x where raw is not null and not regexp_matches(raw, '[^ -~]') group by 1),
+    f as (select *, n_uids > 1 as m, contains(raw, ',') as de, regexp_matches(raw, '\\b([a-zA-Z]{{1,4}}\\s*)?[0-9]{{1,2}}:[0-9](/[0-9]{{1,2}}:[0-9])?\\b|d[0-9]{{1,2}}:[0-9]/[0-9]{{1,2}}:[0-9]') as li,
+      replace(name, '-', ' ') in ('aconitate', '2 hydroxyglutarate', 'xanthine', 'sorbitol', 'butyrylcarnitine', 'free carnitine', 'asymmetric dimethylarginine') as st,
+      replace(name, '-', ' ') in ('acid', 'base', 'salt', 'unknown', 'lipid', 'ceramide', 'hexose', 'pentose', 'sugar', 'protein', 'peptide') or length(regexp_replace(name, '[^a-z0-9]', '', 'g')) <= 3 as br,
+      not canonical and rank <= 70 as lo from n),
+    r as (select name, n_uids, concat_ws(';', case when m then 'name_maps_to_multiple_metabolites' end, case when de then 'delimiter_sensitive_name' end, case when li then 'lipid_shorthand_or_chain_notation' end,
+        case when st then 'stereo_or_isomer_under_specified' end, case when br then 'broad_or_short_surface' end, case when lo then 'synonym_only_low_rank_surface' end) as risk_reasons,
+      (m::int * 35 + st::int * 35 + li::int * 30 + de::int * 20 + br::int * 20 + lo::int * 10 + case when n_uids > 2 then least(30, 3 * n_uids) else 0 end + case when canonical then 0 else 15 end)::bigint as risk_score,
+      case when st then 'require_specific_isomer_or_identifier' when m and li then 'require_lipid_identifier' when m then 'manual_review_required' when de then 'quote_delimiter_sensitive_name' when li then 'prefer_lipid_identifier'
+        when br then 'avoid_broad_surface' else 'review' end as action, li from f),
+    risk as (select name, n_uids, risk_reasons, risk_score, action, case when action in ('require_specific_isomer_or_identifier', 'require_lipid_identifier', 'manual_review_required', 'avoid_broad_surface') then 'auto_abstain_name_only'
+      when li then 'requires_identifier_or_orthogonal_feature' when action = 'quote_delimiter_sensitive_name' then 'format_warning' when risk_score >= 70 then 'auto_abstain_name_only'
+      when risk_score >= 35 then 'monitor_or_downweight' else 'monitor' end as policy from r)"""
+_STAGES = (("block", "policy = 'auto_abstain_name_only'", 5), ("shared", "n_uids > 1", 20), ("lipid", "risk_reasons like '%lipid%'", 15), ("stereo", "risk_reasons like '%synonym_only%'", 15), ("any", "true", 10))
 _QUEUE = ",".join(
     f" s{i} as (select name, '{n}' as stage, risk_score from risk where {c}" + "".join(f" and name not in (select name from s{j})" for j in range(i)) + f" order by risk_score desc, name limit {q})"
     for i, (n, c, q) in enumerate(_STAGES)
@@ -190,13 +203,14 @@ ORACLES = {
     "expanded_seeds": f"""
         with {_ASCII}, {_BARE} select case_id, uid, round((case when s = 1.0 then 1.0 else 0.5 end)::double / n_uids, 6) as seed_weight from o""",
     "spectrum_match": f"""
-        with q as (select vec_id as query, round(100 + round(abs(embedding[i + 1]::double) * 50, 1), 6) + (vec_id % 3) * 0.004::double as mz, sqrt((1 + (vec_id + i) % 9)::double) as a
-                   from embeddings, range(8) t(i) where vec_id % 20 = 0),
-             e as (select vec_id as entry, 100 + round(abs(embedding[i + 1]::double) * 50, 1) as mz, sqrt((1 + (vec_id + i) % 9)::double) as b from embeddings, range(8) t(i)),
+        with q as (select vec_id as query, round(100 + i * 8 + round(abs(embedding[i + 1]::double) * 50, 1), 6) + (vec_id % 3) * 0.004::double as mz, sqrt((1 + (vec_id + i) % 9)::double) as a
+                   from embeddings, range(64) t(i) where vec_id % 20 = 0),
+             e as (select vec_id as entry, 100 + i * 8 + round(abs(embedding[i + 1]::double) * 50, 1) as mz, sqrt((1 + (vec_id + i) % 9)::double) as b from embeddings, range(64) t(i)),
              p as (select query, entry, q.mz, a, b, row_number() over (partition by query, entry, q.mz, a order by abs(q.mz - e.mz), e.mz, b) as rn from q join e on abs(q.mz - e.mz) <= 0.01),
              dot as (select query, entry, count(*) as n_shared, sum(a * b) as dot from p where rn = 1 group by 1, 2)
         select query, entry, n_shared, round(dot / (sqrt(na) * sqrt(nb)), 6) as cosine from dot
-        join (select query, sum(a * a) as na from q group by 1) using (query) join (select entry, sum(b * b) as nb from e group by 1) using (entry)""",
+        join (select query, sum(a * a) as na from q group by 1) using (query) join (select entry, sum(b * b) as nb from e group by 1) using (entry)
+        qualify row_number() over (partition by query order by round(dot / (sqrt(na) * sqrt(nb)), 9) desc, entry) <= 10""",
     "first_xref_hit": """
         with k as (select pubchem_cid, i - 1 as place, lower(synonyms[i]) as lookup_key from (select *, unnest(range(1, len(synonyms) + 1)) as i from (select distinct pubchem_cid, synonyms from cid_properties where synonyms is not null))),
         x as (select lower(title) || 's' as lookup_key, min(pubchem_cid) as uid from cid_properties where title is not null group by 1)

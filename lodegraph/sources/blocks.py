@@ -16,7 +16,7 @@ def read_blocks(spark: SparkSession, path: str, separator: str) -> DataFrame:
 def tagged(lines: str, tag: str, separator: str = ":") -> Column:
     """The values of all lines `tag: value`, in order."""
     head = f"{tag}{separator}"
-    return F.transform(F.filter(lines, lambda x: x.startswith(head)), lambda x: F.trim(F.substring(x, len(head) + 1, 1_000_000)))
+    return F.transform(F.filter(lines, lambda x: x.startswith(head)), lambda x: F.trim(F.substring(x, F.lit(len(head) + 1), F.length(x))))
 
 
 def first_tag(lines: str, tag: str, separator: str = ":") -> Column:
@@ -75,7 +75,7 @@ def read_msp(spark: SparkSession, path: str) -> DataFrame:
 def read_flat_records(spark: SparkSession, path: str, end: str = "//\n") -> DataFrame:
     """fields (map of two-letter keys to their values) of records that end in `//`, as in cell-line catalogues."""
     b = read_blocks(spark, path, end)
-    pairs = F.transform(F.filter("lines", lambda x: x.rlike("^[A-Z]{2} ")), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.trim(F.substring(x, 3, 1_000_000)).alias("v")))
+    pairs = F.transform(F.filter("lines", lambda x: x.rlike("^[A-Z]{2} ")), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.trim(F.substring(x, F.lit(3), F.length(x))).alias("v")))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     grouped = F.transform(keys, lambda k: F.struct(k.alias("k"), F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"]).alias("v")))
     return b.select(F.map_from_entries(grouped).alias("fields")).filter(F.size("fields") > 0)
@@ -95,7 +95,7 @@ def read_gmt(spark: SparkSession, path: str, species: str | None = None) -> Data
     head = F.split(F.get(cells, 0), "%")
     out = spark.read.text(path).filter(F.trim("value") != "").select(
         F.get(head, 0).alias("name"), F.get(head, 1).alias("release"), F.get(head, 2).alias("pathway_id"), F.get(head, 3).alias("species"), F.get(cells, 1).alias("description"),
-        F.explode(F.filter(F.slice(cells, 3, 1_000_000), lambda x: F.trim(x) != "")).alias("member"),
+        F.explode(F.filter(F.slice(cells, F.lit(3), F.size(cells)), lambda x: F.trim(x) != "")).alias("member"),
     )
     return out if species is None else out.filter(F.col("species") == species)
 

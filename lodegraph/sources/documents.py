@@ -89,8 +89,19 @@ def reaction_sides(triples: DataFrame) -> DataFrame:
         F.col("subject").alias("reaction"), F.col("object").alias("participant"), F.when(F.col("predicate") == "left", "substrate").otherwise("product").alias("role")
     )
     direction = t.filter("predicate = 'conversionDirection'").groupBy(F.col("subject").alias("reaction")).agg(F.min("object").alias("raw"))
-    named = F.when(F.col("raw").contains("REVERSIBLE"), "BI").when(F.col("raw").contains("RIGHT-TO-LEFT"), "RL").when(F.col("raw").contains("LEFT-TO-RIGHT"), "LR")
-    return sides.join(direction, "reaction", "left").select("reaction", "participant", "role", named.alias("direction")).distinct()
+    return sides.join(direction, "reaction", "left").select("reaction", "participant", "role", direction_code(F.col("raw")).alias("direction")).distinct()
+
+
+# What a conversion's direction is called.
+DIRECTIONS = {
+    "LEFT-TO-RIGHT": "LR", "LEFT_TO_RIGHT": "LR", "RIGHT-TO-LEFT": "RL", "RIGHT_TO_LEFT": "RL", "REVERSIBLE": "BI", "BIDIRECTIONAL": "BI", "BIDIRECTIONAL-REACTION": "BI",
+}
+
+
+def direction_code(raw: Column) -> Column:
+    """LR, RL or BI; another direction stays as it is, none is `unknown`."""
+    code = F.element_at(F.create_map(*[F.lit(x) for kv in DIRECTIONS.items() for x in kv]), raw)
+    return F.coalesce(code, F.nullif(raw, F.lit("")), F.lit("unknown"))
 
 
 def participant_xrefs(triples: DataFrame) -> DataFrame:

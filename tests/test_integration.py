@@ -47,9 +47,13 @@ def test_identity(spark):
     names = ["A/B ratio", "total acids", "tagezamide 18:1", "some species", "plainol"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(D.trait_kind(F.col("n")).alias("k"))
     assert [r.k for r in df.collect()] == ["ratio", "sum", "lipid_species", "class", "compound"]
-    c = spark.createDataFrame([("compound", 1, True), ("compound", 1, False), ("compound", 2, True), ("compound", 0, False), ("ratio", 0, False)], "k string, n int, ok boolean")
-    got = [(r.decision, r.confidence, r.needs_review) for r in D.decide(c, "k", "n", "ok").collect()]
-    assert got == [("accepted_exact", 0.9, False), ("accepted_trait", 0.7, True), ("ambiguous", 0.0, True), ("rejected", 0.0, True), ("accepted_trait", 0.8, True)]
+    rows = [("ratio", "t", ""), ("ratio", "", "c"), ("lipid_class", "k", ""), ("lipid_class", None, "c"), ("trait_score", "t", "c"), ("trait_score", None, "c"), ("unknown_peak", None, "c"), (None, "t", None)]
+    c = spark.createDataFrame(rows, "f string, t string, c string")
+    got = [tuple(r.d) for r in c.select(D.decide(F.col("f"), F.col("t"), F.col("t"), F.col("c")).alias("d")).collect()]
+    assert [(r[0], r[1], r[4], r[5]) for r in got] == [
+        ("accepted_trait", "t", 0.8, "needs_review"), ("ambiguous", "", 0.0, "needs_review"), ("accepted_class", "k", 0.65, "needs_review"), ("ambiguous", "", 0.0, "needs_review"),
+        ("accepted_trait", "t", 0.7, "needs_review"), ("ambiguous", "", 0.0, "needs_review"), ("accepted_exact", "c", 0.9, "auto"), ("unmatched", "", 0.0, "needs_review"),
+    ]
     v = spark.createDataFrame([("D-x ate",), ("kolic acid",), ("m 18:0",)], "n string").select(D.name_variants(F.col("n")).alias("v"))
     assert [r.v for r in v.collect()] == [["d-x ate", "d-x ic acid", "x ate"], ["kolate", "kolic acid"], ["m 18:0", "m(18:0)"]]
 
