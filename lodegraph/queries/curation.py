@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodegraph.functions import text as X
 from lodegraph.functions.keys import folded_key
 from lodegraph.operators import curation as U
+from lodegraph.queries.sql_folding import folded
 from lodegraph.runtime import table, widen
 
 C = F.col
@@ -142,8 +143,8 @@ ORACLES = {
         with g as (select source_name, gene_uid, record_id % 5 as severity, aliases from genes), e as (select source_name, gene_uid, severity, unnest(case when len(aliases) > 0 then aliases else [null] end)[1:1] as tag from g),
         u as (select distinct * from e) select source_name, tag, count(*) as n_signals, count(distinct gene_uid) as n_cases, max(severity) as worst from u group by 1, 2""",
     "name_statistics": """
-        with t as (select distinct pubchem_cid, s from (select pubchem_cid, unnest(synonyms) as s from cid_properties) where s is not null and not regexp_matches(s, '[^ -~]')),
-        i as (select lower(trim(regexp_replace(s, '\\s+', ' ', 'g'))) as name, pubchem_cid, length(s)::int as rank, case when contains(s, ' ') then 'phrase' else 'word' end as field from t)
+        with t as (select distinct pubchem_cid, s from (select pubchem_cid, unnest(synonyms) as s from cid_properties) where s is not null),
+        i as (select """ + folded("s") + """ as name, pubchem_cid, length(s)::int as rank, case when contains(s, ' ') then 'phrase' else 'word' end as field from t)
         select name, count(*) as n_rows, count(distinct pubchem_cid) as n_uids, max(rank) as best_rank, min(rank) as worst_rank, string_agg(distinct field, ';' order by field) as fields, array_to_string(list_sort(list(distinct pubchem_cid))[1:5], ';') as examples from i group by 1""",
     "hash_sample": f"""
         select o_orderkey, o_orderpriority, o_totalprice from (select *, row_number() over (partition by o_orderpriority order by {_BUCKET.format(x="o_orderkey", k=12)}, o_orderkey) as rn from orders) where rn <= 40""",

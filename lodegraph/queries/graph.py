@@ -82,7 +82,7 @@ def graph_closure(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_strongest_edges(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "lineitem").groupBy(C("l_suppkey").alias("subject"), C("l_partkey").alias("object")).agg(F.sum("l_quantity").alias("weight"))
-    return G.strongest_edges(e, 20)
+    return G.strongest_edges(e)
 
 
 def _supply(spark, d):
@@ -142,7 +142,7 @@ _PI = """
     pi0 as (select node, y as score from y)""" + "".join(
     f""",
     pi{i} as (select node, sum(x) as score from (select b as node, share * score * 0.85::double as x from s join pi{i - 1} on a = node union all select node, y * 0.15::double from y) group by 1)"""
-    for i in range(1, 5)
+    for i in range(1, 31)
 )
 
 ORACLES = {
@@ -175,8 +175,8 @@ ORACLES = {
         select child, ancestor, depth from c""",
     "graph_strongest_edges": """
         select subject, object, weight from (select l_suppkey as subject, l_partkey as object, sum(l_quantity) as weight,
-          row_number() over (partition by l_suppkey order by sum(l_quantity) desc, l_partkey) as rn from lineitem group by 1, 2) where rn <= 20""",
-    "graph_pagerank": f"with {_PI} select node, round(score, 8) as score from pi4",
+          row_number() over (partition by l_suppkey order by sum(l_quantity) desc, l_partkey) as rn from lineitem group by 1, 2) where rn <= 160""",
+    "graph_pagerank": f"with {_PI} select node, round(score, 8) as score from pi30",
     "graph_cheapest_paths": f"""
         with {_WALK}
         select start, "end", rank, path, cost from (select start, path[-1] as "end", array_to_string(path, '>') as path, round(cost, 6) as cost,

@@ -9,6 +9,7 @@ from lodegraph.functions.keys import folded_key, publication_year
 from lodegraph.functions.values import bare_number
 from lodegraph.operators import identity as D
 from lodegraph.operators import integration as I
+from lodegraph.queries.sql_folding import folded
 from lodegraph.runtime import table
 
 C = F.col
@@ -131,7 +132,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _IDS = "select distinct chemical_uid as u, upper(trim(xref_id, ' ')) as i from chemical_xrefs where upper(trim(xref_source, ' ')) = '{s}' and xref_type = 'exact' and regexp_matches(xref_id, '[0-9]')"
-_NAMES = "n as (select distinct case_id, lower(trim(input_name, ' ')) as k from name_only_cases where trim(input_name, ' ') <> '' and not regexp_matches(input_name, '[^ -~]'))"
+_NAMES = f"n as (select distinct case_id, case when regexp_matches(input_name, '[^ -~]') then {folded('input_name')} else lower(trim(input_name, ' ')) end as k from name_only_cases), n0 as (select * from n where k <> '')"
 _KIND = "case " + " ".join(f"when regexp_matches(k, '{p}') then '{n}'" for n, p in D.TRAIT_KINDS) + " else 'compound' end"
 _VAR = """
     v0 as (select label_id, metabolite_uid, inchikey, lower(trim(label, ' ')) as k from metabolite_gold_labels),
@@ -176,10 +177,10 @@ ORACLES = {
         g as (select pubchem_cid, count(uid) as n_items, count(s) as n_scored, max(s) as best, round(avg(s), 6) as mean from e left join f using (uid) group by 1)
         select t.pubchem_cid, coalesce(n_items, 0) as n_items, coalesce(n_scored, 0) as n_scored, best, mean from t left join g using (pubchem_cid)""",
     "trait_kinds": f"""
-        with {_NAMES}, q as (select case_id, {_KIND} as kind from n)
+        with {_NAMES}, q as (select case_id, {_KIND} as kind from n0)
         select case_id, kind, case when kind = 'compound' then 'molecule' when kind = 'lipid_species' then 'species' when kind in ('sum', 'class') then 'class' else 'composite' end as granularity from q""",
     "identity_decisions": f"""
-        with {_NAMES}, {_VAR}, q as (select n.case_id, {_KIND.replace("matches(k", "matches(n.k")} as kind, count(distinct metabolite_uid) as n_candidates, min(metabolite_uid) as uid from n left join v on n.k = v.k group by 1, 2),
+        with {_NAMES}, {_VAR}, q as (select n.case_id, {_KIND.replace("matches(k", "matches(n.k")} as kind, count(distinct metabolite_uid) as n_candidates, min(metabolite_uid) as uid from n0 n left join v on n.k = v.k group by 1, 2),
         f as (select *, n_candidates = 1 as one, case when kind = 'ratio' then 'ratio' when kind in ('sum', 'class') then 'lipid_class' when case_id % 7 = 0 then 'trait_score' else 'unknown_peak' end as feature from q)
         select case_id, feature, n_candidates, case when one then case feature when 'ratio' then 'accepted_trait' when 'lipid_class' then 'accepted_class' when 'trait_score' then 'accepted_trait' else 'accepted_exact' end
             when feature = 'unknown_peak' then 'unmatched' else 'ambiguous' end as decision, case when one then uid else '' end as entity_uid,

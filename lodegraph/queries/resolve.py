@@ -9,6 +9,7 @@ from lodegraph.functions.keys import folded_key
 from lodegraph.operators import resolve as R
 from lodegraph.operators.ordering import staged_queue
 from lodegraph.operators.resolve import LookupSpec
+from lodegraph.queries.sql_folding import folded
 from lodegraph.runtime import table
 
 C = F.col
@@ -146,18 +147,18 @@ _INDEX = f"""
       union all select metabolite_uid, 'TEXT', {_KEY.format(x="short_code")}, 'short_code', 80, short_code from metabolite_gold_labels where short_code is not null
       union all select metabolite_uid, 'INCHIKEY', lower(inchikey), 'inchikey', 95, inchikey from metabolite_gold_labels where inchikey is not null),
     idx as (select entity_uid, namespace, lookup_key, match_field, max(rank)::int as rank, min(raw_value) as raw_value from i0 group by 1, 2, 3, 4)"""
-_ASCII = "cases as (select distinct case_id, input_name from name_only_cases where not regexp_matches(input_name, '[^ -~]'))"
+_CASES = f"cases as (select distinct case_id, input_name, {folded('input_name')} as asked from name_only_cases)"
 _BARE = f"""
     t as (select metabolite_uid as uid, {_KEY.format(x="label")} as k from metabolite_gold_labels),
     bare as (select k, uid, 1.0::double as score from t union all select regexp_replace(k, '^(l|d|alpha|beta)-| [0-9:]+$', '', 'g'), uid, 0.8::double from t),
-    c as (select case_id, uid, max(score) as s from cases join bare on {_KEY.format(x="input_name")} = k group by 1, 2),
+    c as (select case_id, uid, max(score) as s from cases join bare on asked = k group by 1, 2),
     o as (select *, row_number() over (partition by case_id order by s desc, uid desc) as rn, count(*) over (partition by case_id) as n_uids from c),
     w as (select a.case_id, a.uid, a.s as top, b.s as second, a.n_uids from o a left join o b on a.case_id = b.case_id and b.rn = 2 where a.rn = 1),
     settled as (select case_id, case when top >= 0.6 and (second is null or top - second >= 0.12) then 'matched' else 'ambiguous' end as status,
       case when top >= 0.6 and (second is null or top - second >= 0.12) then uid end as uid, top, second, n_uids from w)"""
 _RISK = f"""
     x as (select pubchem_cid, title as raw, true as canonical, 100 as rank from cid_properties union all select pubchem_cid, synonyms[i + 1], false, 80 - i from cid_properties, range(200) t(i) where i < len(synonyms)),
-    n as (select {_KEY.format(x="raw")} as name, count(distinct pubchem_cid) as n_uids, min(raw) as raw, bool_or(canonical) as canonical, min(rank) as rank from x where raw is not null and not regexp_matches(raw, '[^ -~]') group by 1),
+    n as (select {folded("raw")} as name, count(distinct pubchem_cid) as n_uids, min(raw) as raw, bool_or(canonical) as canonical, min(rank) as rank from x where raw is not null group by 1),
     f as (select *, n_uids > 1 as m, contains(raw, ',') as de, regexp_matches(raw, '\\b([a-zA-Z]{{1,4}}\\s*)?[0-9]{{1,2}}:[0-9](/[0-9]{{1,2}}:[0-9])?\\b|d[0-9]{{1,2}}:[0-9]/[0-9]{{1,2}}:[0-9]') as li,
       replace(name, '-', ' ') in ('aconitate', '2 hydroxyglutarate', 'xanthine', 'sorbitol', 'butyrylcarnitine', 'free carnitine', 'asymmetric dimethylarginine') as st,
       replace(name, '-', ' ') in ('acid', 'base', 'salt', 'unknown', 'lipid', 'ceramide', 'hexose', 'pentose', 'sugar', 'protein', 'peptide') or length(regexp_replace(name, '[^a-z0-9]', '', 'g')) <= 3 as br,
@@ -185,15 +186,15 @@ ORACLES = {
         union all select case_id, 'CID', input_name, 60 from t where regexp_full_match(input_name, '[0-9]+')
         union all select case_id, 'TEXT', lower(regexp_replace(input_name, '\\s+', ' ', 'g')), 10 from t where input_name <> ''""",
     "resolve_ranked": f"""
-        with {_INDEX}, {_ASCII},
+        with {_INDEX}, {_CASES},
         h as (select case_id, entity_uid, raw_value, rank, row_number() over (partition by case_id, entity_uid order by rank desc, raw_value) as rn
-              from cases join idx on namespace = 'TEXT' and lookup_key = {_KEY.format(x="trim(input_name, ' ')")}),
+              from cases join idx on namespace = 'TEXT' and lookup_key = asked),
         p as (select *, (row_number() over (partition by case_id order by rank desc, entity_uid, raw_value))::int as place from h where rn = 1)
         select case_id, place, entity_uid, 'metabolite' as entity_type, raw_value, (10 + rank)::int as score from p where place <= 5""",
-    "ambiguity_margin": f"with {_ASCII}, {_BARE} select case_id, status, uid, top, second, n_uids from settled",
+    "ambiguity_margin": f"with {_CASES}, {_BARE} select case_id, status, uid, top, second, n_uids from settled",
     "precheck_buckets": f"""
-        with {_ASCII}, {_BARE}
-        select case_id, case when input_name is null or length(trim(input_name, ' ')) < 2 then 'invalid' when status is null then 'unmatched' else status end as bucket from cases left join settled using (case_id)""",
+        with {_CASES}, {_BARE}
+        select case_id, case when asked is null or length(asked) < 2 then 'invalid' when status is null then 'unmatched' else status end as bucket from cases left join settled using (case_id)""",
     "name_risk": f"with {_RISK} select * from risk",
     "review_queue": f"with {_RISK},{_QUEUE} " + " union all ".join(f"select * from s{i}" for i in range(len(_STAGES))),
     "mass_tolerance": """
@@ -201,7 +202,7 @@ ORACLES = {
         select feature, pubchem_cid, round((mass - exact_mass) / exact_mass * 1e6::double, 3) as ppm from f join t on abs(mass - exact_mass) <= mass * 10e-6::double""",
     "price_window": "select a.p_partkey as a, b.p_partkey as b from part a join part b on abs(a.p_retailprice - b.p_retailprice) <= 0.25 and a.p_partkey < b.p_partkey",
     "expanded_seeds": f"""
-        with {_ASCII}, {_BARE} select case_id, uid, round((case when s = 1.0 then 1.0 else 0.5 end)::double / n_uids, 6) as seed_weight from o""",
+        with {_CASES}, {_BARE} select case_id, uid, round((case when s = 1.0 then 1.0 else 0.5 end)::double / n_uids, 6) as seed_weight from o""",
     "spectrum_match": f"""
         with q as (select vec_id as query, round(100 + i * 8 + round(abs(embedding[i + 1]::double) * 50, 1), 6) + (vec_id % 3) * 0.004::double as mz, sqrt((1 + (vec_id + i) % 9)::double) as a
                    from embeddings, range(64) t(i) where vec_id % 20 = 0),
