@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodegraph.operators.ordering import top_in_group
+from lodegraph.operators.ordering import dense_index, top_in_group
+from lodegraph.runtime import Scratch, fresh
 
 
 def orient(effect: Column, first: Column, second: Column, primary: str) -> Column:
@@ -32,40 +34,53 @@ def rejected_counts(df: DataFrame, group: str, effect: str, q: str, most_q: floa
     )
 
 
-def ln_choose(ln_factorial: Column, n: Column, k: Column) -> Column:
-    """ln of n over k from an array of ln(i!), i from 0."""
-    at = lambda i: F.element_at(ln_factorial, (i + 1).cast("int"))
-    return at(n) - at(k) - at(n - k)
+def ln_factorial(n: Column) -> Column:
+    """ln(n!) of a whole number of any size: a table below 32, Stirling's series from there (to 13 digits)."""
+    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(32)])
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < 32, F.get(table, F.greatest(n, F.lit(0)).cast("int"))).otherwise(series)
+
+
+def ln_choose(n: Column, k: Column) -> Column:
+    """ln of n over k."""
+    return ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k)
+
+
+def benjamini_hochberg(df: DataFrame, p: str, keys: Sequence[str], block: int = 10_000) -> DataFrame:
+    """df with fdr: the least p * n / rank of the rows from each one on, in the order of p.
+
+    Ranks are a dense index; minima run within blocks of the order and are lowered
+    by the least of the blocks after them, so that no task sees all rows.  keys
+    make the order of equal p the same in every run and don't change the result.
+    """
+    scratch = Scratch(df.sparkSession, "fdr")
+    at, part, step = fresh(df, "_at", "_part", "_step")
+    ranked = scratch.save(dense_index(df, [p, *keys], at))
+    n = ranked.count()
+    ranked = ranked.withColumn(part, F.floor(F.col(at) / block)).withColumn(step, F.least(F.lit(1.0), F.col(p) * F.lit(float(n)) / (F.col(at) + 1)))
+    # one row for each block
+    least = ranked.groupBy(part).agg(F.min(step).alias("_least"))
+    after = least.withColumn("_after", F.min("_least").over(Window.orderBy(F.desc(part)).rowsBetween(Window.unboundedPreceding, -1))).drop("_least")
+    within = ranked.withColumn("fdr", F.min(step).over(Window.partitionBy(part).orderBy(F.desc(at))))
+    out = within.join(F.broadcast(after), part).withColumn("fdr", F.least("fdr", F.coalesce("_after", F.lit(1.0))))
+    return out.select(*df.columns, "fdr")
 
 
 def over_representation(members: DataFrame, set_: str, item: str, chosen: DataFrame, universe: int) -> DataFrame:
     """set, size, overlap, coverage, p_value (right tail of the hypergeometric), fdr (Benjamini-Hochberg).
 
-    members: set, item; chosen: item.  Items of sets are the universe's; ln(i!) up
-    to the universe's size is one array made on the driver (the universe is the
-    entities of a graph, at most a million).
+    members: set, item; chosen: item.  Items of sets are the universe's, which may
+    be of any size; the time of a set grows with the items chosen of it.
     """
-    if universe > 1_000_000:
-        raise ValueError("the universe may have at most 1,000,000 items")
-    table, total = [0.0], 0.0
-    for i in range(1, universe + 1):
-        total += math.log(i)
-        table.append(total)
-    spark = members.sparkSession
     m = members.select(set_, item).distinct()
     c = chosen.select(item).distinct().withColumn("_c", F.lit(1))
     n = c.join(m.select(item).distinct(), item, "left_semi").count()
-    sets = m.join(c, item, "left").groupBy(set_).agg(F.count("*").alias("size"), F.count("_c").alias("overlap"))
-    facts = F.broadcast(spark.createDataFrame([(table,)], "lf array<double>")).withColumn("_one", F.lit(1))
-    s = sets.withColumn("_one", F.lit(1)).join(facts, "_one")
+    s = m.join(c, item, "left").groupBy(set_).agg(F.count("*").alias("size"), F.count("_c").alias("overlap"))
     big_n, n_ = F.lit(universe), F.lit(n)
     top = F.least(F.col("size"), n_)
-    term = lambda k: F.exp(ln_choose(F.col("lf"), F.col("size"), k) + ln_choose(F.col("lf"), big_n - F.col("size"), n_ - k) - ln_choose(F.col("lf"), big_n, n_))
+    term = lambda k: F.exp(ln_choose(F.col("size"), k) + ln_choose(big_n - F.col("size"), n_ - k) - ln_choose(big_n, n_))
     ks = F.filter(F.sequence(F.col("overlap"), top), lambda k: n_ - k <= big_n - F.col("size"))
     p = F.when(F.col("overlap") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(ks, F.lit(0.0), lambda a, k: a + term(k))))
     out = s.select(set_, "size", "overlap", (F.col("overlap") / F.col("size")).alias("coverage"), p.alias("p_value"))
-    # sets are bounded (a pathway collection): their order is a window over all of them
-    w = Window.partitionBy(F.lit(0)).orderBy("p_value")
-    ranked = out.withColumn("_r", F.rank().over(w) + F.count("*").over(Window.partitionBy("p_value")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    step = F.least(F.lit(1.0), F.col("p_value") * F.col("_n") / F.col("_r"))
-    return ranked.withColumn("fdr", F.min(step).over(Window.partitionBy(F.lit(0)).orderBy(F.desc("p_value")))).drop("_r", "_n")
+    return benjamini_hochberg(out, "p_value", [set_])

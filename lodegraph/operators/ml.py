@@ -67,10 +67,13 @@ def nearest_neighbours(queries: DataFrame, vectors: DataFrame, key: str, vector:
     unit = lambda df, n: df.select(F.col(key).alias(n), F.transform(F.col(vector), lambda x: x.cast("double")).alias(f"{n}_v")).withColumn(
         f"{n}_l", F.sqrt(F.aggregate(f"{n}_v", F.lit(0.0), lambda a, x: a + x * x))
     )
-    blocks = 8
-    q = unit(queries, "query").withColumn("qb", F.pmod(F.hash("query"), F.lit(blocks)))
-    q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    v = unit(vectors, key).withColumn("vb", F.pmod(F.hash(key), F.lit(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # blocks by the counted rows: a pair of blocks is a task's work, and every vector is copied once for each block of queries
+    n_q, n_v = queries.count(), vectors.count()
+    q_blocks = max(1, -(-n_q // 4_000))
+    v_blocks = max(-(-n_v // 20_000), -(-queries.sparkSession.sparkContext.defaultParallelism // q_blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = unit(queries, "query").withColumn("qb", F.pmod(F.hash("query"), F.lit(q_blocks))).withColumn("vb", every(v_blocks))
+    v = unit(vectors, key).withColumn("vb", F.pmod(F.hash(key), F.lit(v_blocks))).withColumn("qb", every(q_blocks))
     dot = F.aggregate(F.zip_with("query_v", f"{key}_v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scale = F.col("query_l") * F.col(f"{key}_l")
     pairs = q.join(v, ["qb", "vb"]).filter(F.col("query") != F.col(key)).select("query", key, F.when(scale > 0, dot / scale).otherwise(0.0).alias("cosine"))

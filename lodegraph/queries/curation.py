@@ -162,6 +162,10 @@ ORACLES = {
     "prediction_rows": f"""
         select 'o' || o_orderkey as prediction_id, case o_orderstatus when 'F' then 2 when 'P' then 1 else 0 end as label, round(o_totalprice / 1000, 3) as price, 0.0::double as missing,
           case when {_BUCKET.format(x="o_custkey", k=8)} < 15 then 'test' when {_BUCKET.format(x="o_custkey", k=8)} < 30 then 'validation' else 'train' end as split from orders""",
+    "token_offsets": """
+        with t as (select label_id, label || ' in ' || label as t from metabolite_gold_labels), c as (select label_id, t, i, regexp_matches(t[i], '[A-Za-z0-9]') as inside, i = 1 or not regexp_matches(t[i - 1], '[A-Za-z0-9]') as first from t, range(1, 200) r(i) where i <= length(t)),
+        s as (select label_id, t, i - 1 as "start", length(regexp_extract(t[i:], '^[A-Za-z0-9]+')) as n from c where inside and first)
+        select label_id, (row_number() over (partition by label_id order by "start") - 1)::int as pos, t["start" + 1:"start" + n] as token, "start"::int as "start", ("start" + n)::int as "end" from s""",
     "sentence_spans": """
         with s as (select doc_id, text, regexp_extract_all(text, '[^.!?\\n]+(?:[.!?]+|$)') as ss from documents where text is not null)
         select doc_id, (i - 1)::int as pos, trim(ss[i], ' ') as sentence, "start", "end" from (select doc_id, ss, unnest(range(1, len(ss) + 1)) as i from s) join

@@ -9,7 +9,7 @@ from lodegraph.functions import text as X
 from lodegraph.functions.keys import hash_bucket
 from lodegraph.functions.values import bare_number
 from lodegraph.operators import literature as L
-from lodegraph.runtime import table, widen
+from lodegraph.runtime import Scratch, table, widen
 
 C = F.col
 TERMS = {
@@ -115,7 +115,7 @@ def clustered_probability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_support(spark: SparkSession, d: str) -> DataFrame:
-    r = _probable(spark, d)
+    r = Scratch(spark, "support").save(_probable(spark, d))  # the known edges are taken from it, too
     b = hash_bucket(F.concat("subject_uid", "article_uid"), 8, 10)
     r = r.withColumn("b", b).withColumn("polarity", F.when(C("b") < 2, "activation").when(C("b") < 3, "inhibition").otherwise("association"))
     r = r.withColumn("status", F.when(C("b") == 9, "contradict").when(C("b") == 8, "uncertain").when(C("b") == 7, "background").otherwise("support"))

@@ -212,6 +212,7 @@ ORACLES = {
         select query, entry, n_shared, round(dot / (sqrt(na) * sqrt(nb)), 6) as cosine from dot
         join (select query, sum(a * a) as na from q group by 1) using (query) join (select entry, sum(b * b) as nb from e group by 1) using (entry)
         qualify row_number() over (partition by query order by round(dot / (sqrt(na) * sqrt(nb)), 9) desc, entry) <= 10""",
+    "folded_titles": f"select distinct pubchem_cid, {folded('title')} as title_key from cid_properties where title is not null",
     "first_xref_hit": """
         with k as (select pubchem_cid, i - 1 as place, lower(synonyms[i]) as lookup_key from (select *, unnest(range(1, len(synonyms) + 1)) as i from (select distinct pubchem_cid, synonyms from cid_properties where synonyms is not null))),
         x as (select lower(title) || 's' as lookup_key, min(pubchem_cid) as uid from cid_properties where title is not null group by 1)

@@ -180,6 +180,13 @@ def test_enrichment(spark):
 
     assert got["A"].p_value == pytest.approx(tail(10, 8)) and got["B"].p_value == pytest.approx(tail(20, 3))
     assert got["A"].fdr == pytest.approx(min(1, 2 * tail(10, 8)))
+    # a universe of any size, and false discovery rates over several blocks with ties
+    big = spark.createDataFrame([(50_000_000, 40)], "n long, k long").select(E.ln_choose(F.col("n"), F.col("k"))).head()[0]
+    assert big == pytest.approx(math.lgamma(50_000_001) - math.lgamma(41) - math.lgamma(49_999_961), rel=1e-7)
+    ps = [round(((i * 37) % 101) / 130 + 0.001, 2) for i in range(200)]
+    fdr = {r.i: r.fdr for r in E.benjamini_hochberg(spark.createDataFrame(list(enumerate(ps)), "i int, p double"), "p", ["i"], 16).collect()}
+    for i, p in enumerate(ps):
+        assert fdr[i] == pytest.approx(min(min(1, q * 200 / sum(x <= q for x in ps)) for q in ps if q >= p))
 
 
 def test_release(spark, tmp_path):
