@@ -45,4 +45,9 @@ ORACLES = {
         t as (select distinct r as a, r as b from l union select t.a, e.b from t join e on t.b = e.a),
         g as (select a as chemical_uid, min(b) as group_uid, count(*) as n from t group by 1)
         select chemical_uid, group_uid from g where n >= 2""",
+    "p5_group_sizes": f"""
+        with recursive {_IDENTIFIER}, e as (select distinct a.r as a, b.r as b from l a join l b using (i)),
+        t as (select distinct r as a, r as b from l union select t.a, e.b from t join e on t.b = e.a),
+        g as (select a, min(b) as group_uid, count(*) as n_records from t group by 1)
+        select n_records, count(distinct group_uid) as n_groups from g group by 1""",
 }
