@@ -80,7 +80,7 @@ def test_identifiers(spark):
 def test_identifier_spellings(spark):
     from pyspark.sql import functions as F
 
-    from lodegraph.llm.queries import _identifier
+    from lodegraph.llm.queries import _with_identifier
 
     same = [
         [("MDB", "MDB0000048"), ("mdb ", " mdb00048"), ("Mdb", "MDB:MDB0000048"), ("MDB", "MDB:0000048"), ("MDB", "MDB-48")],
@@ -91,7 +91,7 @@ def test_identifier_spellings(spark):
         [("MDB", "0"), ("KGC", "n/a"), ("KGC", " "), (None, "5"), ("MDB", None), ("", "5"), ("LMD", "pending"), ("LMD", "Not Assigned"), ("MDB", "MDB0000")],
     ]
     rows = [(g, s, x) for g, members in enumerate(same) for s, x in members] + [(90, "[(", "[(5"), (91, "\\\\", "7"), (92, "$1", "$1:8")]
-    df = spark.createDataFrame(rows, "g int, s string, x string").select("g", _identifier(F.col("s"), F.col("x")).alias("i"))
+    df = _with_identifier(spark.createDataFrame(rows, "g int, s string, x string"), "s", "x").select("g", F.col("identifier").alias("i"))
     got = {}
     for g, i in df.collect():
         got.setdefault(g, set()).add(i)
