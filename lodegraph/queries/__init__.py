@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("packed", "keys", "graph", "resolve", "matching", "integration", "literature", "learning", "features", "overlays", "curation", "models")
+AREAS = ("packed", "keys", "graph", "resolve", "compounds", "matching", "integration", "literature", "learning", "features", "overlays", "curation", "models")
 
 
 def queries() -> dict:
