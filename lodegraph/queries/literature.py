@@ -9,6 +9,7 @@ from lodegraph.functions import text as X
 from lodegraph.functions.keys import hash_bucket
 from lodegraph.functions.values import bare_number
 from lodegraph.operators import literature as L
+from lodegraph.queries import sql_patterns as S
 from lodegraph.runtime import Scratch, table, widen
 
 C = F.col
@@ -175,12 +176,12 @@ _S = """
     s0 as (select doc_id, regexp_extract_all(text, '[^.!?\\n]+(?:[.!?]+|$)') as ss from documents),
     s1 as (select doc_id, list_filter(list_transform(ss, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 8) as ss from s0),
     s as (select doc_id, (i - 1)::int as sentence_no, ss[i] as sentence from (select *, unnest(range(1, len(ss) + 1)) as i from s1))"""
-_SAID = {c: f"regexp_matches(low, '{_q(p)}')" for c, p in X.CUES.items()}
+_SAID = {c: f"regexp_matches(low, '{_q(p)}')" for c, p in S.CUES.items()}
 _NEG = f"""case when {_SAID['non_negating_negation']} and not {_SAID['null_result']} and not {_SAID['hedged_negation']}
-    then regexp_matches(regexp_replace(low, '{_q(X.CUES['non_negating_negation'])}', '', 'g'), '{_q(X.CUES['negation'])}') else {_SAID['negation']} end"""
+    then regexp_matches(regexp_replace(low, '{_q(S.CUES['non_negating_negation'])}', '', 'g'), '{_q(S.CUES['negation'])}') else {_SAID['negation']} end"""
 _HAS = _SAID | {"negation": _NEG, "causal_weakening": f"({_SAID['causal_weakening']} or {_SAID['alternative_explanation']})"}
 _CUED = f"""
-    {_S}, c as (select doc_id, sentence_no, sentence, low, {', '.join(f"{_HAS[c]} as {c}" for c in sorted(X.CUES))}, {_SAID['causal_weakening']} as causal_said from (select *, lower(sentence) as low from s)),
+    {_S}, c as (select doc_id, sentence_no, sentence, low, {', '.join(f"{_HAS[c]} as {c}" for c in sorted(S.CUES))}, {_SAID['causal_weakening']} as causal_said from (select *, lower(sentence) as low from s)),
     cs as (select * replace (background or coalesce(lower(trim(section, ' ')) in ('background', 'review'), false) as background) from c join (select doc_id, section from documents) using (doc_id)),
     st as (select *, case when null_result then 'contradict' when conflict or context_boundary then 'uncertain' when causal_weakening then 'uncertain'
       when negation and not (hedged_negation or weak_observation) then 'contradict' when uncertainty or weak_observation or hedged_negation then 'uncertain'
@@ -194,11 +195,11 @@ _METHODS = (
     ("intervention_assay", r"\b(knockdown|knockout|overexpression|inhibitor|inhibition|silencing|crispr|sirna|shrna|treated with|depletion|deprivation|withdrawal)\b"),
 )
 _TRIGGER = {
-    f: "case " + " ".join(f"when regexp_matches(lower(sentence), '{_q(p)}') then {{{i}}}" for i, (k, _, _, p) in enumerate(x for x in X.TRIGGERS if x[0] == f)) + " end"
+    f: "case " + " ".join(f"when regexp_matches(lower(sentence), '{_q(p)}') then {{{i}}}" for i, (k, _, _, p) in enumerate(x for x in S.TRIGGERS if x[0] == f)) + " end"
     for f in ("change", "association", "regulation")
 }
-_POL = {f: [repr(pol) for k, pol, _, _ in X.TRIGGERS if k == f] for f in _TRIGGER}
-_REG_SCORE = [f"{sc}::double" for k, _, sc, _ in X.TRIGGERS if k == "regulation"]
+_POL = {f: [repr(pol) for k, pol, _, _ in S.TRIGGERS if k == f] for f in _TRIGGER}
+_REG_SCORE = [f"{sc}::double" for k, _, sc, _ in S.TRIGGERS if k == "regulation"]
 _TERM_ROWS = " union all ".join(f"select '{t}', '{k}_{t}', '{k}', 0.95::double, 'name'" for k, ts in TERMS.items() for t in ts)
 _LEX = f"""
     l0 as (select label as surface, metabolite_uid as uid, 'metabolite' as kind, 1.01::double as base, 'canonical_name' as field from metabolite_gold_labels
@@ -218,7 +219,7 @@ _REL = f"""
       from k2 a join k2 b on a.sentence_uid = b.sentence_uid and a.entity_uid <> b.entity_uid join pt on a.entity_type = st and b.entity_type = ot
       where greatest(0, a.start_offset - b.end_offset, b.start_offset - a.end_offset) <= 240 group by 1, 2, 3, 4),
     per as (select sentence_uid, count(*) as n_mentions, max((entity_type = 'disease')::int) as disease, min(section) as section, min(article_uid) as article_uid from k2 group by 1)"""
-_SECTION = "coalesce(map {" + ", ".join(f"'{k}': {v}::double" for k, v in X.SECTION_WEIGHTS.items()) + "}[lower(trim(section))], 0.7)"
+_SECTION = "coalesce(map {" + ", ".join(f"'{k}': {v}::double" for k, v in S.SECTION_WEIGHTS.items()) + "}[lower(trim(section))], 0.7)"
 _PROB = f"""{_REL}, pr as (select r.*, article_uid, greatest(0, least(1, 0.74::double * {_SECTION} * min_confidence * (case when disease = 1 then 1.0 else 0.85 end)::double * (case when predicate <> 'associated_with_disease' then 1.0 else 0.82 end)::double
       * (case when distance <= 80 then 1.0 when distance <= 160 then 0.88 else 0.72 end)::double * (case when n_mentions <= 6 then 1.0::double else greatest(0.72::double, 1.0::double - 0.035::double * (n_mentions - 6)) end))) as p from r join per using (sentence_uid))"""
 _B = "('0x' || left(sha256({x}), 8))::bigint % {n}"
@@ -230,7 +231,7 @@ ORACLES = {
         with {_CUED}, q as (select *, case when null_result then 'contradict:null_result' when conflict or context_boundary then 'uncertain:conflict_or_context_boundary' when causal_weakening then 'uncertain:causal_weakening'
           when negation and not (hedged_negation or weak_observation) then 'contradict:effective_negation' when uncertainty or weak_observation or hedged_negation then 'uncertain:uncertain_or_weak_language'
           when concession and not (direct_assay or comparison_context) then 'uncertain:unsupported_concession' when background then 'background:background_or_review_context' else 'support:direct_or_contextual_support' end as v from cs)
-        select doc_id, sentence_no, concat_ws(';', {', '.join(f"case when {c} then '{c}' end" for c in sorted(X.CUES))}) as cues, split_part(v, ':', 1) as status, split_part(v, ':', 2) as reason,
+        select doc_id, sentence_no, concat_ws(';', {', '.join(f"case when {c} then '{c}' end" for c in sorted(S.CUES))}) as cues, split_part(v, ':', 1) as status, split_part(v, ':', 2) as reason,
           concat_ws(';', {', '.join(f"case when regexp_matches(low, '{_q(p)}') then '{n}' end" for n, p in _METHODS)}) as methods from q""",
     "oncology_weights": f"""
         with {_S} select (case when contains(sentence, 'disease') then 1 when regexp_matches(lower(sentence), 'cancer|tumou?r|carcinoma|sarcoma|melanoma|leuka?emia|lymphoma|glioma|glioblastoma|neoplasm|metastasis|metastatic|oncogenic|malignan(cy|t)')
