@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lodegraph.operators.ordering import top_in_group
 
 
-def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
-    """score, pos, neg of each distinct score; all that curves need, smaller than the rows."""
-    return df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+def _by_score(df: DataFrame, score: str, label: str, n: str | None = None) -> DataFrame:
+    """score, pos, neg of each distinct score; all that curves need, smaller than the rows. n: how many rows a row stands for."""
+    y, many = F.col(label).cast("long"), F.lit(1) if n is None else F.col(n)
+    return df.groupBy(F.col(score).alias("score")).agg(F.sum(y * many).alias("pos"), F.sum((1 - y) * many).alias("neg"))
 
 
 def _cumulative(counts: DataFrame, parts: int = 64) -> DataFrame:
@@ -34,17 +35,17 @@ def _cumulative(counts: DataFrame, parts: int = 64) -> DataFrame:
     return c.join(F.broadcast(lift), "part").withColumn("tp", F.col("tp") + F.col("p0")).withColumn("fp", F.col("fp") + F.col("n0")).drop("part", "p0", "n0")
 
 
-def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """auc, positives, negatives; tied scores count half; null without both labels."""
-    c = _cumulative(_by_score(df, score, label))
+def roc_auc(df: DataFrame, score: str, label: str, n: str | None = None) -> DataFrame:
+    """auc, positives, negatives; tied scores count half; null without both labels. n: how many rows a row stands for."""
+    c = _cumulative(_by_score(df, score, label, n))
     # a positive beats the negatives below its score and half of those at it
     parts = c.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2)).alias("lost"))
     return parts.select(F.when((F.col("p") > 0) & (F.col("n") > 0), 1 - F.col("lost") / (F.col("p") * F.col("n"))).alias("auc"), F.col("p").alias("positives"), F.col("n").alias("negatives"))
 
 
-def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
-    """average_precision with equal scores as one step."""
-    c = _cumulative(_by_score(df, score, label))
+def average_precision(df: DataFrame, score: str, label: str, n: str | None = None) -> DataFrame:
+    """average_precision with equal scores as one step. n: how many rows a row stands for."""
+    c = _cumulative(_by_score(df, score, label, n))
     gain = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return c.agg((gain / F.sum("pos")).alias("average_precision"))
 

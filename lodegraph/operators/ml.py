@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
@@ -13,20 +14,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.operators.ordering import top_in_group
+from lodegraph.runtime import Scratch, fresh
+
+#: Training rows of a task of the trees; a round is some jobs over all of them.
+ROWS_PER_TASK = 50_000
 
 
 def feature_pipeline(numbers: Sequence[str], categories: Sequence[str]) -> list:
     """Stages that turn numbers and one-hot categories into `features`; values unseen in training get a slot of their own."""
-    stages: list = [StringIndexer(inputCol=c, outputCol=f"_{c}_i", handleInvalid="keep") for c in categories]
+    stages: list = [StringIndexer(inputCol=c, outputCol=f"_{c}_i", handleInvalid="keep", stringOrderType="alphabetAsc") for c in categories]
     stages += [OneHotEncoder(inputCol=f"_{c}_i", outputCol=f"_{c}_v", handleInvalid="keep") for c in categories]
     return [*stages, VectorAssembler(inputCols=[*numbers, *[f"_{c}_v" for c in categories]], outputCol="features", handleInvalid="keep")]
 
 
 def boosted_scores(train: DataFrame, other: DataFrame, numbers: Sequence[str], categories: Sequence[str], label: str, weight: str, rounds: int = 40, depth: int = 5, seed: int = 0) -> DataFrame:
-    """`other` with model_score in [0, 1] of gradient-boosted trees; nulls in numbers count as 0."""
+    """`other` with model_score in [0, 1] of gradient-boosted trees; nulls in numbers count as 0.
+
+    Training rows that are equal in inputs, label and weight are one row of their
+    joint weight, which gives the same trees: the cost of the rounds grows with
+    the distinct rows.
+    """
     filled = lambda df: df.na.fill(0.0, list(numbers)).na.fill("", list(categories))
+    many = fresh(train, "_many")[0]
+    alike = filled(train).groupBy(*numbers, *categories, label, weight).agg(F.count("*").alias(many))
+    alike = Scratch(train.sparkSession, "boosted").save(alike.withColumn(weight, F.col(weight) * F.col(many)).drop(many))
+    alike = alike.repartition(math.ceil(max(1, alike.count()) / ROWS_PER_TASK))
     gbt = GBTRegressor(featuresCol="features", labelCol=label, weightCol=weight, maxIter=rounds, maxDepth=depth, stepSize=0.05, seed=seed, predictionCol="_p")
-    model = Pipeline(stages=[*feature_pipeline(numbers, categories), gbt]).fit(filled(train))
+    model = Pipeline(stages=[*feature_pipeline(numbers, categories), gbt]).fit(alike)
     return model.transform(filled(other)).select(*other.columns, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_p"))).alias("model_score"))
 
 

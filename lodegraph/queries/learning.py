@@ -19,15 +19,19 @@ def _candidates(spark, d):
     )
     uid = F.concat(F.lit("p"), "l_partkey", F.lit("-s"), "l_suppkey")
     c = c.withColumn("uid", uid).withColumn("p", F.least(F.lit(0.99), 0.25 * C("sentences") + 6 * C("best")))
-    b = hash_bucket(C("uid"), 8, 10)
-    return c.withColumn("known", hash_bucket(C("l_partkey").cast("string"), 8, 5) < 2).withColumn(
+    c, b = c.withColumn("_b", hash_bucket(C("uid"), 8, 10)), C("_b")  # a column of its own, so that it is worked out once
+    c = c.withColumn("known", hash_bucket(C("l_partkey").cast("string"), 8, 5) < 2).withColumn(
         "support_class",
         F.when(b == 0, "refute").when(b == 1, "background_candidate").when(b == 2, "unresolved").when(b <= 4, "confirm").when(b == 5, "support_direction").otherwise("novel_candidate"),
     )
+    return c.drop("_b")
 
 
 def _labelled(spark, d):
-    c = _candidates(spark, d)
+    return _with_labels(_candidates(spark, d))
+
+
+def _with_labels(c):
     label = L.weak_label(C("support_class"), C("p"), C("articles"), C("sentences"), C("known").cast("int"))
     return c.select("*", label.alias("_l")).select(*c.columns, "_l.weak_label", "_l.label_score", "_l.label_reason")
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodegraph.operators import learning as L
 from lodegraph.operators import metrics as M
 from lodegraph.operators import ml
-from lodegraph.queries.learning import _labelled, _rounded
-from lodegraph.runtime import table
+from lodegraph.queries.learning import _candidates, _rounded, _with_labels
+from lodegraph.runtime import Scratch, table
 
 C = F.col
 
@@ -35,12 +35,16 @@ def term_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def boosted_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Model scores of candidates, at most the cap of their weak label, with the measures on the held-out year."""
-    c = _labelled(spark, d).filter("weak_label <> 'abstain'")
-    c = c.withColumn("y", C("label_score")).withColumn("w", F.lit(1.0)).withColumn("log_n", F.log1p("sentences"))
+    scratch = Scratch(spark, "ranking")
+    # candidates that are alike to the labels, the model and the measures are counted, so that the relations are worked out once
+    alike = ("support_class", "p", "articles", "sentences", "known", "best", "year")
+    c = scratch.save(_candidates(spark, d).groupBy(*alike).agg(F.count("*").alias("n")))
+    c = _with_labels(c).filter("weak_label <> 'abstain'")
+    c = c.withColumn("y", C("label_score")).withColumn("w", C("n").cast("double")).withColumn("log_n", F.log1p("sentences"))
     out = ml.boosted_scores(c.filter("year < 1998"), c.filter("year >= 1998"), ["log_n", "best"], ["support_class"], "y", "w")
-    s = out.select("uid", L.capped(C("model_score"), C("weak_label")).alias("score"), (C("y") > 0.7).cast("int").alias("y"))
+    s = scratch.save(out.select("n", L.capped(C("model_score"), C("weak_label")).alias("score"), (C("y") > 0.7).cast("int").alias("y")))
     one = lambda df: df.withColumn("_one", F.lit(1))
-    return _rounded(one(M.roc_auc(s, "score", "y")).join(one(M.average_precision(s, "score", "y")), "_one").drop("_one"))
+    return _rounded(one(M.roc_auc(s, "score", "y", "n")).join(one(M.average_precision(s, "score", "y", "n")), "_one").drop("_one"))
 
 
 def isotonic_calibration(spark: SparkSession, d: str) -> DataFrame:
