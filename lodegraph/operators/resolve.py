@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.keys import folded_key, id_token
 from lodegraph.operators.ordering import first_in_group, top_in_group
-from lodegraph.runtime import BROADCAST_ROWS
+from lodegraph.runtime import BROADCAST_ROWS, Scratch, fresh, task_count
 
 # What a namespace is also called.
 NAMESPACE_ALIASES = {"PUBCHEM.COMPOUND": ("CID", "PUBCHEM"), "NCBI.GENE": ("ENTREZ",)}
@@ -119,6 +119,29 @@ def tolerance_join(left: DataFrame, x: str, right: DataFrame, y: str, width: Col
     return asks.join(held, "_b").filter(F.abs(F.col(x) - F.col(y)) <= F.col("_w")).drop("_b", "_w")
 
 
+def value_join(left: DataFrame, x: str, right: DataFrame, y: str, width: float, pairs_per_task: int = 20_000_000) -> DataFrame:
+    """Pairs with |x - y| <= width, where many rows share a value.
+
+    The distinct values are matched first, with their counts, so that no pair of
+    rows is tested that isn't one of the result.  The counts give the number of
+    tasks (the rows' bytes don't show how many pairs they make), and a value with
+    more pairs than a task should make is divided: its left rows by a hash, its
+    right rows repeated.
+    """
+    spark = left.sparkSession
+    scratch = Scratch(spark, "values")
+    n, m, pairs, parts, part = fresh(left.join(right), "_n", "_m", "_pairs", "_parts", "_part")
+    asked = left.groupBy(x).agg(F.count("*").alias(n))
+    held = right.groupBy(y).agg(F.count("*").alias(m))
+    near = scratch.save(tolerance_join(asked, x, held, y, F.lit(width), width * 2))
+    load = near.groupBy(y).agg((F.sum(n) * F.first(m)).alias(pairs))
+    load = scratch.save(load.select(y, pairs, F.ceil(F.col(pairs) / pairs_per_task).cast("int").alias(parts)))
+    tasks = task_count(spark, load.agg(F.sum(pairs)).head()[0] or 0, pairs_per_task)
+    asks = left.join(near.select(x, y), x).join(load.select(y, parts), y).withColumn(part, F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop(parts)
+    gives = right.join(load.select(y, parts), y).withColumn(part, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
+    return asks.repartition(tasks, y, part).join(gives.repartition(tasks, y, part), [y, part]).select(*left.columns, *right.columns)
+
+
 def spectrum_scores(queries: DataFrame, library: DataFrame, tolerance: float = 0.01, most: int | None = None) -> DataFrame:
     """query, entry, n_shared, cosine: peaks matched within a tolerance; only the `most` best entries of a query, if given (ties by entry).
 

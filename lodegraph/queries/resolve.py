@@ -95,7 +95,7 @@ def price_window(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     a = p.select(C("p_partkey").alias("a"), C("p_retailprice").alias("x"))
     b = p.select(C("p_partkey").alias("b"), C("p_retailprice").alias("y"))
-    return R.tolerance_join(a, "x", b, "y", F.lit(0.25), 0.5).filter("a < b").select("a", "b")
+    return R.value_join(a, "x", b, "y", 0.25).filter("a < b").select("a", "b")
 
 
 def _peaks(spark, d, name):
